@@ -1,10 +1,12 @@
 """City launch figures: active base, daily leads and installs, partner scorecard.
 
-The roster says which partners belong to a city. It is joined to the plan rows as they
-are read, by a plain equi-join, so that Spark broadcasts it while it is small (and then
-drops other partners' rows before any shuffle) and otherwise merges with hot partners
-split at run time. Rows are then reduced in steps that always keep the mobile in the key
-until there is one row per customer, so a large city or partner is spread out.
+The roster says which partners belong to a city. While it is small it is broadcast and
+drops other partners' rows before any shuffle. In either case plan rows are first reduced
+per (partner, mobile), then get their city, then are reduced per (city, mobile): the
+mobile stays in every key until there is one row per customer, so a large partner or city
+is spread over many tasks, and the join by partner stands between two shuffles, where
+Spark may split a hot partner at run time. The mobile also comes first in the keys, since
+sorts compare the first key cheaply and it tells most rows apart.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fibrelens.functions.joins import attach, is_small, keep_listed
 from fibrelens.functions.picks import newest, oldest
 from fibrelens.functions.times import AsOf, add_seconds, date_lit, day_gap, days_before, shift_minutes, ts_lit
 from fibrelens.functions.values import or_zero, percent, whole_percent
@@ -31,8 +34,18 @@ def city_roster(roster: DataFrame, cities: DataFrame) -> DataFrame:
     )
 
 
-def _in_city(df: DataFrame, roster: DataFrame) -> DataFrame:
-    return df.join(roster.select("city", "partner_id").distinct(), "partner_id")
+class _Members:
+    """The (city, partner) pairs of a roster and whether they are few enough to broadcast."""
+
+    def __init__(self, roster: DataFrame):
+        self.pairs = roster.select("city", "partner_id").distinct()
+        self.small = is_small(self.pairs)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        return keep_listed(df, self.pairs, "partner_id", self.small)
+
+    def attach_city(self, df: DataFrame) -> DataFrame:
+        return attach(df, self.pairs, "partner_id", self.small)
 
 
 def _expiry(tz_offset_min: int) -> Column:
@@ -45,11 +58,13 @@ def city_active_base(plans: DataFrame, roster: DataFrame, as_of: AsOf, tz_offset
     A later expiry never makes a customer less active, so it is enough to look for any plan
     that qualifies: old plans go before the shuffle. Cities without any show 0.
     """
+    members = _Members(roster)
     alive = plans.filter(
         F.col("mobile").isNotNull() & (_expiry(tz_offset_min) >= ts_lit(days_before(as_of, GRACE_DAYS)))
     )
+    pairs = members.keep(alive).select("partner_id", "mobile").distinct()
     counts = (
-        _in_city(alive.select("partner_id", "mobile"), roster)
+        members.attach_city(pairs)
         .select("city", "mobile")
         .distinct()
         .groupBy("city")
@@ -71,11 +86,13 @@ def daily_leads_installs(
     Installs go by the day as stored, leads by the local day. Both kinds are reduced to one
     row per customer first and then counted together, so days of either kind appear.
     """
+    members = _Members(roster)
     since = ts_lit(days_before(as_of, WINDOW_DAYS))
+    per_partner = members.keep(plans).groupBy("mobile", "partner_id").agg(F.min("plan_start_time").alias("_first"))
     installs = (
-        _in_city(plans.select("partner_id", "mobile", "plan_start_time"), roster)
-        .groupBy("city", "mobile")
-        .agg(F.min("plan_start_time").alias("_first"))
+        members.attach_city(per_partner)
+        .groupBy("mobile", "city")
+        .agg(F.min("_first").alias("_first"))
         .filter(F.col("_first") >= since)
         .select(
             "city",
@@ -84,14 +101,15 @@ def daily_leads_installs(
             F.lit(None).cast("string").alias("_lead"),
         )
     )
+    local_day = shift_minutes(F.col("added_time"), lead_offset_min).cast("date")
+    asked = (
+        members.keep(bookings.filter(F.col("added_time") >= since))
+        .select("partner_id", local_day.alias("day"), "mobile")
+        .distinct()
+    )
     leads = (
-        _in_city(bookings.filter(F.col("added_time") >= since), roster)
-        .select(
-            "city",
-            shift_minutes(F.col("added_time"), lead_offset_min).cast("date").alias("day"),
-            F.lit(None).cast("string").alias("_install"),
-            F.col("mobile").alias("_lead"),
-        )
+        members.attach_city(asked)
+        .select("city", "day", F.lit(None).cast("string").alias("_install"), F.col("mobile").alias("_lead"))
         .distinct()
     )
     return (
@@ -109,27 +127,24 @@ def leads_installs_totals(daily: DataFrame) -> DataFrame:
 
 def recharge_counts(plans: DataFrame, roster: DataFrame) -> DataFrame:
     """Number of plan rows per city, partner and mobile."""
-    return (
-        _in_city(plans.select("partner_id", "mobile"), roster)
-        .groupBy("city", "partner_id", "mobile")
-        .agg(F.count(F.lit(1)).alias("recharge_count"))
-    )
+    members = _Members(roster)
+    counts = members.keep(plans).groupBy("mobile", "partner_id").agg(F.count(F.lit(1)).alias("recharge_count"))
+    return members.attach_city(counts).select("city", "partner_id", "mobile", "recharge_count")
 
 
 def _per_partner_mobile(plans: DataFrame, roster: DataFrame, tz_offset_min: int) -> DataFrame:
     """Recharges, first start and last plan per (city, partner, mobile)."""
-    rows = plans.filter(F.col("mobile").isNotNull()).select(
-        "partner_id", "mobile", "plan_start_time", _expiry(tz_offset_min).alias("expiry")
-    )
-    return (
-        _in_city(rows, roster)
-        .groupBy("city", "partner_id", "mobile")
+    members = _Members(roster)
+    per_partner = (
+        members.keep(plans.filter(F.col("mobile").isNotNull()))
+        .groupBy("mobile", "partner_id")
         .agg(
             F.count(F.lit(1)).alias("recharge_count"),
             F.min("plan_start_time").alias("first_start"),
-            newest(F.col("plan_start_time").alias("start"), F.col("expiry")).alias("_last"),
+            newest(F.col("plan_start_time").alias("start"), _expiry(tz_offset_min).alias("expiry")).alias("_last"),
         )
     )
+    return members.attach_city(per_partner)
 
 
 def _first_in_city() -> Column:
@@ -144,7 +159,7 @@ def first_last_plan(plans: DataFrame, roster: DataFrame, tz_offset_min: int = 0)
     """First and last plan per (city, mobile), whichever partners of the city sold them."""
     return (
         _per_partner_mobile(plans, roster, tz_offset_min)
-        .groupBy("city", "mobile")
+        .groupBy("mobile", "city")
         .agg(_first_in_city().alias("_f"), _last_in_city().alias("_l"))
         .select(
             "city",
@@ -164,7 +179,7 @@ def mobile_summary(plans: DataFrame, roster: DataFrame, tz_offset_min: int = 0)
     A mobile served by several partners of the city has a row per partner's count, all
     attributed to the first partner. The window holds one row per partner of a mobile.
     """
-    one_mobile = Window.partitionBy("city", "mobile")
+    one_mobile = Window.partitionBy("mobile", "city")
     return (
         _per_partner_mobile(plans, roster, tz_offset_min)
         .withColumn("_f", _first_in_city().over(one_mobile))
@@ -211,7 +226,7 @@ def _partner_metrics(
 
     mobiles = (
         _per_partner_mobile(plans, roster, tz_offset_min)
-        .groupBy("city", "mobile")
+        .groupBy("mobile", "city")
         .agg(_first_in_city().alias("_f"), _last_in_city().alias("_l"), once.alias("once"), again.alias("again"))
     )
     now, today = ts_lit(as_of), date_lit(as_of)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fibrelens.functions.picks import newest, newest_per
-from fibrelens.functions.times import AsOf, add_seconds, as_datetime, date_lit, day_gap, shift_minutes, ts_lit
+from fibrelens.functions.times import AsOf, add_seconds, date_lit, day_gap, shift_minutes, ts_lit
 from fibrelens.functions.values import DASH, blank_to_null, fixed, or_dash, or_zero, percent
 
 IST_MINUTES = 330
@@ -40,7 +40,7 @@ def partner_mobiles(plans: DataFrame) -> DataFrame:
     """Customers with the largest NAS, device and account id of their plan rows."""
     return (
         _own(plans)
-        .groupBy("partner_id", "mobile")
+        .groupBy("mobile", "partner_id")
         .agg(
             F.max("nas_id").alias("nas_id"),
             F.max("device_id").alias("device_id"),
@@ -53,7 +53,7 @@ def device_lookup(devices: DataFrame) -> DataFrame:
     """Largest device id per partner and customer id."""
     return (
         devices.filter(F.col("partner_id").isNotNull() & F.col("customer_id").isNotNull())
-        .groupBy("partner_id", "customer_id")
+        .groupBy("customer_id", "partner_id")
         .agg(F.max("device_id").alias("lookup_device_id"))
     )
 
@@ -63,7 +63,7 @@ def _with_device(customers: DataFrame, devices: DataFrame) -> DataFrame:
     known = device_lookup(devices).withColumnRenamed("customer_id", "_account")
     return (
         customers.withColumn("_account", F.col("account_id").cast("string"))
-        .join(known, ["partner_id", "_account"], "left")
+        .join(known, ["_account", "partner_id"], "left")
         .withColumn("device_id", F.coalesce("device_id", "lookup_device_id"))
         .drop("_account", "lookup_device_id")
     )
@@ -85,7 +85,7 @@ def _plan_columns(start: Column, seconds: Column, tz_offset_min: int) -> dict[st
 def current_plan(plans: DataFrame, tz_offset_min: int = IST_MINUTES) -> DataFrame:
     """Latest plan per customer by start; times shifted by ``tz_offset_min``."""
     latest = newest_per(
-        _own(plans).filter(F.col("mobile").isNotNull()), ["partner_id", "mobile"], _PLAN_FIELDS[:1], _PLAN_FIELDS[1:]
+        _own(plans).filter(F.col("mobile").isNotNull()), ["mobile", "partner_id"], _PLAN_FIELDS[:1], _PLAN_FIELDS[1:]
     )
     shown = _plan_columns(F.col("plan_start_time"), F.col("time_plan"), tz_offset_min)
     return latest.select(
@@ -98,7 +98,7 @@ def recharge_count(plans: DataFrame) -> DataFrame:
     return (
         _own(plans)
         .filter((F.col("charges") > 0) & F.col("mobile").isNotNull())
-        .groupBy("partner_id", "mobile")
+        .groupBy("mobile", "partner_id")
         .agg(F.count(F.lit(1)).alias("recharge_count"))
     )
 
@@ -236,7 +236,7 @@ def _plan_facts(plans: DataFrame) -> DataFrame:
     latest = newest(*[F.col(c) for c in _PLAN_FIELDS])
     return (
         _own(plans)
-        .groupBy("partner_id", "mobile")
+        .groupBy("mobile", "partner_id")
         .agg(
             F.max("nas_id").alias("nas_id"),
             F.max(F.when(has_mobile, F.col("device_id"))).alias("device_id"),
@@ -261,8 +261,13 @@ def _tagged(df: DataFrame, key: str, facts: dict[str, str], **given: Column) ->
     return df.select(key, *[given.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in facts.items()])
 
 
-def _mobile_facts(bookings: DataFrame, booking_events: DataFrame, task_events: DataFrame) -> DataFrame:
-    """Name, latest address text and first verification per mobile, in one shuffle."""
+def _mobile_facts(
+    bookings: DataFrame, booking_events: DataFrame, task_events: DataFrame, tz_offset_min: int
+) -> DataFrame:
+    """Name, latest address and install day per mobile, in one shuffle.
+
+    The address text is parsed after the aggregation, once per mobile.
+    """
     update_type = booking_events.select(F.struct("added_time", "data").alias("s")).schema["s"].dataType.simpleString()
     verified_type = task_events.schema["added_time"].dataType.simpleString()
     facts = {"_name": "string", "_update": update_type, "_verified": verified_type}
@@ -273,10 +278,14 @@ def _mobile_facts(bookings: DataFrame, booking_events: DataFrame, task_events: D
         )
         .unionByName(_tagged(_verifications(task_events), "mobile", facts, _verified=F.col("added_time")))
     )
-    return rows.groupBy("mobile").agg(
-        F.min("_name").alias("customer_name"),
-        F.max("_update").getField("data").alias("_address_data"),
-        F.min("_verified").alias("_first_verified"),
+    picked = rows.groupBy("mobile").agg(
+        F.min("_name").alias("customer_name"), F.max("_update").alias("_update"), F.min("_verified").alias("_verified")
+    )
+    return picked.select(
+        "mobile",
+        "customer_name",
+        _address_text(F.col("_update.data")).alias("address"),
+        _install_day(F.col("_verified"), tz_offset_min).alias("install_date"),
     )
 
 
@@ -320,11 +329,10 @@ def customer_360(
 
     Expiry is shifted by ``tz_offset_min`` and then compared with the unshifted ``as_of``.
     """
-    as_datetime(as_of)
     speeds = _newest_speed(speed_tests).withColumnsRenamed({"speed": "actual_speed_mbps"})
     joined = (
         _with_device(_plan_facts(plans), devices)
-        .join(_mobile_facts(bookings, booking_events, task_events), "mobile", "left")
+        .join(_mobile_facts(bookings, booking_events, task_events, tz_offset_min), "mobile", "left")
         .join(_nas_facts(daily_usage, optical_readings), "nas_id", "left")
         .join(speeds, "device_id", "left")
     )
@@ -335,8 +343,8 @@ def customer_360(
         "partner_id",
         "mobile",
         F.coalesce("customer_name", "mobile").alias("name"),
-        _address_text(F.col("_address_data")).alias("address"),
-        _install_day(F.col("_first_verified"), tz_offset_min).alias("install_date"),
+        "address",
+        "install_date",
         "last_ping",
         "last_recharge",
         "recharge_count",

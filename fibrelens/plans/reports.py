@@ -9,6 +9,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
+from fibrelens.functions.joins import is_small, keep_listed
 from fibrelens.functions.times import AsOf
 from fibrelens.operators import base, city, customers, devices, payouts, tickets, wallet
 from fibrelens.session import checkpointed
@@ -49,8 +50,8 @@ def partner_page(tables: Tables, as_of: AsOf, zones: Sequence[str] = ZONES) -> d
     ids = detail.select("partner_id")
 
     live = checkpointed(tickets.live_tickets(tables["ticket_events"], as_of).join(ids, "partner_id", "left_semi"))
-    own_tables = {**tables, "plans": tables["plans"].join(ids, "partner_id", "left_semi")}
-    people = checkpointed(customers_of(own_tables, as_of))
+    own_plans = keep_listed(tables["plans"], ids, "partner_id", is_small(ids))
+    people = checkpointed(customers_of({**tables, "plans": own_plans}, as_of).join(ids, "partner_id", "left_semi"))
     rows = checkpointed(
         wallet.wallet_transactions(tables["ledger_old"], tables["ledger_new"]).join(ids, "partner_id", "left_semi")
     )

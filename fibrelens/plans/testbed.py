@@ -30,9 +30,12 @@ class Testbed:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._raw[name]
 
     def __getitem__(self, name: str) -> DataFrame:
         return conform(_VIEWS[name](self), name)
@@ -213,35 +216,46 @@ def _disbursements(t: Testbed) -> DataFrame:
 
 
 def _growth_card(t: Testbed) -> DataFrame:
-    li = t.raw("lineitem").withColumn("_off", month_offset(F.col("l_shipdate"), AS_OF))
     price = _money("l_extendedprice")
     partner = F.col("partner_id")
+    small = _flag("N") & (F.col("l_quantity") <= 25)
 
-    def count(back: int, cond: Column) -> Column:
-        return F.count_if((F.col("_off") == back) & cond)
-
-    def total(back: int, cond: Column) -> Column:
-        return F.sum(F.when((F.col("_off") == back) & cond, price))
+    def total(cond: Column) -> Column:
+        return F.sum(F.when(cond, price))
 
-    measures = {"life_time_earning": F.sum(price), "active_customer": F.count(F.lit(1))}
-    for b in range(3):
-        measures[f"fixed_bonus_m{b}"] = total(b, _flag("R"))
-        measures[f"claim_rating_bonus_m{b}"] = total(b, _flag("A"))
-        measures[f"claim_work_bonus_m{b}"] = total(b, _flag("N") & _status("O"))
-        measures[f"claim_device_bonus_m{b}"] = total(b, _flag("N") & _status("F"))
-        measures[f"installs_m{b}"] = count(b, _status("O"))
-        measures[f"notifs_m{b}"] = count(b, _flag("N"))
-        measures[f"intersts_m{b}"] = count(b, _flag("A"))
-        measures[f"total_renewals_m{b}"] = count(b, _flag("R"))
-    for b in range(4):
-        small = _flag("N") & (F.col("l_quantity") <= 25)
-        measures[f"active_customer_15d_m{b}"] = count(b, _status("F"))
-        measures[f"service_ticket_m{b}"] = count(b, _flag("A"))
-        measures[f"service_ticket_sla_m{b}"] = count(b, _flag("A") & _status("O"))
-        measures[f"device_ticket_m{b}"] = count(b, small)
-        measures[f"device_ticket_sla_m{b}"] = count(b, small & _status("F"))
-        measures[f"lost_customers_m{b}"] = count(b, F.col("l_discount") > 0.085)
-    card = li.groupBy(F.col("l_suppkey").alias("partner_id")).agg(*[c.alias(n) for n, c in measures.items()])
+    measures = {
+        "fixed_bonus": total(_flag("R")),
+        "claim_rating_bonus": total(_flag("A")),
+        "claim_work_bonus": total(_flag("N") & _status("O")),
+        "claim_device_bonus": total(_flag("N") & _status("F")),
+        "installs": F.count_if(_status("O")),
+        "notifs": F.count_if(_flag("N")),
+        "intersts": F.count_if(_flag("A")),
+        "total_renewals": F.count_if(_flag("R")),
+        "active_customer_15d": F.count_if(_status("F")),
+        "service_ticket": F.count_if(_flag("A")),
+        "service_ticket_sla": F.count_if(_flag("A") & _status("O")),
+        "device_ticket": F.count_if(small),
+        "device_ticket_sla": F.count_if(small & _status("F")),
+        "lost_customers": F.count_if(F.col("l_discount") > 0.085),
+    }
+    # One row per partner and month (all other months together) before the months go side by side.
+    off = month_offset(F.col("l_shipdate"), AS_OF)
+    monthly = (
+        t.raw("lineitem")
+        .groupBy(F.col("l_suppkey").alias("partner_id"), F.when(off.between(0, 3), off).alias("_off"))
+        .agg(
+            F.sum(price).alias("_earned"),
+            F.count(F.lit(1)).alias("_rows"),
+            *[c.alias(n) for n, c in measures.items()],
+        )
+    )
+    wide = {"life_time_earning": F.sum("_earned"), "active_customer": F.sum("_rows")}
+    for name in measures:
+        for b in range(3 if name.endswith("_bonus") or name in ("installs", "notifs", "intersts", "total_renewals") else 4):
+            value = F.max(F.when(F.col("_off") == b, F.col(name)))
+            wide[f"{name}_m{b}"] = value if name.endswith("_bonus") else F.coalesce(value, F.lit(0))
+    card = monthly.groupBy("partner_id").agg(*[c.alias(n) for n, c in wide.items()])
 
     changed = {}
     for b in range(3):

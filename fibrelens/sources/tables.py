@@ -26,18 +26,19 @@ def _fit(value: Column, have: T.DataType, want: T.DataType) -> Column:
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
-    """Lower-case the column names, apply the known aliases, keep and type the needed columns."""
-    want = table_schema(name)
-    df = df.toDF(*[c.lower() for c in df.columns])
-    known = set(df.columns)
-    df = df.withColumnsRenamed(
-        {old: new for old, new in ALIASES.get(name, {}).items() if old in known and new not in known}
-    )
-    missing = [f.name for f in want if f.name not in df.columns]
+    """Find the needed columns in any letter case or under a known alias, and type them."""
+    found = {field.name.lower(): field for field in df.schema}
+    aliases = {new: old for old, new in ALIASES.get(name, {}).items()}
+    picked, missing = [], []
+    for want in table_schema(name):
+        have = found.get(want.name) or found.get(aliases.get(want.name, ""))
+        if have is None:
+            missing.append(want.name)
+        else:
+            picked.append(_fit(F.col(f"`{have.name}`"), have.dataType, want.dataType).alias(want.name))
     if missing:
         raise ValueError(f"table {name} lacks columns: {', '.join(missing)}")
-    have = df.schema
-    return df.select(*[_fit(F.col(f.name), have[f.name].dataType, f.dataType).alias(f.name) for f in want])
+    return df.select(*picked)
 
 
 def load_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet") -> DataFrame:
