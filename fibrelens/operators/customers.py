@@ -46,6 +46,7 @@ def partner_mobiles(plans: DataFrame) -> DataFrame:
             F.max("device_id").alias("device_id"),
             F.max("account_id").alias("account_id"),
         )
+        .select("partner_id", "mobile", "nas_id", "device_id", "account_id")
     )
 
 
@@ -55,6 +56,7 @@ def device_lookup(devices: DataFrame) -> DataFrame:
         devices.filter(F.col("partner_id").isNotNull() & F.col("customer_id").isNotNull())
         .groupBy("customer_id", "partner_id")
         .agg(F.max("device_id").alias("lookup_device_id"))
+        .select("partner_id", "customer_id", "lookup_device_id")
     )
 
 
@@ -100,6 +102,7 @@ def recharge_count(plans: DataFrame) -> DataFrame:
         .filter((F.col("charges") > 0) & F.col("mobile").isNotNull())
         .groupBy("mobile", "partner_id")
         .agg(F.count(F.lit(1)).alias("recharge_count"))
+        .select("partner_id", "mobile", "recharge_count")
     )
 
 

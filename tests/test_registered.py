@@ -1,0 +1,78 @@
+"""Every registered query against its expected result in DuckDB, and invariants."""
+
+import decimal
+import math
+import os
+from glob import glob
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from fibrelens.plans.registry import all_queries
+from conftest import by
+
+SMALL = "/root/testdata/sf0.001"
+QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for path in glob(f"{SMALL}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    return con
+
+
+def plain(value):
+    if isinstance(value, float) and math.isnan(value):
+        return None
+    assert not isinstance(value, decimal.Decimal)
+    return value
+
+
+def rows_of(columns, rows):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
+
+
+def test_every_query_has_an_expected_result():
+    assert QUERIES.keys() == ORACLES.keys()
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
+def test_matches_expected(spark, duck, name):
+    df = QUERIES[name](spark, SMALL)
+    result = duck.execute(ORACLES[name])
+    columns = [d[0] for d in result.description]
+    assert sorted(df.columns) == sorted(columns)
+    got = rows_of(df.columns, df.collect())
+    assert got and got == rows_of(columns, result.fetchall())
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() == 10
+
+
+def test_invariants(spark):
+    run = lambda name: all_queries()[name](spark, SMALL)
+    for r in run("partner_scorecard").collect():
+        assert r.live <= r.active <= r.total_gross
+        assert r.resolved_1m <= r.tickets_1m
+    for r in run("customer_status_counts").collect():
+        assert r.active_customers + r.expired_customers + r.no_plan_customers == r.total_customers
+    for r in run("ticket_sla").collect():
+        assert r.sla_met <= r.total_tickets
+    assert run("customer_360").count() == run("partner_mobiles").count()
+
+
+def test_input_order_does_not_matter(spark, monkeypatch):
+    from fibrelens.plans.testbed import Testbed
+
+    names = ["mobile_summary", "customer_360", "wallet_transactions", "latest_optical", "ticket_sla"]
+    before = {n: rows_of(QUERIES[n](spark, SMALL).columns, QUERIES[n](spark, SMALL).collect()) for n in names}
+    raw = Testbed.raw
+    monkeypatch.setattr(Testbed, "raw", lambda self, name: raw(self, name).repartition(5))
+    for n in names:
+        df = QUERIES[n](spark, SMALL)
+        assert rows_of(df.columns, df.collect()) == before[n]
