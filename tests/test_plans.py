@@ -14,14 +14,15 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def plan_of(df, *, broadcast=True):
-    conf, key = df.sparkSession.conf, "spark.sql.autoBroadcastJoinThreshold"
-    before = conf.get(key)
+    """Physical plan as text, without shortened filter lists."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.maxMetadataStringLength", "10000")
+    conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB" if broadcast else "-1")
     try:
-        if not broadcast:
-            conf.set(key, "-1")
         return df._jdf.queryExecution().executedPlan().toString()
     finally:
-        conf.set(key, before)
+        conf.unset("spark.sql.maxMetadataStringLength")
+        conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 @pytest.fixture
