@@ -52,6 +52,35 @@ def _expiry(tz_offset_min: int) -> Column:
     return shift_minutes(add_seconds(F.col("plan_start_time"), F.col("time_plan")), tz_offset_min)
 
 
+def plan_rollup(plans: DataFrame, roster: DataFrame, tz_offset_min: int = 0) -> DataFrame:
+    """Per (city, partner, mobile): plan count, first start, last plan and latest expiry.
+
+    All city figures follow from it, so that a report reads the plan rows once.
+    """
+    members = _Members(roster)
+    expiry = _expiry(tz_offset_min)
+    per_partner = (
+        members.keep(plans)
+        .groupBy("mobile", "partner_id")
+        .agg(
+            F.count(F.lit(1)).alias("recharge_count"),
+            F.min("plan_start_time").alias("first_start"),
+            newest(F.col("plan_start_time").alias("start"), expiry.alias("expiry")).alias("_last"),
+            F.max(expiry).alias("latest_expiry"),
+        )
+    )
+    return members.attach_city(per_partner)
+
+
+def _still_active(expiry: Column, as_of: AsOf) -> Column:
+    return expiry >= ts_lit(days_before(as_of, GRACE_DAYS))
+
+
+def _count_active(city_mobiles: DataFrame, roster: DataFrame) -> DataFrame:
+    counts = city_mobiles.select("mobile", "city").distinct().groupBy("city").agg(F.count("mobile").alias("active_base"))
+    return roster.select("city").distinct().join(counts, "city", "left").fillna(0, ["active_base"])
+
+
 def city_active_base(plans: DataFrame, roster: DataFrame, as_of: AsOf, tz_offset_min: int = 0) -> DataFrame:
     """Customers per city whose latest expiry lies ahead or at most 15 days back.
 
@@ -59,18 +88,14 @@ def city_active_base(plans: DataFrame, roster: DataFrame, as_of: AsOf, tz_offset
     that qualifies: old plans go before the shuffle. Cities without any show 0.
     """
     members = _Members(roster)
-    alive = plans.filter(
-        F.col("mobile").isNotNull() & (_expiry(tz_offset_min) >= ts_lit(days_before(as_of, GRACE_DAYS)))
-    )
-    pairs = members.keep(alive).select("partner_id", "mobile").distinct()
-    counts = (
-        members.attach_city(pairs)
-        .select("city", "mobile")
-        .distinct()
-        .groupBy("city")
-        .agg(F.count(F.lit(1)).alias("active_base"))
-    )
-    return roster.select("city").distinct().join(counts, "city", "left").fillna(0, ["active_base"])
+    alive = plans.filter(F.col("mobile").isNotNull() & _still_active(_expiry(tz_offset_min), as_of))
+    pairs = members.keep(alive).select("mobile", "partner_id").distinct()
+    return _count_active(members.attach_city(pairs), roster)
+
+
+def active_base_from_rollup(rollup: DataFrame, roster: DataFrame, as_of: AsOf) -> DataFrame:
+    """``city_active_base`` out of a ``plan_rollup``."""
+    return _count_active(rollup.filter(_still_active(F.col("latest_expiry"), as_of)), roster)
 
 
 def daily_leads_installs(
@@ -87,12 +112,34 @@ def daily_leads_installs(
     row per customer first and then counted together, so days of either kind appear.
     """
     members = _Members(roster)
+    starts = members.keep(plans).groupBy("mobile", "partner_id").agg(F.min("plan_start_time").alias("first_start"))
+    return _daily(members.attach_city(starts), members, bookings, as_of, install_offset_min, lead_offset_min)
+
+
+def daily_from_rollup(
+    rollup: DataFrame,
+    bookings: DataFrame,
+    roster: DataFrame,
+    as_of: AsOf,
+    install_offset_min: int = 0,
+    lead_offset_min: int = LEAD_OFFSET_MIN,
+) -> DataFrame:
+    """``daily_leads_installs`` out of a ``plan_rollup``."""
+    return _daily(rollup, _Members(roster), bookings, as_of, install_offset_min, lead_offset_min)
+
+
+def _daily(
+    first_starts: DataFrame,
+    members: _Members,
+    bookings: DataFrame,
+    as_of: AsOf,
+    install_offset_min: int,
+    lead_offset_min: int,
+) -> DataFrame:
     since = ts_lit(days_before(as_of, WINDOW_DAYS))
-    per_partner = members.keep(plans).groupBy("mobile", "partner_id").agg(F.min("plan_start_time").alias("_first"))
     installs = (
-        members.attach_city(per_partner)
-        .groupBy("mobile", "city")
-        .agg(F.min("_first").alias("_first"))
+        first_starts.groupBy("mobile", "city")
+        .agg(F.min("first_start").alias("_first"))
         .filter(F.col("_first") >= since)
         .select(
             "city",
@@ -104,12 +151,12 @@ def daily_leads_installs(
     local_day = shift_minutes(F.col("added_time"), lead_offset_min).cast("date")
     asked = (
         members.keep(bookings.filter(F.col("added_time") >= since))
-        .select("partner_id", local_day.alias("day"), "mobile")
+        .select("mobile", "partner_id", local_day.alias("day"))
         .distinct()
     )
     leads = (
         members.attach_city(asked)
-        .select("city", "day", F.lit(None).cast("string").alias("_install"), F.col("mobile").alias("_lead"))
+        .select(F.col("mobile").alias("_lead"), "city", "day", F.lit(None).cast("string").alias("_install"))
         .distinct()
     )
     return (
@@ -132,19 +179,8 @@ def recharge_counts(plans: DataFrame, roster: DataFrame) -> DataFrame:
     return members.attach_city(counts).select("city", "partner_id", "mobile", "recharge_count")
 
 
-def _per_partner_mobile(plans: DataFrame, roster: DataFrame, tz_offset_min: int) -> DataFrame:
-    """Recharges, first start and last plan per (city, partner, mobile)."""
-    members = _Members(roster)
-    per_partner = (
-        members.keep(plans.filter(F.col("mobile").isNotNull()))
-        .groupBy("mobile", "partner_id")
-        .agg(
-            F.count(F.lit(1)).alias("recharge_count"),
-            F.min("plan_start_time").alias("first_start"),
-            newest(F.col("plan_start_time").alias("start"), _expiry(tz_offset_min).alias("expiry")).alias("_last"),
-        )
-    )
-    return members.attach_city(per_partner)
+def _known_mobiles(rollup: DataFrame) -> DataFrame:
+    return rollup.filter(F.col("mobile").isNotNull())
 
 
 def _first_in_city() -> Column:
@@ -158,7 +194,7 @@ def _last_in_city() -> Column:
 def first_last_plan(plans: DataFrame, roster: DataFrame, tz_offset_min: int = 0) -> DataFrame:
     """First and last plan per (city, mobile), whichever partners of the city sold them."""
     return (
-        _per_partner_mobile(plans, roster, tz_offset_min)
+        _known_mobiles(plan_rollup(plans, roster, tz_offset_min))
         .groupBy("mobile", "city")
         .agg(_first_in_city().alias("_f"), _last_in_city().alias("_l"))
         .select(
@@ -181,7 +217,7 @@ def mobile_summary(plans: DataFrame, roster: DataFrame, tz_offset_min: int = 0)
     """
     one_mobile = Window.partitionBy("mobile", "city")
     return (
-        _per_partner_mobile(plans, roster, tz_offset_min)
+        _known_mobiles(plan_rollup(plans, roster, tz_offset_min))
         .withColumn("_f", _first_in_city().over(one_mobile))
         .withColumn("_l", _last_in_city().over(one_mobile))
         .select(
@@ -209,9 +245,7 @@ def tickets_30d(ticket_daily: DataFrame, roster: DataFrame, as_of: AsOf) -> Data
 _METRICS = ("total_gross", "active", "live", "r30_plus", "m1_expired", "m1_renewed")
 
 
-def _partner_metrics(
-    plans: DataFrame, roster: DataFrame, as_of: AsOf, tz_offset_min: int, recharge_scope: str
-) -> DataFrame:
+def _partner_metrics(rollup: DataFrame, as_of: AsOf, recharge_scope: str) -> DataFrame:
     """The six customer counts per (city, first partner).
 
     There is one row per (city, mobile) before counting, so plain counts are distinct ones.
@@ -225,7 +259,7 @@ def _partner_metrics(
         raise ValueError("recharge_scope must be 'partner' or 'mobile'")
 
     mobiles = (
-        _per_partner_mobile(plans, roster, tz_offset_min)
+        _known_mobiles(rollup)
         .groupBy("mobile", "city")
         .agg(_first_in_city().alias("_f"), _last_in_city().alias("_l"), once.alias("once"), again.alias("again"))
     )
@@ -256,7 +290,15 @@ def partner_scorecard(
     ``recharge_scope`` says what "recharged again" looks at: a mobile's plans at one partner
     (so a mobile with two partners can count both as expired and as renewed), or all of them.
     """
-    metrics = _partner_metrics(plans, roster, as_of, tz_offset_min, recharge_scope)
+    rollup = plan_rollup(plans, roster, tz_offset_min)
+    return scorecard_from_rollup(rollup, roster, ticket_daily, as_of, recharge_scope)
+
+
+def scorecard_from_rollup(
+    rollup: DataFrame, roster: DataFrame, ticket_daily: DataFrame, as_of: AsOf, recharge_scope: str = "partner"
+) -> DataFrame:
+    """``partner_scorecard`` out of a ``plan_rollup``."""
+    metrics = _partner_metrics(rollup, as_of, recharge_scope)
     tickets = tickets_30d(ticket_daily, roster, as_of)
     zeros = [*_METRICS, "tickets_1m", "resolved_1m"]
     return (

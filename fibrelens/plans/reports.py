@@ -75,13 +75,17 @@ def partner_page(tables: Tables, as_of: AsOf, zones: Sequence[str] = ZONES) -> d
 
 
 def city_page(tables: Tables, cities: DataFrame, as_of: AsOf) -> dict[str, DataFrame]:
-    """Every section of the city page for all cities of ``cities``."""
+    """Every section of the city page for all cities of ``cities``.
+
+    The plan rows are read and shuffled once, into a rollup kept in the shared checkpoint
+    folder, from which all three sections follow.
+    """
     roster = city.city_roster(tables["roster"], cities)
-    daily = city.daily_leads_installs(tables["plans"], tables["bookings"], roster, as_of)
-    scorecard = city.partner_scorecard(tables["plans"], roster, tables["ticket_daily"], as_of)
+    rollup = checkpointed(city.plan_rollup(tables["plans"], roster))
+    daily = city.daily_from_rollup(rollup, tables["bookings"], roster, as_of)
     return {
-        "active_base": city.city_active_base(tables["plans"], roster, as_of),
+        "active_base": city.active_base_from_rollup(rollup, roster, as_of),
         "daily": daily,
         "totals": city.leads_installs_totals(daily),
-        "partners": city.scorecard_ratios(scorecard),
+        "partners": city.scorecard_ratios(city.scorecard_from_rollup(rollup, roster, tables["ticket_daily"], as_of)),
     }

@@ -61,6 +61,21 @@ def test_active_base_grace_edges(table, roster, roster_size):
     assert {r.city: r.active_base for r in got.collect()} == {"X": 4, "Y": 0}
 
 
+def test_rollup_gives_the_same(table, roster, roster_size):
+    rows = [plan(i % 3, None if i % 11 == 0 else f"m{i % 17}", f"2024-0{1 + i % 3}-{1 + i % 28:02d} 00:00:00", i % 30) for i in range(200)]
+    bookings = table("bookings", [dict(mobile=f"l{i}", partner_id=i % 4, added_time=f"2024-03-{1 + i % 14:02d} 19:00:00") for i in range(40)])
+    plans, tickets = table("plans", rows), table("ticket_daily", [])
+    pairs = roster(("X", 0, "a"), ("X", 1, "b"), ("Y", 1, "b"), ("Y", 2, "c"))
+    rollup = city.plan_rollup(plans, pairs)
+    for alone, shared in (
+        (city.city_active_base(plans, pairs, AS_OF), city.active_base_from_rollup(rollup, pairs, AS_OF)),
+        (city.daily_leads_installs(plans, bookings, pairs, AS_OF), city.daily_from_rollup(rollup, bookings, pairs, AS_OF)),
+        (city.partner_scorecard(plans, pairs, tickets, AS_OF), city.scorecard_from_rollup(rollup, pairs, tickets, AS_OF)),
+    ):
+        got = sorted(map(tuple, alone.collect()))
+        assert got and got == sorted(map(tuple, shared.collect()))
+
+
 def test_daily_leads_and_installs(table, roster, roster_size):
     plans = table(
         "plans",

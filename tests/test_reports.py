@@ -1,0 +1,63 @@
+"""The report bundles against the single operators."""
+
+import pytest
+
+from fibrelens.operators import city
+from fibrelens.plans import reports
+from fibrelens.plans.registry import all_queries
+from fibrelens.plans.testbed import AS_OF, ZONES, Testbed
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def bed(spark):
+    return Testbed(spark, SMALL)
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_city_page(bed):
+    page = reports.city_page(bed, bed.cities(), AS_OF)
+    roster = city.city_roster(bed["roster"], bed.cities())
+    assert rows(page["active_base"]) == rows(city.city_active_base(bed["plans"], roster, AS_OF))
+    daily = city.daily_leads_installs(bed["plans"], bed["bookings"], roster, AS_OF)
+    assert rows(page["daily"]) == rows(daily)
+    assert rows(page["totals"]) == rows(city.leads_installs_totals(daily))
+    scorecard = city.partner_scorecard(bed["plans"], roster, bed["ticket_daily"], AS_OF)
+    assert rows(page["partners"]) == rows(city.scorecard_ratios(scorecard))
+
+
+def test_partner_page(spark, bed):
+    page = reports.partner_page(bed, AS_OF, ZONES)
+    shown = {r.partner_id for r in bed["growth_card"].filter("zone <> 'MIDDLE EAST'").collect()}
+    queries = {
+        "sla": "live_sla_override",
+        "devices": "device_location_counts",
+        "signal": "signal_summary",
+        "active_base": "active_base_trend",
+        "churn": "churn_estimate",
+        "tickets": "ticket_series",
+        "customer_counts": "customer_status_counts",
+        "customers": "customer_report",
+        "wallet": "wallet_report",
+        "fields": "partner_fields",
+    }
+    for section, name in queries.items():
+        whole = [r for r in all_queries()[name](spark, SMALL).collect() if r.partner_id in shown]
+        got = page[section].collect()
+        assert {r.partner_id for r in got} <= shown
+        if section != "signal":  # rounded means in the registered query
+            assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, whole), key=repr), section
+    assert page["customers"].count() == sum(r.total_customers for r in page["customer_counts"].collect())
+    assert page["scores"].count() == len(shown)
+    assert page["earnings"].count() == page["engagement"].count() == 3 * len(shown)
+    assert page["wallet_summary"].count() == len(shown)
+
+
+def test_overview_page(spark, bed):
+    got = reports.overview_page(bed, AS_OF, ZONES).collect()
+    want = all_queries()["partner_overview"](spark, SMALL).collect()
+    assert [(r.partner_id, float(r.corrected_m0_payout)) for r in got] == [(r.partner_id, r.corrected_m0_payout) for r in want]
