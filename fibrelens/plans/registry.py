@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fibrelens.functions import values
 from fibrelens.operators import base, calendar, city, customers, devices, payouts, tickets, wallet
 from fibrelens.plans.reports import customers_of
 from fibrelens.plans.testbed import AS_OF, ZONES, Testbed
@@ -58,10 +59,25 @@ def _months(t: Testbed) -> DataFrame:
 
 
 def _signal(t: Testbed) -> DataFrame:
-    means = {c: F.round(c, 6) for c in ("avg_optical", "avg_speed")}
+    means = {c: F.round(c, 9) for c in ("avg_optical", "avg_speed")}
     return customers.signal_summary(customers_of(t, AS_OF)).withColumns(means)
 
 
+def _casts(t: Testbed) -> DataFrame:
+    """Numbers out of texts that hold one, a broken one or none."""
+    price, quantity = F.col("l_extendedprice").cast("string"), F.col("l_quantity").cast("string")
+    text = F.when(F.col("l_linenumber") == 7, "n/a").when(F.col("l_linenumber") != 6, price)
+    return (
+        t.raw("lineitem")
+        .groupBy("l_linenumber")
+        .agg(
+            F.sum(values.safe_long(text)).alias("whole_prices"),
+            F.sum(values.safe_double(text).cast("decimal(18,2)")).alias("prices"),
+            F.sum(values.safe_long(quantity)).alias("quantities"),
+        )
+    )
+
+
 def _scores(t: Testbed) -> DataFrame:
     return base.partner_scores(t["partner_scores"], t["roster"])
 
@@ -93,6 +109,8 @@ _QUERIES: dict[str, Callable[[Testbed], DataFrame]] = {
     "partner_detail": lambda t: base.partner_detail(t["growth_card"]),
     "partner_scores": _scores,
     "partner_names": lambda t: base.partner_names(_card(t)),
+    "find_partner": lambda t: base.find_partner(_card(t), "Supplier#000000007"),
+    "safe_casts": _casts,
     "partner_fields": lambda t: base.partner_fields(_card(t)),
     "fixed_payout_monthly": lambda t: payouts.fixed_payout_monthly(t["disbursements"], AS_OF),
     "fixed_payout_bulk": lambda t: payouts.fixed_payout_monthly_bulk(t["disbursements"], _card(t), AS_OF),

@@ -6,6 +6,8 @@ counts and separate joins where the Spark side aggregates once.
 
 from __future__ import annotations
 
+import re
+
 from fibrelens.plans.testbed import AS_OF, EVENT_SHIFT_DAYS, NEW_LEDGER_START, OLD_LEDGER_END, ZONES
 
 _NOW = f"TIMESTAMP '{AS_OF}'"
@@ -513,6 +515,11 @@ FROM disbursements WHERE added_time >= TIMESTAMP '{_M[3]}' AND added_time < TIME
     "partner_detail": _doubles("growth_card", _GROWTH_MONEY),
     "partner_scores": "SELECT r.partner_id, s.* EXCLUDE (partner_id) FROM (SELECT DISTINCT partner_id FROM roster) r LEFT JOIN scores s ON s.partner_id = r.partner_id",
     "partner_names": "SELECT partner_name FROM card WHERE partner_name IS NOT NULL ORDER BY partner_name",
+    "find_partner": _doubles("card", _MONEY_FIELDS) + " WHERE partner_name = 'Supplier#000000007' ORDER BY partner_id LIMIT 1",
+    "safe_casts": """SELECT l_linenumber, CAST(sum(CASE WHEN l_linenumber < 6 THEN trunc(l_extendedprice) ELSE 0 END) AS BIGINT) AS whole_prices,
+  CAST(sum(CAST(CASE WHEN l_linenumber < 6 THEN l_extendedprice ELSE 0 END AS DECIMAL(18,2))) AS DOUBLE) AS prices,
+  CAST(sum(l_quantity) AS BIGINT) AS quantities
+FROM lineitem GROUP BY l_linenumber""",
     "partner_fields": " UNION ALL ".join(
         f"SELECT partner_id, '{f}' AS field, CAST({f} AS VARCHAR) AS value FROM card" for f in _CARD_FIELDS
     ),
@@ -558,9 +565,9 @@ WHERE {_created(_WINDOW)} GROUP BY t.partner_id, t.type""",
     "latest_speed": "SELECT * FROM spd",
     "plan_status": "SELECT * EXCLUDE (last_recharge) FROM status",
     "customer_360": "SELECT * FROM c360",
-    "signal_summary": f"""SELECT partner_id, count(avg_optical_dbm) AS optical_n, round(avg(avg_optical_dbm), 6) AS avg_optical,
+    "signal_summary": f"""SELECT partner_id, count(avg_optical_dbm) AS optical_n, round(avg(avg_optical_dbm), 9) AS avg_optical,
   {_pct("count(*) FILTER (avg_optical_dbm IS NOT NULL AND optical_health = 'Good')", "count(avg_optical_dbm)")} AS optical_good_pct,
-  count(actual_speed_mbps) AS speed_n, round(avg(actual_speed_mbps), 6) AS avg_speed FROM c360 GROUP BY partner_id""",
+  count(actual_speed_mbps) AS speed_n, round(avg(actual_speed_mbps), 9) AS avg_speed FROM c360 GROUP BY partner_id""",
     "customer_status_counts": """SELECT partner_id, count(*) AS total_customers, count(*) FILTER (status = 'Active') AS active_customers,
   count(*) FILTER (status = 'Expired') AS expired_customers, count(*) FILTER (status = 'No Plan') AS no_plan_customers
 FROM c360 GROUP BY partner_id""",
@@ -600,8 +607,6 @@ _KNOWN = {**_TABLES, **_STEPS}
 
 def _needs(sql: str) -> list[str]:
     """Names of the shared steps a statement mentions, directly or through others, in order of dependence."""
-    import re
-
     found: set[str] = set()
     todo = [sql]
     while todo:
@@ -616,5 +621,5 @@ def all_oracles() -> dict[str, str]:
     out = {}
     for name, sql in _RESULTS.items():
         steps = ",\n".join(f"{step} AS ({_KNOWN[step]})" for step in _needs(sql))
-        out[name] = f"WITH {steps}\n{sql}"
+        out[name] = f"WITH {steps}\n{sql}" if steps else sql
     return out

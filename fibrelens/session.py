@@ -15,6 +15,25 @@ SETTINGS = {
 }
 
 
+# Shuffle data per task aimed at when a cluster job is sized.
+TASK_BYTES = 128 * 1024 * 1024
+
+
+def settings_for(shuffle_bytes: int) -> dict[str, str]:
+    """Settings for a job whose largest shuffle writes about ``shuffle_bytes``.
+
+    The first number of shuffle partitions is set so that each holds ``TASK_BYTES``; Spark
+    merges partitions that turn out smaller. The default of 200 would put hundreds of
+    gigabytes into one task at 100 TB.
+    """
+    partitions = max(200, -(-shuffle_bytes // TASK_BYTES))
+    return {
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(TASK_BYTES),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * TASK_BYTES),
+    }
+
+
 def build_session(app_name: str = "fibrelens", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings above; ``conf`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app_name)

@@ -4,13 +4,14 @@ from decimal import Decimal as D
 import pytest
 
 from fibrelens.functions import times, values
+from fibrelens.session import TASK_BYTES, checkpointed, settings_for
 from fibrelens.sources.dimensions import ZONES
 from fibrelens.sources.schemas import TABLES
 from fibrelens.sources.tables import conform, load_catalog_table, load_table, load_tables, table_schema
 from pyspark.sql import functions as F
 
 
-def test_all_sixteen_tables_have_a_schema():
+def test_all_sixteen_tables_have_a_schema(spark):
     assert len(TABLES) == 16
     for name in TABLES:
         assert len(table_schema(name)) >= 2
@@ -73,3 +74,17 @@ def test_months():
 def test_day_gap_counts_boundaries(frame):
     df = frame([(datetime(2024, 1, 1, 23), datetime(2024, 1, 2, 1))], "a timestamp_ntz, b timestamp_ntz")
     assert df.select(times.day_gap(F.col("b"), F.col("a")).alias("d")).first().d == 1
+
+
+def test_shuffle_sizing():
+    small, huge = settings_for(10**9), settings_for(20 * 10**12)
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    assert small[key] == "200"
+    assert int(huge[key]) * TASK_BYTES >= 20 * 10**12
+
+
+def test_checkpoint_folder_is_the_sessions_own(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    got = checkpointed(spark.range(5))
+    assert got.count() == 5
+    assert any(tmp_path.rglob("part-*"))
