@@ -25,6 +25,7 @@ def wallet_transactions(
     one; the new (UTC) time is compared as it stands with the old local time. Both orders
     run along time, so that bound only drops the oldest new rows and the newest n of each
     ledger are enough to find it and the result: the full ledgers are never shuffled.
+    For the statement of a few partners, filter both ledgers by partner beforehand.
     """
     old = ledger_old.select(
         "partner_id",
@@ -85,7 +86,7 @@ def wallet_report(transactions: DataFrame) -> DataFrame:
     return transactions.select(
         "partner_id",
         F.col("row_no").alias("#"),
-        F.date_format("added_at_ist", "yyyy-MM-dd HH:mm:ss").alias("Date & Time (IST)"),
+        F.substring(F.col("added_at_ist").cast("string"), 1, 19).alias("Date & Time (IST)"),
         F.col("action").alias("Type"),
         amount.alias("Amount"),
         F.concat(F.lit(RUPEE), F.format_number(or_zero(F.col("balance")), 2)).alias("Balance After"),
