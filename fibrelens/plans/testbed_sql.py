@@ -1,7 +1,7 @@
 """The testbed mapping in DuckDB SQL, and a plain statement of what each query must return.
 
-Written from the definitions, not from the Spark plans: ranks with QUALIFY, distinct
-counts and separate joins where the Spark side aggregates once.
+Written from the definitions, not from the Spark plans: ordered windows, DISTINCT ON, EXISTS
+and separate joins where the Spark side aggregates once.
 """
 
 from __future__ import annotations
@@ -181,23 +181,21 @@ def _card_sql() -> str:
 FROM growth_card WHERE zone IN ({zones})"""
 
 
-def _partner_metrics_sql(scope_count: str) -> str:
-    installed = f"date_diff('day', first_start, {_NOW}) >= 30"
-    return f"""SELECT c.city, c.partner_id, c.partner_name, count(DISTINCT mobile) AS total_gross,
-  count(DISTINCT CASE WHEN last_expiry >= {_NOW} OR date_diff('day', last_expiry, {_NOW}) <= 15 THEN mobile END) AS active,
-  count(DISTINCT CASE WHEN last_expiry >= {_NOW} THEN mobile END) AS live,
-  count(DISTINCT CASE WHEN date_diff('day', last_start, {_NOW}) >= 30 THEN mobile END) AS r30_plus,
-  count(DISTINCT CASE WHEN {installed} AND {scope_count} = 1 THEN mobile END) AS m1_expired,
-  count(DISTINCT CASE WHEN {installed} AND {scope_count} > 1 THEN mobile END) AS m1_renewed
+def _scorecard_sql(scope: str) -> str:
+    """``scope`` names the sold-once and sold-again flags to use."""
+    return f"""SELECT city, c.partner_id, partner_name,
+  coalesce(total_gross, 0) AS total_gross, coalesce(active, 0) AS active, coalesce(live, 0) AS live,
+  coalesce(r30_plus, 0) AS r30_plus, coalesce(m1_expired, 0) AS m1_expired, coalesce(m1_renewed, 0) AS m1_renewed,
+  coalesce(tickets_1m, 0)::BIGINT AS tickets_1m, coalesce(resolved_1m, 0)::BIGINT AS resolved_1m
 FROM city_partners c
-LEFT JOIN (SELECT *, sum(recharge_count) OVER (PARTITION BY city, mobile) AS all_recharges FROM mobile_summary) m
-  ON m.city = c.city AND m.partner_id = c.partner_id
-GROUP BY ALL"""
-
-
-def _scorecard_sql(scope_count: str) -> str:
-    return f"""SELECT pm.*, CAST(coalesce(tickets_1m, 0) AS BIGINT) AS tickets_1m, CAST(coalesce(resolved_1m, 0) AS BIGINT) AS resolved_1m
-FROM ({_partner_metrics_sql(scope_count)}) pm LEFT JOIN tickets_30d t ON t.partner_id = pm.partner_id"""
+LEFT JOIN (SELECT city, first_partner_id AS partner_id, count(*) AS total_gross,
+    count(*) FILTER (last_expiry::DATE >= {_TODAY} - 15) AS active,
+    count(*) FILTER (last_expiry >= {_NOW}) AS live,
+    count(*) FILTER (last_start::DATE <= {_TODAY} - 30) AS r30_plus,
+    count(*) FILTER (first_start::DATE <= {_TODAY} - 30 AND once_{scope}) AS m1_expired,
+    count(*) FILTER (first_start::DATE <= {_TODAY} - 30 AND again_{scope}) AS m1_renewed
+  FROM city_mobiles JOIN city_repeats USING (city, mobile) GROUP BY ALL) counted USING (city, partner_id)
+LEFT JOIN recent_tickets t ON t.partner_id = c.partner_id"""
 
 
 def _live_cols_sql() -> str:
@@ -269,8 +267,8 @@ def _ticket_series_sql() -> str:
     return " UNION ALL ".join(months)
 
 
-_COUNTABLE = f"""NOT is_deleted AND added_time >= TIMESTAMP '{_M[3]}'
-  AND (bonus_status = 5 OR date_trunc('month', added_time) = date_trunc('month', {_TODAY}))"""
+_COUNTABLE = f"""coalesce(NOT is_deleted, false) AND added_time >= TIMESTAMP '{_M[3]}'
+  AND CASE WHEN strftime(added_time, '%Y-%m') = '{_M[0][:7]}' THEN true ELSE bonus_status = 5 END"""
 
 
 def _paid(b: int) -> str:
@@ -299,9 +297,20 @@ FROM card c"""
     return " UNION ALL ".join(months)
 
 
-def _current_plan_text() -> str:
-    return """nullif(concat_ws(' | ', nullif(speed_mbps || ' Mbps', ' Mbps'), nullif(plan_days || 'd', 'd'),
-  nullif('Rs ' || CAST(floor(charges + 0.5) AS BIGINT), 'Rs ')), '')"""
+def _joined(parts: list[str], sep: str) -> str:
+    """Non-empty parts as one text, NULL when there are none."""
+    filled = ", ".join(f"CASE WHEN ({part}) <> '' THEN {part} END" for part in parts)
+    return f"nullif(concat_ws('{sep}', {filled}), '')"
+
+
+_PLAN_TEXT = _joined(
+    [
+        "CASE WHEN speed_mbps <> '' THEN speed_mbps || ' Mbps' END",
+        "plan_days || 'd'",
+        "'Rs ' || floor(charges + 0.5)::BIGINT",
+    ],
+    " | ",
+)
 
 
 def _valid(path: str, text: str) -> str:
@@ -311,27 +320,26 @@ def _valid(path: str, text: str) -> str:
 _STEPS: dict[str, str] = {
     "city_plans": """SELECT city, p.partner_id, mobile, plan_start_time, plan_start_time + to_seconds(time_plan) AS expiry
 FROM plans p JOIN (SELECT DISTINCT city, partner_id FROM city_partners) c ON c.partner_id = p.partner_id""",
-    "mobile_counts": "SELECT city, partner_id, mobile, count(*) AS recharge_count FROM city_plans GROUP BY ALL",
-    "first_plan": """SELECT city, mobile, partner_id, plan_start_time AS first_start FROM city_plans
-QUALIFY row_number() OVER (PARTITION BY city, mobile ORDER BY plan_start_time ASC NULLS LAST, partner_id) = 1""",
-    "last_plan": """SELECT city, mobile, partner_id, plan_start_time AS last_start, expiry AS last_expiry FROM city_plans
-QUALIFY row_number() OVER (PARTITION BY city, mobile
-  ORDER BY plan_start_time DESC NULLS LAST, expiry DESC NULLS LAST, partner_id DESC) = 1""",
-    "mobile_summary": """SELECT f.city, f.partner_id, f.mobile, first_start, last_start, last_expiry, recharge_count
-FROM first_plan f JOIN last_plan l ON l.city = f.city AND l.mobile = f.mobile
-JOIN mobile_counts n ON n.city = f.city AND n.mobile = f.mobile""",
-    "tickets_30d": f"""SELECT partner_id, sum(total_tickets) AS tickets_1m, sum(resolved_tickets) AS resolved_1m
-FROM ticket_daily WHERE tkt_dt >= {_TODAY} - 30 AND partner_id IN (SELECT partner_id FROM city_partners)
-GROUP BY partner_id""",
-    "scorecard": _scorecard_sql("recharge_count"),
-    "daily": f"""SELECT coalesce(i.city, l.city) AS city, coalesce(i.day, l.day) AS day,
-  coalesce(installs, 0) AS installs, coalesce(leads, 0) AS leads
-FROM (SELECT city, CAST(first_start AS DATE) AS day, count(DISTINCT mobile) AS installs
-  FROM (SELECT city, mobile, min(plan_start_time) AS first_start FROM city_plans GROUP BY ALL) f
-  WHERE first_start >= {_TODAY} - 30 GROUP BY ALL) i
-FULL JOIN (SELECT city, CAST(added_time + INTERVAL 330 MINUTE AS DATE) AS day, count(DISTINCT mobile) AS leads
-  FROM bookings b JOIN (SELECT DISTINCT city, partner_id FROM city_partners) c ON c.partner_id = b.partner_id
-  WHERE added_time >= {_TODAY} - 30 GROUP BY ALL) l ON l.city = i.city AND l.day = i.day""",
+    "sold": "SELECT city, mobile, partner_id, count(*) AS recharge_count FROM city_plans GROUP BY ALL",
+    "city_repeats": """SELECT city, mobile, bool_or(recharge_count = 1) AS once_partner, bool_or(recharge_count > 1) AS again_partner,
+  sum(recharge_count) = 1 AS once_mobile, sum(recharge_count) > 1 AS again_mobile FROM sold GROUP BY ALL""",
+    "city_mobiles": """SELECT DISTINCT city, mobile,
+  first_value(partner_id) OVER up AS first_partner_id, first_value(plan_start_time) OVER up AS first_start,
+  first_value(partner_id) OVER down AS last_partner_id, first_value(plan_start_time) OVER down AS last_start,
+  first_value(expiry) OVER down AS last_expiry
+FROM city_plans
+WINDOW up AS (PARTITION BY city, mobile ORDER BY plan_start_time NULLS LAST, partner_id),
+  down AS (PARTITION BY city, mobile ORDER BY plan_start_time DESC NULLS LAST, expiry DESC NULLS LAST, partner_id DESC)""",
+    "recent_tickets": f"""SELECT partner_id, sum(total_tickets) AS tickets_1m, sum(resolved_tickets) AS resolved_1m
+FROM ticket_daily SEMI JOIN city_partners USING (partner_id) WHERE tkt_dt + 30 >= {_TODAY} GROUP BY partner_id""",
+    "scorecard": _scorecard_sql("partner"),
+    "happenings": f"""SELECT city, 'install' AS kind, mobile, min(plan_start_time)::DATE AS day
+FROM city_plans GROUP BY city, mobile HAVING min(plan_start_time) >= {_TODAY} - 30
+UNION ALL
+SELECT city, 'lead', mobile, (added_time + INTERVAL 330 MINUTE)::DATE
+FROM bookings JOIN (SELECT DISTINCT city, partner_id FROM city_partners) USING (partner_id) WHERE added_time >= {_TODAY} - 30""",
+    "daily": """SELECT city, day, count(DISTINCT mobile) FILTER (kind = 'install') AS installs,
+  count(DISTINCT mobile) FILTER (kind = 'lead') AS leads FROM happenings GROUP BY city, day""",
     "card": _card_sql(),
     "paid": f"""SELECT partner_id, CAST(date_trunc('month', added_time) AS DATE) AS month, strftime(added_time, '%Y-%m') AS month_key,
   sum(amount) AS fixed_paid, count(*) AS renewal_count
@@ -346,71 +354,56 @@ FROM devices WHERE partner_id IS NOT NULL GROUP BY partner_id""",
   coalesce(with_churned_customer, 0) AS ont_with_churned
 FROM card c LEFT JOIN device_counts d ON d.partner_id = c.partner_id""",
     "earnings": _earnings_sql(),
-    "live_tasks": f"""SELECT partner_id, type, task_id, 0 AS off,
-  task_id IN (SELECT task_id FROM ticket_events WHERE {_RESOLVED}) AS met
-FROM ticket_events WHERE event_name = 'TICKET_CREATED' AND added_time >= TIMESTAMP '{_M[0]}'
-UNION ALL SELECT partner_id, type, task_id, 1,
-  task_id IN (SELECT task_id FROM ticket_events WHERE {_RESOLVED} AND added_time < TIMESTAMP '{_M[0]}')
-FROM ticket_events WHERE event_name = 'TICKET_CREATED' AND added_time >= TIMESTAMP '{_M[1]}' AND added_time < TIMESTAMP '{_M[0]}'""",
+    "live_tasks": f"""SELECT partner_id, type, task_id, off,
+  EXISTS (FROM ticket_events r WHERE r.task_id = made.task_id AND {_RESOLVED} AND (off = 0 OR r.added_time < TIMESTAMP '{_M[0]}')) AS met
+FROM (SELECT partner_id, type, task_id, CASE WHEN added_time < TIMESTAMP '{_M[0]}' THEN 1 ELSE 0 END AS off
+  FROM ticket_events WHERE event_name = 'TICKET_CREATED' AND added_time >= TIMESTAMP '{_M[1]}') made""",
     "live": f"SELECT partner_id, {_live_cols_sql()} FROM live_tasks GROUP BY partner_id",
     "best": _best_sql(),
-    "pm": """SELECT partner_id, mobile, max(nas_id) AS nas_id, max(device_id) AS device_id, max(account_id) AS account_id
-FROM plans GROUP BY partner_id, mobile""",
-    "lookup": """SELECT partner_id, customer_id, max(device_id) AS lookup_device_id FROM devices
+    "known_devices": """SELECT partner_id, customer_id, max(device_id) AS lookup_device_id FROM devices
 WHERE partner_id IS NOT NULL GROUP BY partner_id, customer_id""",
-    "resolved": """SELECT pm.partner_id, mobile, coalesce(device_id, lookup_device_id) AS device_id
-FROM pm LEFT JOIN lookup ON lookup.partner_id = pm.partner_id AND customer_id = CAST(account_id AS VARCHAR)""",
-    "cp": """SELECT partner_id, mobile, plan_start_time + INTERVAL 330 MINUTE AS last_recharge,
-  plan_start_time + to_seconds(time_plan) + INTERVAL 330 MINUTE AS plan_expiry,
-  CAST(round(time_plan / 86400.0::DOUBLE) AS BIGINT) AS plan_days, charges, speed_mbps
-FROM plans QUALIFY row_number() OVER (PARTITION BY partner_id, mobile ORDER BY plan_start_time DESC NULLS LAST,
-  time_plan DESC NULLS LAST, charges DESC NULLS LAST, speed_mbps DESC NULLS LAST) = 1""",
-    "names": """SELECT mobile, min(name) AS customer_name FROM bookings
-WHERE mobile IN (SELECT mobile FROM plans) AND is_deleted = false GROUP BY mobile""",
-    "addr": f"""SELECT mobile, nullif(concat_ws(', ', nullif({_valid("$.home", "inner_json")}, ''), nullif({_valid("$.city", "inner_json")}, '')), '') AS address
-FROM (SELECT mobile, {_valid("$.address", "data")} AS inner_json FROM booking_events
-  WHERE event_name = 'address_updated' AND mobile IN (SELECT mobile FROM plans)
-  QUALIFY row_number() OVER (PARTITION BY mobile ORDER BY added_time DESC NULLS LAST, data DESC NULLS LAST) = 1) a""",
-    "ping": """SELECT partner_id, mobile, max(added_date) AS last_ping FROM pm JOIN daily_usage u ON u.nas_id = pm.nas_id
-GROUP BY partner_id, mobile""",
-    "inst": """SELECT mobile, CAST(min(added_time) + INTERVAL 330 MINUTE AS DATE) AS install_date FROM task_events
-WHERE event_name = 'OTP_VERIFIED' AND mobile IN (SELECT mobile FROM plans) GROUP BY mobile""",
-    "rc": "SELECT partner_id, mobile, count(*) AS recharge_count FROM plans WHERE charges > 0 GROUP BY partner_id, mobile",
-    "opt": """SELECT nas_id, date_ist, avg_optical_dbm, optical_health FROM optical_readings
-WHERE nas_id IN (SELECT nas_id FROM plans)
-QUALIFY row_number() OVER (PARTITION BY nas_id ORDER BY date_ist DESC NULLS LAST, avg_optical_dbm DESC NULLS LAST,
-  optical_health DESC NULLS LAST) = 1""",
-    "spd": """SELECT device_id, tested_on, speed, latency, jitter FROM speed_tests
-WHERE device_id IN (SELECT device_id FROM resolved)
-QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY tested_on DESC NULLS LAST, speed DESC NULLS LAST,
-  latency DESC NULLS LAST, jitter DESC NULLS LAST) = 1""",
-    "status": f"""SELECT partner_id, mobile, last_recharge, plan_expiry, {_current_plan_text()} AS plan_details,
-  CASE WHEN plan_expiry < {_NOW} THEN date_diff('day', CAST(plan_expiry AS DATE), {_TODAY}) END AS days_since_expiry,
-  CASE WHEN plan_expiry >= {_NOW} THEN 'Active' WHEN plan_expiry IS NULL THEN 'No Plan' ELSE 'Expired' END AS status
-FROM cp""",
-    "c360": """SELECT pm.partner_id, pm.mobile, coalesce(customer_name, pm.mobile) AS name, address, install_date, last_ping,
-  last_recharge, coalesce(recharge_count, 0) AS recharge_count, plan_expiry, plan_details, days_since_expiry,
-  coalesce(status, 'No Plan') AS status, avg_optical_dbm, optical_health, date_ist AS optical_date,
-  speed AS actual_speed_mbps, latency, jitter, tested_on
-FROM pm
-LEFT JOIN names ON names.mobile = pm.mobile
-LEFT JOIN addr ON addr.mobile = pm.mobile
-LEFT JOIN status ON status.partner_id = pm.partner_id AND status.mobile = pm.mobile
-LEFT JOIN ping ON ping.partner_id = pm.partner_id AND ping.mobile = pm.mobile
-LEFT JOIN inst ON inst.mobile = pm.mobile
-LEFT JOIN rc ON rc.partner_id = pm.partner_id AND rc.mobile = pm.mobile
-LEFT JOIN resolved ON resolved.partner_id = pm.partner_id AND resolved.mobile = pm.mobile
-LEFT JOIN opt ON opt.nas_id = pm.nas_id
-LEFT JOIN spd ON spd.device_id = resolved.device_id""",
-    "wallet_all": """SELECT partner_id, action, remark, credit_delta, balance, added_at_ist, false AS from_new FROM ledger_old
-UNION ALL SELECT n.partner_id, action, remark, balance - old_balance, balance, added_time + INTERVAL 330 MINUTE, true
-FROM ledger_new n LEFT JOIN (SELECT partner_id, max(added_at_ist) AS last_old FROM ledger_old GROUP BY partner_id) o
-  ON o.partner_id = n.partner_id
-WHERE added_time > coalesce(last_old, TIMESTAMP '2000-01-01')""",
-    "wallet": """SELECT partner_id, row_number() OVER (PARTITION BY partner_id ORDER BY added_at_ist DESC NULLS LAST, from_new DESC,
-  remark DESC NULLS LAST, action DESC NULLS LAST, balance DESC NULLS LAST, credit_delta DESC NULLS LAST) AS row_no,
-  added_at_ist, action, remark, credit_delta, balance
-FROM wallet_all QUALIFY row_no <= 100""",
+    "customers": """SELECT partner_id, mobile, max(nas_id) AS nas_id, max(device_id) AS own_device_id, max(account_id) AS account_id,
+  count(*) FILTER (charges > 0) AS recharges
+FROM plans GROUP BY partner_id, mobile""",
+    "equipped": """SELECT c.*, coalesce(own_device_id, lookup_device_id) AS device_id FROM customers c
+LEFT JOIN known_devices k ON k.partner_id = c.partner_id AND k.customer_id = c.account_id::VARCHAR""",
+    "running": """SELECT DISTINCT ON (partner_id, mobile) partner_id, mobile,
+  plan_start_time + INTERVAL 330 MINUTE AS last_recharge,
+  plan_start_time + to_seconds(time_plan + 330 * 60) AS plan_expiry,
+  round(time_plan / 86400.0::DOUBLE)::BIGINT AS plan_days, charges, speed_mbps
+FROM plans ORDER BY partner_id, mobile, plan_start_time DESC NULLS LAST, time_plan DESC NULLS LAST,
+  charges DESC NULLS LAST, speed_mbps DESC NULLS LAST""",
+    "named": "SELECT mobile, min(name) AS customer_name FROM bookings SEMI JOIN plans USING (mobile) WHERE is_deleted IS FALSE GROUP BY mobile",
+    "moved_in": f"""SELECT mobile, {_joined([_valid("$.home", "inner_json"), _valid("$.city", "inner_json")], ", ")} AS address
+FROM (SELECT DISTINCT ON (mobile) mobile, {_valid("$.address", "data")} AS inner_json
+  FROM booking_events SEMI JOIN plans USING (mobile) WHERE event_name = 'address_updated'
+  ORDER BY mobile, added_time DESC NULLS LAST, data DESC NULLS LAST) latest""",
+    "online": "SELECT nas_id, max(added_date) AS last_ping FROM daily_usage GROUP BY nas_id",
+    "verified": """SELECT mobile, min(added_time + INTERVAL 330 MINUTE)::DATE AS install_date
+FROM task_events SEMI JOIN plans USING (mobile) WHERE event_name = 'OTP_VERIFIED' GROUP BY mobile""",
+    "light": """SELECT DISTINCT ON (nas_id) nas_id, date_ist, avg_optical_dbm, optical_health
+FROM optical_readings SEMI JOIN plans USING (nas_id)
+ORDER BY nas_id, date_ist DESC NULLS LAST, avg_optical_dbm DESC NULLS LAST, optical_health DESC NULLS LAST""",
+    "pace": """SELECT DISTINCT ON (device_id) device_id, tested_on, speed, latency, jitter
+FROM speed_tests SEMI JOIN equipped USING (device_id)
+ORDER BY device_id, tested_on DESC NULLS LAST, speed DESC NULLS LAST, latency DESC NULLS LAST, jitter DESC NULLS LAST""",
+    "standing": f"""SELECT partner_id, mobile, last_recharge, plan_expiry, {_PLAN_TEXT} AS plan_details,
+  CASE WHEN plan_expiry < {_NOW} THEN {_TODAY} - plan_expiry::DATE END AS days_since_expiry,
+  coalesce(CASE plan_expiry >= {_NOW} WHEN true THEN 'Active' WHEN false THEN 'Expired' END, 'No Plan') AS status
+FROM running""",
+    "c360": """SELECT partner_id, mobile, coalesce(customer_name, mobile) AS name, address, install_date, last_ping, last_recharge,
+  recharges AS recharge_count, plan_expiry, plan_details, days_since_expiry, status, avg_optical_dbm, optical_health,
+  date_ist AS optical_date, speed AS actual_speed_mbps, latency, jitter, tested_on
+FROM equipped JOIN standing USING (partner_id, mobile)
+LEFT JOIN named USING (mobile) LEFT JOIN moved_in USING (mobile) LEFT JOIN verified USING (mobile)
+LEFT JOIN online USING (nas_id) LEFT JOIN light USING (nas_id) LEFT JOIN pace USING (device_id)""",
+    "wallet_all": """SELECT partner_id, action, remark, credit_delta, balance, added_at_ist, false AS from_new, NULL AS stored FROM ledger_old
+UNION ALL SELECT partner_id, action, remark, balance - old_balance, balance, added_time + INTERVAL 330 MINUTE, true, added_time FROM ledger_new""",
+    "wallet": """SELECT * EXCLUDE (from_new, stored, last_old), row_number() OVER (PARTITION BY partner_id ORDER BY added_at_ist DESC NULLS LAST,
+  from_new DESC, remark DESC NULLS LAST, action DESC NULLS LAST, balance DESC NULLS LAST, credit_delta DESC NULLS LAST) AS row_no
+FROM (SELECT *, max(added_at_ist) FILTER (NOT from_new) OVER (PARTITION BY partner_id) AS last_old FROM wallet_all) w
+WHERE NOT from_new OR stored > coalesce(last_old, TIMESTAMP '2000-01-01')
+QUALIFY row_no <= 100""",
 }
 
 
@@ -487,24 +480,21 @@ _COUNTS = """count(DISTINCT CASE WHEN type = 'SERVICE' THEN task_id END) AS serv
 
 _RESULTS: dict[str, str] = {
     "partner_scorecard": "SELECT * FROM scorecard",
-    "partner_scorecard_mobile_scope": _scorecard_sql("all_recharges"),
+    "partner_scorecard_mobile_scope": _scorecard_sql("mobile"),
     "scorecard_ratios": f"""SELECT *, {_pct("active", "total_gross")} AS active_pct,
   {_pct("m1_renewed", "m1_expired + m1_renewed")} AS m1_pct FROM scorecard""",
     "scorecard_report": f"""SELECT city, partner_name AS "Partner", total_gross AS "Total Gross", active AS "Active",
   {_pct_text("active", "total_gross")} AS "Active %", live AS "Live", r30_plus AS "R30+", m1_expired AS "M1 Expired",
   m1_renewed AS "M1 Renewed", {_pct_text("m1_renewed", "m1_expired + m1_renewed")} AS "M1 %",
   tickets_1m AS "Tickets (30d)", resolved_1m AS "Resolved (30d)" FROM scorecard""",
-    "recharge_counts": "SELECT * FROM mobile_counts",
-    "first_last_plan": """SELECT f.city, f.mobile, f.partner_id AS first_partner_id, first_start, l.partner_id AS last_partner_id,
-  last_start, last_expiry FROM first_plan f JOIN last_plan l ON l.city = f.city AND l.mobile = f.mobile""",
-    "mobile_summary": "SELECT * FROM mobile_summary",
-    "tickets_30d": "SELECT partner_id, CAST(tickets_1m AS BIGINT) AS tickets_1m, CAST(resolved_1m AS BIGINT) AS resolved_1m FROM tickets_30d",
+    "recharge_counts": "SELECT * FROM sold",
+    "first_last_plan": "SELECT * FROM city_mobiles",
+    "mobile_summary": """SELECT city, first_partner_id AS partner_id, mobile, first_start, last_start, last_expiry, recharge_count
+FROM city_mobiles JOIN sold USING (city, mobile)""",
+    "tickets_30d": "SELECT partner_id, CAST(tickets_1m AS BIGINT) AS tickets_1m, CAST(resolved_1m AS BIGINT) AS resolved_1m FROM recent_tickets",
     "city_roster": "SELECT * FROM city_partners",
-    "city_active_base": f"""SELECT c.city, count(DISTINCT CASE WHEN last_expiry >= {_NOW} OR date_diff('day', last_expiry, {_NOW}) <= 15
-    THEN mobile END) AS active_base
-FROM (SELECT DISTINCT city FROM city_partners) c LEFT JOIN (SELECT city, mobile, expiry AS last_expiry FROM city_plans
-  QUALIFY row_number() OVER (PARTITION BY city, mobile ORDER BY expiry DESC NULLS LAST) = 1) p ON p.city = c.city
-GROUP BY c.city""",
+    "city_active_base": f"""SELECT city, count(DISTINCT mobile) FILTER (expiry::DATE >= {_TODAY} - 15) AS active_base
+FROM (SELECT DISTINCT city FROM city_partners) LEFT JOIN city_plans USING (city) GROUP BY city""",
     "daily_leads_installs": "SELECT * FROM daily ORDER BY city, day",
     "leads_installs_totals": """SELECT city, CAST(sum(leads) AS BIGINT) AS total_leads, CAST(sum(installs) AS BIGINT) AS total_installs
 FROM daily GROUP BY city""",
@@ -544,26 +534,26 @@ WHERE partner_id IN (SELECT partner_id FROM card)""",
     "ticket_counts": f"""SELECT r.partner_id, {_COUNTS} FROM (SELECT DISTINCT partner_id FROM roster) r
 LEFT JOIN (SELECT * FROM ticket_events WHERE {_created(_WINDOW)}) t ON t.partner_id = r.partner_id GROUP BY r.partner_id""",
     "ticket_counts_mtd": f"SELECT partner_id, {_COUNTS} FROM ticket_events WHERE {_created(f"added_time >= TIMESTAMP '{_M[0]}'")} GROUP BY partner_id",
-    "ticket_sla": f"""SELECT t.partner_id, t.type, count(DISTINCT t.task_id) AS total_tickets, count(DISTINCT r.task_id) AS sla_met
-FROM ticket_events t LEFT JOIN (SELECT DISTINCT task_id FROM ticket_events WHERE {_RESOLVED} AND added_time < TIMESTAMP '2001-07-10') r
-  ON r.task_id = t.task_id
-WHERE {_created(_WINDOW)} GROUP BY t.partner_id, t.type""",
+    "ticket_sla": f"""SELECT partner_id, type, count(*) AS total_tickets, count(*) FILTER (met) AS sla_met
+FROM (SELECT DISTINCT partner_id, type, task_id, EXISTS (FROM ticket_events r
+    WHERE r.task_id = t.task_id AND {_RESOLVED} AND r.added_time < TIMESTAMP '2001-07-10') AS met
+  FROM ticket_events t WHERE {_created(_WINDOW)}) GROUP BY ALL""",
     "live_tickets": "SELECT * FROM live",
     "best_sla": "SELECT * FROM best",
     "live_sla_override": _sla_sql(),
     "ticket_series": _ticket_series_sql(),
-    "partner_mobiles": "SELECT * FROM pm",
-    "device_lookup": "SELECT * FROM lookup",
-    "resolved_devices": "SELECT * FROM resolved",
-    "current_plan": "SELECT * REPLACE (CAST(charges AS DOUBLE) AS charges) FROM cp",
-    "customer_name": "SELECT * FROM names",
-    "customer_address": "SELECT * FROM addr",
-    "last_ping": "SELECT * FROM ping",
-    "install_date": "SELECT * FROM inst",
-    "recharge_count": "SELECT * FROM rc",
-    "latest_optical": "SELECT * FROM opt",
-    "latest_speed": "SELECT * FROM spd",
-    "plan_status": "SELECT * EXCLUDE (last_recharge) FROM status",
+    "partner_mobiles": "SELECT partner_id, mobile, nas_id, own_device_id AS device_id, account_id FROM customers",
+    "device_lookup": "SELECT * FROM known_devices",
+    "resolved_devices": "SELECT partner_id, mobile, device_id FROM equipped",
+    "current_plan": "SELECT * REPLACE (CAST(charges AS DOUBLE) AS charges) FROM running",
+    "customer_name": "SELECT * FROM named",
+    "customer_address": "SELECT * FROM moved_in",
+    "last_ping": "SELECT partner_id, mobile, last_ping FROM customers JOIN online USING (nas_id)",
+    "install_date": "SELECT * FROM verified",
+    "recharge_count": "SELECT partner_id, mobile, recharges AS recharge_count FROM customers WHERE recharges > 0",
+    "latest_optical": "SELECT * FROM light",
+    "latest_speed": "SELECT * FROM pace",
+    "plan_status": "SELECT * EXCLUDE (last_recharge) FROM standing",
     "customer_360": "SELECT * FROM c360",
     "signal_summary": f"""SELECT partner_id, count(avg_optical_dbm) AS optical_n, round(avg(avg_optical_dbm), 9) AS avg_optical,
   {_pct("count(*) FILTER (avg_optical_dbm IS NOT NULL AND optical_health = 'Good')", "count(avg_optical_dbm)")} AS optical_good_pct,
