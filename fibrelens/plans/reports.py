@@ -19,12 +19,14 @@ Tables = Mapping[str, DataFrame]
 
 
 def overview_page(tables: Tables, as_of: AsOf, zones: Sequence[str] = ZONES) -> DataFrame:
-    card = payouts.partner_card(base.one_per_partner(tables["growth_card"]), zones)
+    """All card rows of ``zones`` with corrected payouts and device counts."""
+    card = payouts.partner_card(tables["growth_card"], zones)
     counts = devices.device_location_counts(tables["devices"])
     return payouts.partner_overview(card, tables["disbursements"], counts, as_of)
 
 
 def customers_of(tables: Tables, as_of: AsOf) -> DataFrame:
+    """The customer view over the logical tables."""
     return customers.customer_360(
         tables["plans"],
         tables["devices"],

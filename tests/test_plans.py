@@ -56,6 +56,24 @@ def test_time_filters_reach_the_scan(stored):
         assert any(want in filters for filters, _ in pushed(df)), plan_of(df)
 
 
+def test_asking_for_one_partner_reads_only_that_partner(stored):
+    names = ("plans", "devices", "bookings", "booking_events", "daily_usage", "task_events", "optical_readings", "speed_tests")
+    view = customers.customer_360(*map(stored, names), as_of=AS_OF)
+    hits = [filters for filters, _ in pushed(view.filter("partner_id = 17")) if "EqualTo(partner_id,17)" in filters]
+    assert len(hits) == 2  # plans and devices
+    log = stored("ticket_events")
+    for df in (tickets.ticket_sla(log, "2024-02-01"), tickets.live_tickets(log, AS_OF), payouts.fixed_payout_monthly(stored("disbursements"), AS_OF)):
+        assert any("EqualTo(partner_id,17)" in filters for filters, _ in pushed(df.filter("partner_id = 17")))
+    olds, news = (stored(n).filter("partner_id = 17") for n in ("ledger_old", "ledger_new"))
+    assert all("EqualTo(partner_id,17)" in filters for filters, _ in pushed(wallet.wallet_transactions(olds, news)))
+
+
+def test_summaries_do_not_read_unused_sources(stored):
+    names = ("plans", "devices", "bookings", "booking_events", "daily_usage", "task_events", "optical_readings", "speed_tests")
+    view = customers.customer_360(*map(stored, names), as_of=AS_OF)
+    assert len(pushed(customers.customer_status_counts(view))) == 1
+
+
 def test_only_needed_columns_are_read(stored):
     plans = stored("plans")
     roster = stored("roster").withColumnRenamed("partner_city", "city")
