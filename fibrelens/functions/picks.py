@@ -36,7 +36,8 @@ def salted_top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
 
     Rows are ranked within (key, salt); whatever the split, the true top n survive, and no
     task sees more of a hot key than its share. The salt is the input partition, so a map
-    task forwards at most n rows per key.
+    task forwards at most n rows per key (Spark prunes there for n up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold``, 1000 unless set).
     """
     salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(TOP_N_SALTS)))
     within = Window.partitionBy(*keys, "_salt").orderBy(*order)

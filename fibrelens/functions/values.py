@@ -28,6 +28,11 @@ def safe_double(value: Column) -> Column:
     return F.coalesce(F.nanvl(number, F.lit(0.0)), F.lit(0.0))
 
 
+def not_nan(number: Column) -> Column:
+    """NaN counts as missing."""
+    return F.when(~F.isnan(number), number)
+
+
 def ratio(part: Column, whole: Column) -> Column:
     """part / whole as double; NULL when the whole is 0 or NULL."""
     return F.try_divide(part.cast("double"), whole.cast("double"))

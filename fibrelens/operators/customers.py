@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fibrelens.functions.picks import newest, newest_per
 from fibrelens.functions.times import AsOf, add_seconds, date_lit, day_gap, shift_minutes, ts_lit
-from fibrelens.functions.values import DASH, blank_to_null, fixed, or_dash, or_zero, percent
+from fibrelens.functions.values import DASH, blank_to_null, fixed, not_nan, or_dash, or_zero, percent
 
 IST_MINUTES = 330
 
@@ -111,17 +111,18 @@ def _names(bookings: DataFrame) -> DataFrame:
 
 
 def _address_updates(booking_events: DataFrame) -> DataFrame:
-    return booking_events.filter((F.col("event_name") == ADDRESS_UPDATED) & F.col("mobile").isNotNull())
+    """Only the address part of the event text goes on into the shuffle."""
+    rows = booking_events.filter((F.col("event_name") == ADDRESS_UPDATED) & F.col("mobile").isNotNull())
+    return rows.select("mobile", "added_time", F.get_json_object("data", "$.address").alias("address_json"))
 
 
 def _verifications(task_events: DataFrame) -> DataFrame:
     return task_events.filter((F.col("event_name") == OTP_VERIFIED) & F.col("mobile").isNotNull())
 
 
-def _address_text(data: Column) -> Column:
-    """'home, city' out of JSON text nested in JSON text; empty parts are left out."""
-    inner = F.get_json_object(data, "$.address")
-    parts = [blank_to_null(F.get_json_object(inner, path)) for path in ("$.home", "$.city")]
+def _address_text(address_json: Column) -> Column:
+    """'home, city' out of the address, itself JSON text; empty parts are left out."""
+    parts = [blank_to_null(F.get_json_object(address_json, path)) for path in ("$.home", "$.city")]
     return blank_to_null(F.concat_ws(", ", *parts))
 
 
@@ -140,10 +141,10 @@ def customer_name(bookings: DataFrame, plans: DataFrame) -> DataFrame:
 
 
 def customer_address(booking_events: DataFrame, plans: DataFrame) -> DataFrame:
-    """Address of the latest update per customer mobile; JSON is parsed for that row only."""
-    latest = newest_per(_address_updates(booking_events), ["mobile"], ["added_time"], ["data"])
+    """Address of the latest update per customer mobile."""
+    latest = newest_per(_address_updates(booking_events), ["mobile"], ["added_time"], ["address_json"])
     return latest.join(_known_mobiles(plans), "mobile", "left_semi").select(
-        "mobile", _address_text(F.col("data")).alias("address")
+        "mobile", _address_text(F.col("address_json")).alias("address")
     )
 
 
@@ -269,16 +270,15 @@ def _mobile_facts(
 ) -> DataFrame:
     """Name, latest address and install day per mobile, in one shuffle.
 
-    The address text is parsed after the aggregation, once per mobile.
+    The address is taken apart after the aggregation, once per mobile.
     """
-    update_type = booking_events.select(F.struct("added_time", "data").alias("s")).schema["s"].dataType.simpleString()
+    updates = _address_updates(booking_events).select("mobile", F.struct("added_time", "address_json").alias("_update"))
+    update_type = updates.schema["_update"].dataType.simpleString()
     verified_type = task_events.schema["added_time"].dataType.simpleString()
     facts = {"_name": "string", "_update": update_type, "_verified": verified_type}
     rows = (
         _tagged(_names(bookings), "mobile", facts, _name=F.col("name"))
-        .unionByName(
-            _tagged(_address_updates(booking_events), "mobile", facts, _update=F.struct("added_time", "data"))
-        )
+        .unionByName(_tagged(updates, "mobile", facts, _update=F.col("_update")))
         .unionByName(_tagged(_verifications(task_events), "mobile", facts, _verified=F.col("added_time")))
     )
     picked = rows.groupBy("mobile").agg(
@@ -287,7 +287,7 @@ def _mobile_facts(
     return picked.select(
         "mobile",
         "customer_name",
-        _address_text(F.col("_update.data")).alias("address"),
+        _address_text(F.col("_update.address_json")).alias("address"),
         _install_day(F.col("_verified"), tz_offset_min).alias("install_date"),
     )
 
@@ -367,14 +367,14 @@ def customer_360(
 
 def signal_summary(customers: DataFrame) -> DataFrame:
     """Per partner: customers with an optical reading, its mean, share of 'Good', same for speed."""
-    has_reading = F.col("avg_optical_dbm").isNotNull()
-    good = F.count_if(has_reading & (F.col("optical_health") == "Good"))
+    optical, speed = not_nan(F.col("avg_optical_dbm")), not_nan(F.col("actual_speed_mbps"))
+    good = F.count_if(optical.isNotNull() & (F.col("optical_health") == "Good"))
     return customers.groupBy("partner_id").agg(
-        F.count("avg_optical_dbm").alias("optical_n"),
-        F.avg("avg_optical_dbm").alias("avg_optical"),
-        percent(good, F.count("avg_optical_dbm")).alias("optical_good_pct"),
-        F.count("actual_speed_mbps").alias("speed_n"),
-        F.avg("actual_speed_mbps").alias("avg_speed"),
+        F.count(optical).alias("optical_n"),
+        F.avg(optical).alias("avg_optical"),
+        percent(good, F.count(optical)).alias("optical_good_pct"),
+        F.count(speed).alias("speed_n"),
+        F.avg(speed).alias("avg_speed"),
     )
 
 
@@ -395,7 +395,7 @@ def customer_report(customers: DataFrame) -> DataFrame:
         return or_dash(F.substring(F.col(name).cast("string"), 1, length))
 
     def one_decimal(name: str) -> Column:
-        return F.coalesce(fixed(F.col(name), 1), F.lit(DASH))
+        return F.coalesce(fixed(not_nan(F.col(name)), 1), F.lit(DASH))
 
     since = F.concat(F.col("days_since_expiry").cast("string"), F.lit("d ago"))
     return customers.select(

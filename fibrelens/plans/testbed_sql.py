@@ -377,7 +377,7 @@ FROM plans ORDER BY partner_id, mobile, plan_start_time DESC NULLS LAST, time_pl
     "moved_in": f"""SELECT mobile, {_joined([_valid("$.home", "inner_json"), _valid("$.city", "inner_json")], ", ")} AS address
 FROM (SELECT DISTINCT ON (mobile) mobile, {_valid("$.address", "data")} AS inner_json
   FROM booking_events SEMI JOIN plans USING (mobile) WHERE event_name = 'address_updated'
-  ORDER BY mobile, added_time DESC NULLS LAST, data DESC NULLS LAST) latest""",
+  ORDER BY mobile, added_time DESC NULLS LAST, inner_json DESC NULLS LAST) latest""",
     "online": "SELECT nas_id, max(added_date) AS last_ping FROM daily_usage GROUP BY nas_id",
     "verified": """SELECT mobile, min(added_time + INTERVAL 330 MINUTE)::DATE AS install_date
 FROM task_events SEMI JOIN plans USING (mobile) WHERE event_name = 'OTP_VERIFIED' GROUP BY mobile""",

@@ -206,6 +206,7 @@ def test_summaries_order_and_report(frame):
         (1, "b", "b", None, None, date(2024, 2, 2), datetime(2024, 1, 1), 0, datetime(2024, 1, 9), None, 66, "Expired", -30.0, None, None),
         (1, "c", "c", None, None, None, None, 0, None, None, None, "No Plan", None, "Good", 30.5),
         (2, "d", "d", None, None, None, None, 0, None, None, None, "No Plan", None, None, None),
+        (3, "n", "n", None, None, None, None, 0, None, None, None, "No Plan", float("nan"), "Good", float("nan")),
         (1, "e", "e", None, None, None, None, 0, datetime(2024, 3, 9), None, 6, "Expired", None, None, None),
     ]
     df = frame(
@@ -216,13 +217,14 @@ def test_summaries_order_and_report(frame):
     )
     signal = by(c.signal_summary(df), "partner_id")
     assert tuple(signal[1].values())[1:] == (2, -25.125, 50.0, 2, 20.25)
-    assert tuple(signal[2].values())[1:] == (0, None, None, 0, None)
+    assert tuple(signal[2].values())[1:] == tuple(signal[3].values())[1:] == (0, None, None, 0, None)
     counts = by(c.customer_status_counts(df), "partner_id")
     assert tuple(counts[1].values())[1:] == (4, 1, 2, 1)
     ordered = [r.mobile for r in c.order_customers(df, AS_OF).collect()]
-    assert ordered == ["a", "e", "b", "c", "d"]
+    assert ordered == ["a", "e", "b", "c", "d", "n"]
     shown = by(c.customer_report(df), "Mobile")
     a, b = shown["a"], shown["b"]
+    assert (shown["n"]["Optical (dBm)"], shown["n"]["Speed (Mbps)"]) == ("—", "—")
     assert (len(a["Address"]), a["Last Recharge"], a["Since Expiry"], a["Optical (dBm)"]) == (60, "2024-03-01 05:30", "Active ✓", "-20.2")
     assert (b["Address"], b["Last Ping"], b["Since Expiry"], b["Optical Health"], b["Plan"]) == ("—", "2024-02-02", "66d ago", "—", "—")
     assert (shown["c"]["Since Expiry"], shown["c"]["Last Recharge"], shown["c"]["Speed (Mbps)"]) == ("—", "—", "30.5")
