@@ -388,7 +388,7 @@ ORDER BY nas_id, date_ist DESC NULLS LAST, avg_optical_dbm DESC NULLS LAST, opti
 FROM speed_tests SEMI JOIN equipped USING (device_id)
 ORDER BY device_id, tested_on DESC NULLS LAST, speed DESC NULLS LAST, latency DESC NULLS LAST, jitter DESC NULLS LAST""",
     "standing": f"""SELECT partner_id, mobile, last_recharge, plan_expiry, {_PLAN_TEXT} AS plan_details,
-  CASE WHEN plan_expiry < {_NOW} THEN {_TODAY} - plan_expiry::DATE END AS days_since_expiry,
+  CASE WHEN plan_expiry < {_NOW} THEN ({_TODAY} - plan_expiry::DATE)::INTEGER END AS days_since_expiry,
   coalesce(CASE plan_expiry >= {_NOW} WHEN true THEN 'Active' WHEN false THEN 'Expired' END, 'No Plan') AS status
 FROM running""",
     "c360": """SELECT partner_id, mobile, coalesce(customer_name, mobile) AS name, address, install_date, last_ping, last_recharge,
@@ -400,7 +400,7 @@ LEFT JOIN online USING (nas_id) LEFT JOIN light USING (nas_id) LEFT JOIN pace US
     "wallet_all": """SELECT partner_id, action, remark, credit_delta, balance, added_at_ist, false AS from_new, NULL AS stored FROM ledger_old
 UNION ALL SELECT partner_id, action, remark, balance - old_balance, balance, added_time + INTERVAL 330 MINUTE, true, added_time FROM ledger_new""",
     "wallet": """SELECT * EXCLUDE (from_new, stored, last_old), row_number() OVER (PARTITION BY partner_id ORDER BY added_at_ist DESC NULLS LAST,
-  from_new DESC, remark DESC NULLS LAST, action DESC NULLS LAST, balance DESC NULLS LAST, credit_delta DESC NULLS LAST) AS row_no
+  from_new DESC, remark DESC NULLS LAST, action DESC NULLS LAST, balance DESC NULLS LAST, credit_delta DESC NULLS LAST)::INTEGER AS row_no
 FROM (SELECT *, max(added_at_ist) FILTER (NOT from_new) OVER (PARTITION BY partner_id) AS last_old FROM wallet_all) w
 WHERE NOT from_new OR stored > coalesce(last_old, TIMESTAMP '2000-01-01')
 QUALIFY row_no <= 100""",
@@ -499,7 +499,7 @@ FROM (SELECT DISTINCT city FROM city_partners) LEFT JOIN city_plans USING (city)
     "leads_installs_totals": """SELECT city, CAST(sum(leads) AS BIGINT) AS total_leads, CAST(sum(installs) AS BIGINT) AS total_installs
 FROM daily GROUP BY city""",
     "month_keys": f"""SELECT CAST(date_trunc('month', added_time) AS DATE) AS month, strftime(added_time, '%Y-%m') AS month_key,
-  strftime(added_time, '%b %Y') AS month_label, date_diff('month', added_time, {_NOW}) AS month_off, count(*) AS n_rows
+  strftime(added_time, '%b %Y') AS month_label, date_diff('month', added_time, {_NOW})::INTEGER AS month_off, count(*) AS n_rows
 FROM disbursements WHERE added_time >= TIMESTAMP '{_M[3]}' AND added_time < TIMESTAMP '{_M[-1]}' GROUP BY ALL""",
     "partner_card": _doubles("card", _MONEY_FIELDS),
     "partner_detail": _doubles("growth_card", _GROWTH_MONEY),
