@@ -103,7 +103,7 @@ bits AS (
         list_aggregate(
             list_transform(
                 string_split(sha1(payload), ''),
-                d -> right('000' || bin(strpos('0123456789abcdef', d) - 1), 4)
+                lambda d: right('000' || bin(strpos('0123456789abcdef', d) - 1), 4)
             ),
             'string_agg', ''
         ) AS sha1_bits
@@ -115,8 +115,8 @@ SELECT
     list_aggregate(
         list_transform(
             range(32),
-            i -> 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST(list_sum(list_transform(range(5),
-                j -> CAST(sha1_bits[CAST(5 * i + j + 1 AS INT)] AS INT) * CAST(pow(2, 4 - j) AS INT))) AS INT) + 1]
+            lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST(list_sum(list_transform(range(5),
+                lambda j: CAST(sha1_bits[CAST(5 * i + j + 1 AS INT)] AS INT) * CAST(pow(2, 4 - j) AS INT))) AS INT) + 1]
         ),
         'string_agg', ''
     ) AS payload_digest,
@@ -155,7 +155,7 @@ found AS (
     SELECT d.doc_id, d.i, d.n, b.item FROM doc_windows d JOIN item_windows b ON d.n = b.n AND d.span = b.span
 ),
 hit_words AS (
-    SELECT doc_id, count(DISTINCT at) AS n_hit FROM found, unnest(range(i, i + n)) AS s(at) GROUP BY doc_id
+    SELECT doc_id, count(DISTINCT place) AS n_hit FROM found, unnest(range(i, i + n)) AS s(place) GROUP BY doc_id
 ),
 hit_items AS (
     SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
