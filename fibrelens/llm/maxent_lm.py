@@ -43,7 +43,9 @@ NEAR, NEAR_SINGLE = 256, 120
 SKIP, SKIP_SINGLE = 64, 24
 #: Hashed buckets of the trigram feature.
 TRIGRAMS = 4096
-STEPS, PRIOR = 20, 0.5
+STEPS = 20
+#: Strength of the prior on the weights of each table.
+PRIORS = (0.1, 2.0, 2.0, 12.0)
 #: Words of a partition that are counted together before the shuffle.
 TOGETHER = 4_000_000
 
@@ -175,13 +177,13 @@ class Weights:
         return total - np.log(np.exp(total).sum(1, keepdims=True))
 
     def update(self, gradient: np.ndarray, expected: np.ndarray) -> None:
-        """One step uphill: the gradient (observed minus expected counts) relative to what is
-        expected, on the log scale, and shared among the features of a history. Such steps never
-        overshoot. PRIOR pseudo-counts pull features with little evidence towards 0."""
+        """One step uphill: the gradient (observed minus expected counts, minus the pull of a
+        Gaussian prior) relative to what is expected, on the log scale, and shared among the
+        features of a history, so that steps don't overshoot."""
         at = 0
-        for table in self.tables:
+        for table, prior in zip(self.tables, PRIORS, strict=True):
             g, e = (x[at : at + len(table)] for x in (gradient, expected))
-            table += np.log1p(g / (e + PRIOR)) / len(self.tables)
+            table += np.log1p(np.maximum((g - prior * table) / (e + prior), -0.9)) / len(self.tables)
             at += len(table)
 
 

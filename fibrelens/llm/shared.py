@@ -39,6 +39,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, with underscores put before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per context, so that they need no copy of their own."""
     context = spark.sparkContext

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytescan import pieces, prefix_hashes, row_counts, row_sums, word_hash, words
-from .shared import ship
+from .shared import ship, unused
 
 #: Labelled rows that are learned from, at most.
 SAMPLE = 12_000
@@ -348,7 +348,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with their columns."""
-    name = "_score"
-    while name in docs.columns:
-        name = "_" + name
+    name = unused("_score", docs)
     return with_score(docs, learn(docs, labels, sample), name).filter(F.col(name) < 0.5).drop(name)

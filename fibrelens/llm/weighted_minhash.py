@@ -17,7 +17,7 @@ of 0.9 with more than 0.999999.
 
 *Large groups.* Equal word sequences are one node. In a bucket, nodes meet a few pivots instead
 of each other: one pivot in the first round. A bucket whose nodes are one component is done.
-Otherwise it goes into the next round with four times the pivots, in another order, and with
+Otherwise it goes into the next round with eight times the pivots, in another order, and with
 one more sample in its key, until every pair of different components has been compared. So a
 group of similar texts costs about one comparison per text, and dissimilar texts that share a
 key are parted before many pivots meet them. No bucket is capped.
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytescan import ALNUM_WORDS, mix, pieces, words
-from .shared import ship, stored
+from .shared import ship, stored, unused
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -196,19 +196,35 @@ def components(links: DataFrame) -> DataFrame:
     Every round takes the smallest label of the neighbours and then the label of the label,
     so the number of rounds follows the logarithm of a path's length.
     """
-    both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label")
-    labels = stored(labels, "labels")
+    ends = links.select(F.explode(F.array(*(F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ba", "aa", "bb")))).alias("e"))
+    both = stored(ends.select("e.a", "e.b").distinct(), "links")
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")), "labels")
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        nearest = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("via"))
+        met = both.join(labels, F.col("b") == F.col("node"))
+        nearest = met.groupBy("a").agg(F.min("label").alias("via"), F.max(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("old"))
         jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        new = stored(nearest.join(jump, "via").select("node", "old", F.least("via", "far").alias("label")), "labels")
+        new = stored(nearest.join(jump, "via").select(F.col("a").alias("node"), "old", F.least("via", "far").alias("label")), "labels")
         labels = new.select("node", "label")
         if new.filter("old <> label").isEmpty():
             return labels
 
 
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """Labels after more links: only links between different components are followed."""
+    if labels is None:
+        return None if links.isEmpty() else components(links)
+    side = [labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")) for c in "ab"]
+    named = links.join(side[0], "a", "left").join(side[1], "b", "left")
+    between = named.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    between = stored(between.filter("a <> b"), "between")
+    if between.isEmpty():
+        return labels
+    higher = components(between).withColumnsRenamed({"node": "label", "label": "top"})
+    own = labels.join(higher, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    fresh = higher.select(F.col("label").alias("node"), F.col("top").alias("label")).join(labels, "node", "left_anti")
+    return stored(own.union(fresh), "labels")
+
+
 def _bucket_rows(nodes: DataFrame) -> DataFrame:
     """(key, node, rest): one row per node and band; ``rest`` are the samples that refine the key."""
     def band(i: int):
@@ -231,26 +247,21 @@ def near_duplicate_links(docs: DataFrame, signed: DataFrame, weights, threshold:
     fetched = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("node", "text")
     texts = stored(fetched.mapInArrow(_own_text, "node long, text string").dropDuplicates(["node"]), "texts")
 
-    links, labels, pivots = [], None, 1
+    labels, pivots, extra = None, 1, ROWS
     pairs = buckets.filter("node <> pivot").select("pivot", "node").distinct()
     while True:
         pivot_texts = texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text"))
         sided = pairs.join(texts, "node").join(pivot_texts, "pivot").select("pivot", "node", "pivot_text", "text")
         found = sided.mapInArrow(_verify(weights, threshold), "pivot long, node long")
-        links.append(stored(found.select(F.col("pivot").alias("a"), F.col("node").alias("b")), "links"))
-        every = links[0]
-        for more in links[1:]:
-            every = every.union(more)
-        if not every.isEmpty():
-            labels = components(every)
-        buckets = _unfinished(buckets, labels, nodes, pivots)
+        labels = _merged(labels, stored(found.select(F.col("pivot").alias("a"), F.col("node").alias("b")), "links"))
+        buckets = _unfinished(buckets, labels, nodes, pivots, extra)
         if buckets is None:
             return labels
-        pivots *= 4
+        pivots, extra = 8 * pivots, extra + 1
         pairs = _next_pairs(buckets, pivots)
 
 
-def _unfinished(buckets: DataFrame, labels: DataFrame | None, nodes: DataFrame, pivots: int) -> DataFrame | None:
+def _unfinished(buckets: DataFrame, labels: DataFrame | None, nodes: DataFrame, pivots: int, extra: int) -> DataFrame | None:
     """Rows of buckets that hold several components not all compared, under a key with one more
     sample; None if there are none."""
     rows = buckets.select("key", "band", "node", "size").filter(F.col("size") > pivots + 1)
@@ -258,7 +269,8 @@ def _unfinished(buckets: DataFrame, labels: DataFrame | None, nodes: DataFrame,
         rows = rows.withColumn("label", F.col("node"))
     else:
         rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    extra = ROWS + int(np.log2(pivots)) // 2  # the samples of the next band, one per round
+    split = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+    rows = rows.join(split, "key", "left_semi")
     refined = rows.join(nodes.select("node", "samples"), "node").select(
         F.xxhash64("key", F.element_at("samples", (F.col("band") * ROWS + extra) % (BANDS * ROWS) + 1)).alias("key"), "band", "node", "label"
     )
@@ -330,7 +342,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that stay, one per class, with all their columns."""
-    kept = near_duplicates(docs, threshold).filter("kept").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"))
-    keyed = docs.withColumn("_own", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_key")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
+    doc, key, own = (unused(name, docs) for name in ("_doc", "_key", "_own"))
+    kept = near_duplicates(docs, threshold).filter("kept").select(F.col("doc_id").alias(doc), F.col("text_key").alias(key))
+    keyed = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(key)), "left_semi")
+    return rows.dropDuplicates(["doc_id", own]).select(*docs.columns)
