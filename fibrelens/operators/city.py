@@ -1,11 +1,12 @@
 """City launch figures: active base, daily leads and installs, partner scorecard.
 
-The roster says which partners belong to a city. While it is small it is broadcast and
-drops other partners' rows before any shuffle. In either case plan rows are first reduced
-per (partner, mobile), then get their city, then are reduced per (city, mobile): the
-mobile stays in every key until there is one row per customer, so a large partner or city
-is spread over many tasks, and the join by partner stands between two shuffles, where
-Spark may split a hot partner at run time. The mobile also comes first in the keys, since
+The roster says which partners belong to a city. Plan rows are first reduced per (partner,
+mobile), with a partial step in the map tasks, then get their city by a plain join, then are
+reduced per (city, mobile): the mobile stays in every key until there is one row per customer,
+so a large partner or city is spread over many tasks, and the join by partner stands between two
+shuffles on other keys, where Spark may split a hot partner at run time. The plan has this shape
+whatever the size of the roster (a semi-join before the reduction would tie it to the partner
+alone), and no job runs while it is built. The mobile also comes first in the keys, since
 sorts compare the first key cheaply and it tells most rows apart.
 """
 
@@ -14,7 +15,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fibrelens.functions.joins import attach, is_small, keep_listed
 from fibrelens.functions.picks import newest, oldest
 from fibrelens.functions.times import AsOf, add_seconds, date_lit, day_gap, days_before, shift_minutes, ts_lit
 from fibrelens.functions.values import or_zero, percent, whole_percent
@@ -35,17 +35,13 @@ def city_roster(roster: DataFrame, cities: DataFrame) -> DataFrame:
 
 
 class _Members:
-    """The (city, partner) pairs of a roster and whether they are few enough to broadcast."""
+    """The (city, partner) pairs of a roster."""
 
     def __init__(self, roster: DataFrame):
         self.pairs = roster.select("city", "partner_id").distinct()
-        self.small = is_small(self.pairs)
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        return keep_listed(df, self.pairs, "partner_id", self.small)
 
     def attach_city(self, df: DataFrame) -> DataFrame:
-        return attach(df, self.pairs, "partner_id", self.small)
+        return df.join(self.pairs, "partner_id")
 
 
 def _expiry(tz_offset_min: int) -> Column:
@@ -60,7 +56,7 @@ def plan_rollup(plans: DataFrame, roster: DataFrame, tz_offset_min: int = 0) ->
     members = _Members(roster)
     expiry = _expiry(tz_offset_min)
     per_partner = (
-        members.keep(plans)
+        plans
         .groupBy("mobile", "partner_id")
         .agg(
             F.count(F.lit(1)).alias("recharge_count"),
@@ -76,26 +72,42 @@ def _still_active(expiry: Column, as_of: AsOf) -> Column:
     return expiry >= ts_lit(days_before(as_of, GRACE_DAYS))
 
 
-def _count_active(city_mobiles: DataFrame, roster: DataFrame) -> DataFrame:
+def _listed(roster: DataFrame, cities: DataFrame | None) -> DataFrame:
+    """The cities that get a row: all listed ones, or those of the roster."""
+    return (roster.select("city") if cities is None else cities.select(F.col("label").alias("city"))).distinct()
+
+
+def _count_active(city_mobiles: DataFrame, roster: DataFrame, cities: DataFrame | None) -> DataFrame:
     counts = city_mobiles.select("mobile", "city").distinct().groupBy("city").agg(F.count("mobile").alias("active_base"))
-    return roster.select("city").distinct().join(counts, "city", "left").fillna(0, ["active_base"])
+    return _listed(roster, cities).join(counts, "city", "left").fillna(0, ["active_base"])
+
 
+def city_partner_counts(roster: DataFrame, cities: DataFrame | None = None) -> DataFrame:
+    """Partners per city; listed cities without any show 0."""
+    counts = roster.select("city", "partner_id").distinct().groupBy("city").agg(F.count("partner_id").alias("partners"))
+    return _listed(roster, cities).join(counts, "city", "left").fillna(0, ["partners"])
 
-def city_active_base(plans: DataFrame, roster: DataFrame, as_of: AsOf, tz_offset_min: int = 0) -> DataFrame:
+
+def city_active_base(
+    plans: DataFrame, roster: DataFrame, as_of: AsOf, tz_offset_min: int = 0, cities: DataFrame | None = None
+) -> DataFrame:
     """Customers per city whose latest expiry lies ahead or at most 15 days back.
 
     A later expiry never makes a customer less active, so it is enough to look for any plan
-    that qualifies: old plans go before the shuffle. Cities without any show 0.
+    that qualifies: old plans go before the shuffle. Cities without any show 0; with ``cities``
+    that holds for listed cities without partners too.
     """
     members = _Members(roster)
     alive = plans.filter(F.col("mobile").isNotNull() & _still_active(_expiry(tz_offset_min), as_of))
-    pairs = members.keep(alive).select("mobile", "partner_id").distinct()
-    return _count_active(members.attach_city(pairs), roster)
+    pairs = alive.select("mobile", "partner_id").distinct()
+    return _count_active(members.attach_city(pairs), roster, cities)
 
 
-def active_base_from_rollup(rollup: DataFrame, roster: DataFrame, as_of: AsOf) -> DataFrame:
+def active_base_from_rollup(
+    rollup: DataFrame, roster: DataFrame, as_of: AsOf, cities: DataFrame | None = None
+) -> DataFrame:
     """``city_active_base`` out of a ``plan_rollup``."""
-    return _count_active(rollup.filter(_still_active(F.col("latest_expiry"), as_of)), roster)
+    return _count_active(rollup.filter(_still_active(F.col("latest_expiry"), as_of)), roster, cities)
 
 
 def daily_leads_installs(
@@ -112,7 +124,7 @@ def daily_leads_installs(
     row per customer first and then counted together, so days of either kind appear.
     """
     members = _Members(roster)
-    starts = members.keep(plans).groupBy("mobile", "partner_id").agg(F.min("plan_start_time").alias("first_start"))
+    starts = plans.groupBy("mobile", "partner_id").agg(F.min("plan_start_time").alias("first_start"))
     return _daily(members.attach_city(starts), members, bookings, as_of, install_offset_min, lead_offset_min)
 
 
@@ -150,7 +162,7 @@ def _daily(
     )
     local_day = shift_minutes(F.col("added_time"), lead_offset_min).cast("date")
     asked = (
-        members.keep(bookings.filter(F.col("added_time") >= since))
+        bookings.filter(F.col("added_time") >= since)
         .select("mobile", "partner_id", local_day.alias("day"))
         .distinct()
     )
@@ -175,7 +187,7 @@ def leads_installs_totals(daily: DataFrame) -> DataFrame:
 def recharge_counts(plans: DataFrame, roster: DataFrame) -> DataFrame:
     """Number of plan rows per city, partner and mobile."""
     members = _Members(roster)
-    counts = members.keep(plans).groupBy("mobile", "partner_id").agg(F.count(F.lit(1)).alias("recharge_count"))
+    counts = plans.groupBy("mobile", "partner_id").agg(F.count(F.lit(1)).alias("recharge_count"))
     return members.attach_city(counts).select("city", "partner_id", "mobile", "recharge_count")
 
 

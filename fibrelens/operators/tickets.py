@@ -26,9 +26,11 @@ def _created(ticket_events: DataFrame, start: AsOf, end: AsOf | None) -> DataFra
     return rows if end is None else rows.filter(added < ts_lit(end))
 
 
-def _resolutions(ticket_events: DataFrame, end: AsOf | None) -> DataFrame:
+def _resolutions(ticket_events: DataFrame, end: AsOf | None, tasks: DataFrame) -> DataFrame:
+    """Resolution events of ``tasks``; those of all other tasks go before anything is aggregated."""
     rows = ticket_events.filter(F.col("event_name").isin(*RESOLUTIONS) & F.col("task_id").isNotNull())
-    return rows if end is None else rows.filter(F.col("added_time") < ts_lit(end))
+    rows = rows if end is None else rows.filter(F.col("added_time") < ts_lit(end))
+    return rows.join(tasks, "task_id", "left_semi")
 
 
 def ticket_counts(
@@ -67,7 +69,7 @@ def ticket_sla(ticket_events: DataFrame, start: AsOf, end: AsOf | None = None) -
     it and however early. Escalation is no resolution.
     """
     tasks = _created(ticket_events, start, end).select("partner_id", "type", "task_id").distinct()
-    resolved = _resolutions(ticket_events, end).select("task_id").distinct().withColumn("_met", F.lit(True))
+    resolved = _resolutions(ticket_events, end, tasks).select("task_id").distinct().withColumn("_met", F.lit(True))
     return (
         tasks.join(resolved, "task_id", "left")
         .groupBy("partner_id", "type")
@@ -78,21 +80,23 @@ def ticket_sla(ticket_events: DataFrame, start: AsOf, end: AsOf | None = None) -
     )
 
 
-def live_tickets(ticket_events: DataFrame, as_of: AsOf) -> DataFrame:
-    """Created and met tasks of M1 and M0, both kinds, one row per partner.
+def live_tickets(ticket_events: DataFrame, as_of: AsOf, partners: DataFrame | None = None) -> DataFrame:
+    """Created and met tasks of M1 and M0, both kinds, one row per partner (of ``partners``).
 
     One pass serves both windows: the first resolution time of a task tells whether it was
     met before the end of M1 and whether it was met at all.
     """
     m0, m1 = month_start(as_of), month_start(as_of, 1)
     in_m0 = F.col("added_time") >= ts_lit(m0)
+    created = _created(ticket_events, m1, None)
+    if partners is not None:
+        created = created.join(partners, "partner_id", "left_semi")
     tasks = (
-        _created(ticket_events, m1, None)
-        .filter(F.col("task_id").isNotNull())
+        created.filter(F.col("task_id").isNotNull())
         .select("partner_id", "type", "task_id", F.when(in_m0, 0).otherwise(1).alias("month_off"))
         .distinct()
     )
-    resolved = _resolutions(ticket_events, None).groupBy("task_id").agg(F.min("added_time").alias("_first"))
+    resolved = _resolutions(ticket_events, None, tasks).groupBy("task_id").agg(F.min("added_time").alias("_first"))
     met = {0: F.col("_first").isNotNull(), 1: F.col("_first") < ts_lit(m0)}
     measures = []
     for kind, code in _KINDS:

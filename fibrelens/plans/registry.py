@@ -100,7 +100,8 @@ _QUERIES: dict[str, Callable[[Testbed], DataFrame]] = {
     "mobile_summary": lambda t: city.mobile_summary(t["plans"], _roster(t)),
     "tickets_30d": lambda t: city.tickets_30d(t["ticket_daily"], _roster(t), AS_OF),
     "city_roster": _roster,
-    "city_active_base": lambda t: city.city_active_base(t["plans"], _roster(t), AS_OF),
+    "city_active_base": lambda t: city.city_active_base(t["plans"], _roster(t), AS_OF, cities=t.cities()),
+    "city_partner_counts": lambda t: city.city_partner_counts(_roster(t), t.cities()),
     "daily_leads_installs": _daily,
     "leads_installs_totals": lambda t: city.leads_installs_totals(_daily(t)),
     # card and payouts

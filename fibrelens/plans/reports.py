@@ -9,7 +9,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
-from fibrelens.functions.joins import is_small, keep_listed
 from fibrelens.functions.times import AsOf
 from fibrelens.operators import base, city, customers, devices, payouts, tickets, wallet
 from fibrelens.session import checkpointed
@@ -51,12 +50,10 @@ def partner_page(tables: Tables, as_of: AsOf, zones: Sequence[str] = ZONES) -> d
     card = payouts.partner_card(detail, zones)
     ids = detail.select("partner_id")
 
-    live = checkpointed(tickets.live_tickets(tables["ticket_events"], as_of).join(ids, "partner_id", "left_semi"))
-    own_plans = keep_listed(tables["plans"], ids, "partner_id", is_small(ids))
-    people = checkpointed(customers_of({**tables, "plans": own_plans}, as_of).join(ids, "partner_id", "left_semi"))
-    rows = checkpointed(
-        wallet.wallet_transactions(tables["ledger_old"], tables["ledger_new"]).join(ids, "partner_id", "left_semi")
-    )
+    own = {name: tables[name].join(ids, "partner_id", "left_semi") for name in ("plans", "ledger_old", "ledger_new")}
+    live = checkpointed(tickets.live_tickets(tables["ticket_events"], as_of, ids))
+    people = checkpointed(customers_of({**tables, "plans": own["plans"]}, as_of))
+    rows = checkpointed(wallet.wallet_transactions(own["ledger_old"], own["ledger_new"]))
     stored = tickets.best_sla(detail, base.partner_scores(tables["partner_scores"]), as_of)
     return {
         "fields": base.partner_fields(card),
@@ -86,7 +83,7 @@ def city_page(tables: Tables, cities: DataFrame, as_of: AsOf) -> dict[str, DataF
     rollup = checkpointed(city.plan_rollup(tables["plans"], roster))
     daily = city.daily_from_rollup(rollup, tables["bookings"], roster, as_of)
     return {
-        "active_base": city.active_base_from_rollup(rollup, roster, as_of),
+        "active_base": city.active_base_from_rollup(rollup, roster, as_of, cities),
         "daily": daily,
         "totals": city.leads_installs_totals(daily),
         "partners": city.scorecard_ratios(city.scorecard_from_rollup(rollup, roster, tables["ticket_daily"], as_of)),

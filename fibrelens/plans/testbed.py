@@ -47,9 +47,11 @@ class Testbed:
         return _VIEWS.keys()
 
     def cities(self) -> DataFrame:
-        return self.raw("nation").select(
+        """Every nation, and a listed city that has no partner yet."""
+        nations = self.raw("nation").select(
             F.replace(F.col("n_name"), F.lit("_"), F.lit(" ")).alias("label"), F.col("n_name").alias("funnel")
         )
+        return nations.union(nations.limit(1).select(F.lit("NEWTOWN").alias("label"), F.lit("NEWTOWN").alias("funnel")))
 
     def events(self) -> DataFrame:
         e = self.raw("events")

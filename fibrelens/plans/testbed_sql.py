@@ -96,7 +96,7 @@ _LEDGER = """o_custkey % 10 AS partner_id, o_orderstatus AS action,
 _TABLES: dict[str, str] = {
     "ev": f"""SELECT user_id, event_type, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
   ts - INTERVAL {EVENT_SHIFT_DAYS} DAY AS seen_at FROM events""",
-    "cities": "SELECT replace(n_name, '_', ' ') AS label, n_name AS funnel FROM nation",
+    "cities": "SELECT replace(n_name, '_', ' ') AS label, n_name AS funnel FROM nation UNION ALL SELECT 'NEWTOWN', 'NEWTOWN'",
     "roster": """SELECT s_suppkey AS partner_id, s_name AS partner_name,
   n_name || CASE WHEN s_suppkey % 2 = 0 THEN '  ' ELSE '' END AS partner_city
 FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
@@ -494,7 +494,9 @@ FROM city_mobiles JOIN sold USING (city, mobile)""",
     "tickets_30d": "SELECT partner_id, CAST(tickets_1m AS BIGINT) AS tickets_1m, CAST(resolved_1m AS BIGINT) AS resolved_1m FROM recent_tickets",
     "city_roster": "SELECT * FROM city_partners",
     "city_active_base": f"""SELECT city, count(DISTINCT mobile) FILTER (expiry::DATE >= {_TODAY} - 15) AS active_base
-FROM (SELECT DISTINCT city FROM city_partners) LEFT JOIN city_plans USING (city) GROUP BY city""",
+FROM (SELECT label AS city FROM cities) LEFT JOIN city_plans USING (city) GROUP BY city""",
+    "city_partner_counts": """SELECT label AS city, count(DISTINCT partner_id) AS partners
+FROM cities LEFT JOIN city_partners ON city = label GROUP BY label""",
     "daily_leads_installs": "SELECT * FROM daily ORDER BY city, day",
     "leads_installs_totals": """SELECT city, CAST(sum(leads) AS BIGINT) AS total_leads, CAST(sum(installs) AS BIGINT) AS total_installs
 FROM daily GROUP BY city""",

@@ -72,10 +72,10 @@ TABLES: dict[str, str] = {
 ALIASES: dict[str, dict[str, str]] = {
     "ticket_events": {"assigned_account_id": "partner_id"},
     "plans": {"lco_account_id": "partner_id"},
-    "bookings": {"lco_account_id": "partner_id", "_fivetran_deleted": "is_deleted"},
+    "bookings": {"lco_account_id": "partner_id"},
     "daily_usage": {"nasid": "nas_id"},
     "speed_tests": {"deviceid": "device_id"},
-    "disbursements": {"account_id": "partner_id", "_fivetran_deleted": "is_deleted"},
+    "disbursements": {"account_id": "partner_id"},
     "ledger_old": {"partner_account_id": "partner_id"},
     "ticket_daily": {"partner_account_id": "partner_id"},
 }

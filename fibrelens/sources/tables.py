@@ -16,41 +16,64 @@ def table_schema(name: str) -> T.StructType:
     return T.StructType.fromDDL(TABLES[name])
 
 
-def _fit(value: Column, have: T.DataType, want: T.DataType) -> Column:
+def _fit(value: Column, have: T.DataType, want: T.DataType, strict: bool) -> Column:
     """Cast only where the type differs, so that filters on the column still reach the scan."""
     if have == want or (isinstance(have, _TIMES) and isinstance(want, _TIMES)):
         return value
+    if strict:
+        return value.cast(want)
     if isinstance(want, T.LongType) and not isinstance(have, (T.IntegralType, T.DecimalType)):
         return to_long(value)
     return value.try_cast(want)
 
 
-def conform(df: DataFrame, name: str) -> DataFrame:
-    """Find the needed columns in any letter case or under a known alias, and type them."""
+def conform(df: DataFrame, name: str, aliases: dict[str, str] | None = None, strict: bool = False) -> DataFrame:
+    """Find the needed columns in any letter case or under an alias, and type them.
+
+    ``aliases`` maps a deployment's own column names to ours, beside the known ones. Values that
+    do not fit a type become NULL, or raise an error if ``strict``.
+    """
     found = {field.name.lower(): field for field in df.schema}
-    aliases = {new: old for old, new in ALIASES.get(name, {}).items()}
+    names = {new: old for old, new in ALIASES.get(name, {}).items()}
+    names |= {new: old.lower() for old, new in (aliases or {}).items()}
     picked, missing = [], []
     for want in table_schema(name):
-        have = found.get(want.name) or found.get(aliases.get(want.name, ""))
+        have = found.get(want.name) or found.get(names.get(want.name, ""))
         if have is None:
             missing.append(want.name)
         else:
-            picked.append(_fit(F.col(f"`{have.name}`"), have.dataType, want.dataType).alias(want.name))
+            picked.append(_fit(F.col(f"`{have.name}`"), have.dataType, want.dataType, strict).alias(want.name))
     if missing:
         raise ValueError(f"table {name} lacks columns: {', '.join(missing)}")
     return df.select(*picked)
 
 
-def load_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet") -> DataFrame:
+def load_table(
+    spark: SparkSession,
+    name: str,
+    path: str,
+    fmt: str = "parquet",
+    aliases: dict[str, str] | None = None,
+    strict: bool = False,
+) -> DataFrame:
     """Read one logical table from files."""
-    return conform(spark.read.format(fmt).load(path), name)
+    return conform(spark.read.format(fmt).load(path), name, aliases, strict)
 
 
-def load_catalog_table(spark: SparkSession, name: str, identifier: str) -> DataFrame:
+def load_catalog_table(
+    spark: SparkSession, name: str, identifier: str, aliases: dict[str, str] | None = None, strict: bool = False
+) -> DataFrame:
     """Read one logical table from the session catalog."""
-    return conform(spark.table(identifier), name)
-
-
-def load_tables(spark: SparkSession, root: str, names: list[str] | None = None, fmt: str = "parquet") -> dict[str, DataFrame]:
-    """Read logical tables stored as ``root/<name>``."""
-    return {name: load_table(spark, name, f"{root}/{name}", fmt) for name in names or TABLES}
+    return conform(spark.table(identifier), name, aliases, strict)
+
+
+def load_tables(
+    spark: SparkSession,
+    root: str,
+    names: list[str] | None = None,
+    fmt: str = "parquet",
+    aliases: dict[str, dict[str, str]] | None = None,
+    strict: bool = False,
+) -> dict[str, DataFrame]:
+    """Read logical tables stored as ``root/<name>``; ``aliases`` by table."""
+    return {n: load_table(spark, n, f"{root}/{n}", fmt, (aliases or {}).get(n), strict) for n in names or TABLES}

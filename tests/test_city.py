@@ -2,7 +2,6 @@ from datetime import date, datetime
 
 import pytest
 
-from fibrelens.functions import joins
 from fibrelens.operators import city
 from fibrelens.sources.dimensions import LAUNCH_CITIES, launch_cities
 from conftest import AS_OF, by
@@ -14,11 +13,16 @@ def plan(partner, mobile, start, days=28, **more):
     return dict(partner_id=partner, mobile=mobile, plan_start_time=start, time_plan=int(days * DAY), **more)
 
 
-@pytest.fixture(params=["small", "large"])
-def roster_size(request, monkeypatch):
-    """Every city operator must give the same with a broadcast roster and with a merged one."""
-    if request.param == "large":
-        monkeypatch.setattr(city, "is_small", lambda df: False)
+@pytest.fixture(params=["broadcast", "merge"])
+def roster_size(request, spark):
+    """Every city operator must give the same whichever join Spark picks."""
+    if request.param == "merge":
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        yield
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    else:
+        yield
 
 
 @pytest.fixture
@@ -187,6 +191,24 @@ def test_ratios_and_report(frame):
     assert (shown["b"]["Active %"], shown["b"]["M1 %"]) == ("—", "—")
 
 
-def test_size_check_stops_counting(spark):
-    assert joins.is_small(spark.range(10), 10)
-    assert not joins.is_small(spark.range(11), 10)
+def test_listed_cities_without_partners_show_zero(spark, table, roster):
+    plans = table("plans", [plan(1, "a", "2024-03-10 00:00:00")])
+    pairs, cities = roster(("Agra", 1, "a"), ("Agra", 1, "b"), ("Agra", 2, "c")), launch_cities(spark)
+    rollup = city.plan_rollup(plans, pairs)
+    for got in (city.city_active_base(plans, pairs, AS_OF, cities=cities), city.active_base_from_rollup(rollup, pairs, AS_OF, cities)):
+        assert {r.city: r.active_base for r in got.collect()} == {label: int(label == "Agra") for label in LAUNCH_CITIES}
+    counts = {r.city: r.partners for r in city.city_partner_counts(pairs, cities).collect()}
+    assert counts == {label: 2 * (label == "Agra") for label in LAUNCH_CITIES}
+
+
+def test_building_a_plan_starts_no_job(spark, table, roster):
+    tracker, group = spark.sparkContext.statusTracker(), "building"
+    plans, bookings, daily = table("plans", [plan(1, "a", "2024-03-10 00:00:00")]), table("bookings", []), table("ticket_daily", [])
+    pairs = roster(("Agra", 1, "a"))
+    spark.sparkContext.setJobGroup(group, group)
+    city.partner_scorecard(plans, pairs, daily, AS_OF)
+    city.daily_leads_installs(plans, bookings, pairs, AS_OF)
+    city.city_active_base(plans, pairs, AS_OF, cities=launch_cities(spark))
+    city.mobile_summary(plans, pairs)
+    assert len(tracker.getJobIdsForGroup(group)) == 0
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -96,8 +96,7 @@ def test_customer_view_takes_four_joins(spark):
     assert [j.split("#")[0] for j in joins[:3]] == ["device_id", "nas_id", "mobile"]
 
 
-def test_large_roster_keeps_the_mobile_in_every_raw_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(city, "is_small", lambda df: False)
+def test_large_roster_keeps_the_mobile_in_every_aggregation(spark):
     t = Testbed(spark, SMALL)
     roster = city.city_roster(t["roster"], t.cities())
     plan = plan_of(city.partner_scorecard(t["plans"], roster, t["ticket_daily"], AS_OF), broadcast=False)

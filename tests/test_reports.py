@@ -22,7 +22,7 @@ def rows(df):
 def test_city_page(bed):
     page = reports.city_page(bed, bed.cities(), AS_OF)
     roster = city.city_roster(bed["roster"], bed.cities())
-    assert rows(page["active_base"]) == rows(city.city_active_base(bed["plans"], roster, AS_OF))
+    assert rows(page["active_base"]) == rows(city.city_active_base(bed["plans"], roster, AS_OF, cities=bed.cities()))
     daily = city.daily_leads_installs(bed["plans"], bed["bookings"], roster, AS_OF)
     assert rows(page["daily"]) == rows(daily)
     assert rows(page["totals"]) == rows(city.leads_installs_totals(daily))
