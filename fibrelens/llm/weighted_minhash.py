@@ -219,7 +219,7 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
     between = stored(between.filter("a <> b"), "between")
     if between.isEmpty():
         return labels
-    higher = components(between).withColumnsRenamed({"node": "label", "label": "top"})
+    higher = components(between).select(F.col("node").alias("label"), F.col("label").alias("top"))
     own = labels.join(higher, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
     fresh = higher.select(F.col("label").alias("node"), F.col("top").alias("label")).join(labels, "node", "left_anti")
     return stored(own.union(fresh), "labels")

@@ -121,6 +121,17 @@ def test_samples_agree_with_the_weighted_similarity():
     assert abs(agree - shared / either) < 0.03
 
 
+def test_later_links_merge_components(spark):
+    frame = lambda *pairs: spark.createDataFrame(list(pairs), "a long, b long")
+    labels = weighted_minhash._merged(None, frame((1, 2), (3, 4), (4, 5), (7, 8)))
+    assert {tuple(r) for r in labels.collect()} == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 3), (7, 7), (8, 7)}
+    more = weighted_minhash._merged(labels, frame((2, 5), (8, 9), (20, 21), (1, 2)))
+    found = {r["node"]: r["label"] for r in more.collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 7: 7, 8: 7, 9: 7, 20: 20, 21: 20}
+    assert more.count() == 10
+    assert weighted_minhash._merged(more, frame((4, 1))).count() == 10
+
+
 def test_near_of_an_empty_table(docs):
     assert weighted_minhash.near_duplicates(docs([])).count() == 0
     assert weighted_minhash.drop_near_duplicates(docs([(1, None), (2, None)])).count() == 2
