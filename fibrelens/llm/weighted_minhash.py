@@ -4,7 +4,8 @@ A text is a bag of shingles of five words (lower-cased A-Z, punctuation ignored;
 is one shingle). A shingle weighs its count times a damped inverse document frequency. From
 each text, samples are drawn so that two texts agree in a sample with the probability of their
 weighted Jaccard similarity; bands of three samples give candidates, and a candidate is a link
-only after its weighted Jaccard similarity was computed in full and reached the threshold.
+only after its weighted Jaccard similarity was computed over both whole bags, with shingles named
+by 32 bits, and reached the threshold.
 Classes are the connected components of the links.
 
 *Weights.* Document frequencies are counted over all documents in a table of hashed shingles
@@ -15,6 +16,10 @@ tear an edited copy away from its group.
 *Recall.* Twelve bands of three find a pair of similarity 0.8 with probability 0.9998 and one
 of 0.9 with more than 0.999999.
 
+*Candidates.* The number of samples in which two texts agree follows a binomial law around their
+similarity. A pair whose number would be that low at the threshold with probability of at most
+one in a million is no candidate, and its bags are not fetched.
+
 *Large groups.* Equal word sequences are one node. In a bucket, nodes meet a few pivots instead
 of each other: one pivot in the first round. A bucket whose nodes are one component is done.
 Otherwise it goes into the next round with eight times the pivots, in another order, and with
@@ -29,11 +34,14 @@ and text belong to one class. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytescan import ALNUM_WORDS, mix, pieces, words
@@ -44,10 +52,13 @@ THRESHOLD = 0.8
 BANDS, ROWS = 12, 3
 #: Entries of the table of document frequencies (1 MB).
 FREQUENCIES = 1 << 18
+#: Probability at most that a pair at the threshold is no candidate for its number of equal samples.
+MISSED = 1e-6
 #: Share of a weight that follows the inverse document frequency.
 DAMPING = 0.2
 
 _U = np.uint64
+_SHORT = _U(0xFFFFFFFF)
 _NEGLOG = -np.log((np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.float32)
 
 
@@ -93,7 +104,7 @@ def bags(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def frequency_slot(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys) >> _U(46)).astype(np.int64)
+    return (mix(keys & _SHORT) >> _U(46)).astype(np.int64)
 
 
 def _count_frequencies(batches):
@@ -162,30 +173,39 @@ def _signatures(weights):
 
 
 def weighted_jaccard(left: tuple, right: tuple, n: int, table: np.ndarray) -> np.ndarray:
-    """Similarity per row of two columns of bags (row, shingle, count)."""
+    """Similarity per row of two columns of bags (row, shingle, count), sorted by row and shingle."""
     total = [np.bincount(r, c * table[frequency_slot(k)].astype(np.float64), n) for r, k, c in (left, right)]
-    rows, keys, counts = (np.concatenate([a, b]) for a, b in zip(left, right, strict=True))
-    order = np.lexsort((keys, rows))
-    rows, keys, counts = rows[order], keys[order], counts[order]
-    both = np.flatnonzero((rows[1:] == rows[:-1]) & (keys[1:] == keys[:-1]))
-    least = np.minimum(counts[both], counts[both + 1]) * table[frequency_slot(keys[both])].astype(np.float64)
-    shared = np.bincount(rows[both], least, n)
+    ours, theirs = (r.astype(np.uint64) << _U(44) | k for r, k, _ in (left, right))
+    at = np.searchsorted(theirs, ours)
+    both = np.flatnonzero(np.append(theirs, ~_U(0))[at] == ours)
+    rows, keys, counts = left[0][both], left[1][both], left[2][both]
+    least = np.minimum(counts, right[2][at[both]]) * table[frequency_slot(keys)].astype(np.float64)
+    shared = np.bincount(rows, least, n)
     return shared / np.maximum(total[0] + total[1] - shared, 1e-12)
 
 
+def _unpacked(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bags (row, shingle, count) of lists that name a shingle as often as it occurs, sorted."""
+    keys = lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint32).astype(np.uint64)
+    rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    first = np.flatnonzero(np.diff(keys, prepend=_U(1 << 63)).astype(bool) | np.diff(rows, prepend=-1).astype(bool))
+    return rows[first], keys[first], np.diff(np.append(first, len(keys)))
+
+
 def _verify(weights, threshold: float):
     def check(batches):
         table = weights.value
         for batch in batches:
-            size, step = batch.num_rows, 256
-            for at in range(0, size, step):
-                part = batch.slice(at, step)
-                sides = []
-                for name in ("pivot_text", "text"):
-                    got = [(low, bags(data, offsets)) for low, _, data, offsets in pieces(part.column(name))]
-                    sides.append(tuple(np.concatenate([b[i] + (low if i == 0 else 0) for low, b in got]) for i in range(3)))
-                keep = weighted_jaccard(*sides, part.num_rows, table) >= threshold
-                yield pa.RecordBatch.from_arrays([part.column("pivot"), part.column("node")], ["pivot", "node"]).filter(pa.array(keep))
+            sides = [batch.column(name) for name in ("pivot_bag", "bag")]
+            size = np.cumsum(sum(np.diff(side.offsets.to_numpy()) for side in sides))
+            keep, low = [np.zeros(0, bool)], 0
+            while low < batch.num_rows:  # blocks of about a million shingles, one pair at least
+                high = int(np.searchsorted(size, size[low] + (1 << 20), "right"))
+                high = min(max(high, low + 1), low + (1 << 16))
+                bags_of = [_unpacked(side.slice(low, high - low)) for side in sides]
+                keep.append(weighted_jaccard(*bags_of, high - low, table) >= threshold)
+                low = high
+            yield batch.select(["pivot", "node"]).filter(pa.array(np.concatenate(keep)))
 
     return check
 
@@ -225,6 +245,20 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return stored(own.union(fresh), "labels")
 
 
+def least_agreement(threshold: float) -> int:
+    """The number of equal samples that a pair at the threshold reaches but with probability MISSED."""
+    n, below = BANDS * ROWS, 0.0
+    for k in range(n + 1):
+        below += math.comb(n, k) * threshold**k * (1 - threshold) ** (n - k)
+        if below > MISSED:
+            return k
+    return n
+
+
+def _agreement(left: str, right: str) -> Column:
+    return reduce(add, ((F.col(left)[i] == F.col(right)[i]).cast("int") for i in range(BANDS * ROWS)))
+
+
 def _bucket_rows(nodes: DataFrame) -> DataFrame:
     """(key, node, rest): one row per node and band; ``rest`` are the samples that refine the key."""
     def band(i: int):
@@ -245,20 +279,23 @@ def near_duplicate_links(docs: DataFrame, signed: DataFrame, weights, threshold:
 
     wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("_doc"))
     fetched = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("node", "text")
-    texts = stored(fetched.mapInArrow(_own_text, "node long, text string").dropDuplicates(["node"]), "texts")
+    held = stored(fetched.mapInArrow(_own_bags, "node long, bag array<int>").dropDuplicates(["node"]), "bags")
 
-    labels, pivots, extra = None, 1, ROWS
+    labels, pivots, extra, least = None, 1, ROWS, least_agreement(threshold)
     pairs = buckets.filter("node <> pivot").select("pivot", "node").distinct()
+    own = nodes.select("node", "samples")
+    of_pivot = nodes.select(F.col("node").alias("pivot"), F.col("samples").alias("pivot_samples"))
+    pairs = pairs.join(own, "node").join(of_pivot, "pivot").filter(_agreement("samples", "pivot_samples") >= least).select("pivot", "node")
     while True:
-        pivot_texts = texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text"))
-        sided = pairs.join(texts, "node").join(pivot_texts, "pivot").select("pivot", "node", "pivot_text", "text")
+        pivot_bags = held.select(F.col("node").alias("pivot"), F.col("bag").alias("pivot_bag"))
+        sided = pairs.join(held, "node").join(pivot_bags, "pivot").select("pivot", "node", "pivot_bag", "bag")
         found = sided.mapInArrow(_verify(weights, threshold), "pivot long, node long")
         labels = _merged(labels, stored(found.select(F.col("pivot").alias("a"), F.col("node").alias("b")), "links"))
         buckets = _unfinished(buckets, labels, nodes, pivots, extra)
         if buckets is None:
             return labels
         pivots, extra = 8 * pivots, extra + 1
-        pairs = _next_pairs(buckets, pivots)
+        pairs = _next_pairs(buckets, pivots, least)
 
 
 def _unfinished(buckets: DataFrame, labels: DataFrame | None, nodes: DataFrame, pivots: int, extra: int) -> DataFrame | None:
@@ -272,7 +309,7 @@ def _unfinished(buckets: DataFrame, labels: DataFrame | None, nodes: DataFrame,
     split = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
     rows = rows.join(split, "key", "left_semi")
     refined = rows.join(nodes.select("node", "samples"), "node").select(
-        F.xxhash64("key", F.element_at("samples", (F.col("band") * ROWS + extra) % (BANDS * ROWS) + 1)).alias("key"), "band", "node", "label"
+        F.xxhash64("key", F.element_at("samples", (F.col("band") * ROWS + extra) % (BANDS * ROWS) + 1)).alias("key"), "band", "node", "label", "samples"
     )
     refined = stored(refined, "refined")
     mixed = refined.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
@@ -280,8 +317,9 @@ def _unfinished(buckets: DataFrame, labels: DataFrame | None, nodes: DataFrame,
     return None if open_rows.isEmpty() else open_rows
 
 
-def _next_pairs(buckets: DataFrame, pivots: int) -> DataFrame:
-    """Pairs of every node with ``pivots`` nodes of its bucket in another component.
+def _next_pairs(buckets: DataFrame, pivots: int, least: int) -> DataFrame:
+    """Pairs of every node with those of ``pivots`` nodes of its bucket that are in another
+    component and agree with it in ``least`` samples.
 
     The pivots are the smallest in an order that changes with the round. They are picked within
     salts first, so no task ranks a whole bucket.
@@ -292,19 +330,24 @@ def _next_pairs(buckets: DataFrame, pivots: int) -> DataFrame:
     some = ranked.withColumn("rank", F.row_number().over(salted)).filter(F.col("rank") <= pivots)
     best = Window.partitionBy("key").orderBy("order", "node")
     chosen = some.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= pivots)
-    chosen = chosen.select("key", F.col("node").alias("pivot"), F.col("label").alias("pivot_label"))
-    met = buckets.join(chosen, "key").filter(F.col("label") != F.col("pivot_label"))
+    chosen = chosen.select("key", F.col("node").alias("pivot"), F.col("label").alias("pivot_label"), F.col("samples").alias("pivot_samples"))
+    met = buckets.join(chosen, "key").filter((F.col("label") != F.col("pivot_label")) & (_agreement("samples", "pivot_samples") >= least))
     return met.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node")).distinct()
 
 
-def _own_text(batches):
-    """Drop texts that are not their node's: rows of a doc_id may hold several texts."""
+def _own_bags(batches):
+    """(node, bag) of the rows whose text is their node's: rows of a doc_id may hold several texts.
+    A bag lists the lower 32 bits of its shingles, sorted, each as often as it occurs."""
     for batch in batches:
-        keep = [np.zeros(0, bool)]
+        nodes = batch.column("node").to_numpy()
         for low, high, data, offsets in pieces(batch.column("text")):
-            _, _, _, whole = bags(data, offsets)
-            keep.append(whole.view(np.int64) == batch.column("node").slice(low, high - low).to_numpy())
-        yield batch.filter(pa.array(np.concatenate(keep)))
+            rows, keys, counts, whole = bags(data, offsets)
+            own = whole.view(np.int64) == nodes[low:high]
+            packed = np.sort(np.repeat(rows.astype(np.uint64) << _U(32) | keys & _SHORT, counts))
+            start = np.searchsorted(packed, np.arange(high - low + 1, dtype=np.uint64) << _U(32))
+            short = pa.array((packed & _SHORT).astype(np.uint32).view(np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(start, pa.int32()), short)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[low:high]), lists], ["node", "bag"]).filter(pa.array(own))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
