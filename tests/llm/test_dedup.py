@@ -1,10 +1,12 @@
 """Exact and near de-duplication against brute force."""
 
 import hashlib
+import math
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from fibrelens.llm import extendible_dedup, weighted_minhash
@@ -121,6 +123,30 @@ def test_samples_agree_with_the_weighted_similarity():
     assert abs(agree - shared / either) < 0.03
 
 
+def test_packed_bags_have_the_similarity_of_their_counts():
+    draw = np.random.default_rng(5)
+    table = np.linspace(0.8, 1, weighted_minhash.FREQUENCIES).astype(np.float32)
+    left, right = ([np.sort(draw.integers(0, 40, n) << 26).astype(np.uint32) for n in sizes] for sizes in ((60, 0, 5, 0), (50, 7, 0, 0)))
+    right[0][:] = np.sort(np.append(left[0][:45], right[0][:5]))
+    lists = [pa.array([x.view(np.int32).tolist() for x in side], pa.list_(pa.int32())) for side in (left, right)]
+    for low, n in ((0, 4), (1, 3)):  # also parts of a batch
+        sides = [weighted_minhash._unpacked(side.slice(low, n)) for side in lists]
+        got = weighted_minhash.weighted_jaccard(*sides, n, table)
+        for k in range(n):
+            a, b = Counter(left[low + k].tolist()), Counter(right[low + k].tolist())
+            weight = lambda c: sum(m * table[weighted_minhash.frequency_slot(np.array([x], np.uint64))[0]] for x, m in c.items())
+            either = weight(a | b)
+            assert abs(got[k] - (weight(a & b) / either if either else 0)) < 1e-6
+
+
+def test_few_pairs_at_the_threshold_are_dropped_by_their_samples():
+    least = weighted_minhash.least_agreement(0.8)
+    n = weighted_minhash.BANDS * weighted_minhash.ROWS
+    below = sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(least))
+    assert 0 < below <= weighted_minhash.MISSED
+    assert weighted_minhash.least_agreement(1.0) == n
+
+
 def test_later_links_merge_components(spark):
     frame = lambda *pairs: spark.createDataFrame(list(pairs), "a long, b long")
     labels = weighted_minhash._merged(None, frame((1, 2), (3, 4), (4, 5), (7, 8)))
