@@ -6,13 +6,18 @@ comments), or open. Pages are sorted by host and URL path; each is aligned with
 and the page after it in its host by the longest common subsequence of lines. Lines shared with
 a neighbour are template text and are deleted.
 
-A line inside the article element is restored even if it is shared: an article may be published
-under several paths, and the contract keeps every block of the article. Furniture is always
-deleted. Where a page has an article element, open lines outside it are furniture as well.
+A shared line inside the article element is restored unless every neighbour of the page shares
+it and none of them is a copy: an article may be published under several paths, and a quoted line
+is no template. Two pages are copies if a longest common subsequence of their article lines holds
+at least half of the characters of either article. Furniture is always deleted. Where a page has
+an article element, open lines outside it are furniture as well.
 
-Sorting is a range partitioning, so a host with a large part of the pages is cut into several
-ranges. The first page of a range has no page before it there and is aligned with the page
-after it. Repeated lines match by occurrence, so alignment takes n log n steps.
+Pages are ordered by host, path and a hash of the row. The neighbours of a page are the last page
+of the path before its own and the first page of the path after it. Bounds drawn from a sample of
+that order cut it into ranges, so a host or a path with a large part of the pages is spread over
+tasks. What a range needs of the ranges beside it, at most three pages for each bound, is shown to
+it as well: where the bounds fall changes no result. Repeated lines match by occurrence, so
+alignment takes n log n steps.
 
 Defined cases: null html is an empty page; a null or odd URL has the empty host and itself as
 path. Repeated rows are separate pages; equal paths are never aligned with each other. Empty
@@ -22,8 +27,10 @@ text is "". Unclosed elements end with the page, or with the article they stand
 from __future__ import annotations
 
 import html as entities
+import pickle
 import re
-from bisect import bisect_left
+import tempfile
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,6 +40,8 @@ from pyspark.sql import functions as F
 from .shared import ship
 
 ARTICLE, OPEN, FURNITURE = 0, 1, 2
+#: Sampled places in the order of pages, per range.
+SAMPLED = 60
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|$)"
@@ -155,85 +164,175 @@ def shared_lines(own: list[str], other: list[str]) -> set[int]:
     return found
 
 
-def main_text(zones: list[int], texts: list[str], neighbours: list[list[str]]) -> str:
-    """Blocks that stay, joined by two line ends."""
-    if ARTICLE in zones:
-        return "\n\n".join(t for z, t in zip(zones, texts, strict=True) if z == ARTICLE)
-    shared = set().union(*(shared_lines(texts, other) for other in neighbours))
-    return "\n\n".join(t for i, (z, t) in enumerate(zip(zones, texts, strict=True)) if z == OPEN and i not in shared)
+def _copies(own: list[str], other: list[str]) -> bool:
+    """Whether two articles share lines with at least half of the characters of either."""
+    shared = sum(len(own[i]) for i in shared_lines(own, other))
+    return bool(own and other) and 2 * shared >= min(sum(map(len, own)), sum(map(len, other)))
 
 
-def _cut(batches):
-    for batch in batches:
-        pages = [lines(x.as_py() or "") for x in batch.column("html")]
-        yield pa.RecordBatch.from_arrays(
-            [
-                *(batch.column(c) for c in ("host", "path", "page_id", "url")),
+def main_text(zones: list[int], texts: list[str], neighbours: list[tuple[list[int], list[str]]]) -> str:
+    """Blocks that stay, joined by two line ends. Neighbours are (zones, texts)."""
+    shared = [shared_lines(texts, other) for _, other in neighbours]
+    if ARTICLE not in zones:
+        gone = set().union(*shared)
+        return "\n\n".join(t for i, (z, t) in enumerate(zip(zones, texts, strict=True)) if z == OPEN and i not in gone)
+    gone = set.intersection(*shared) if shared else set()
+    if any(zones[i] == ARTICLE for i in gone):
+        own, *others = ([t for z, t in zip(*page, strict=True) if z == ARTICLE] for page in [(zones, texts), *neighbours])
+        if any(_copies(own, other) for other in others):
+            gone = set()
+    return "\n\n".join(t for i, (z, t) in enumerate(zip(zones, texts, strict=True)) if z == ARTICLE and i not in gone)
+
+
+def _bounds(sample: list[tuple], n: int) -> list[tuple]:
+    """Lower bounds of the ranges after the first, from sampled places in the order."""
+    places = sorted(set(sample))
+    return sorted({places[i * len(places) // n] for i in range(1, n)}) if places else []
+
+
+def _edges(keys: list[tuple[str, str]]):
+    """First and last places of each interval between keys that bound ranges; ``inner`` ones leave
+    out the key itself."""
+
+    def scan(batches):
+        low: dict[tuple[int, bool], tuple] = {}
+        high: dict[int, tuple] = {}
+        for batch in batches:
+            for place in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "salt")), strict=True):
+                at = bisect_right(keys, place[:2])
+                high[at] = max(high.get(at, place), place)
+                kind = at, not (at and keys[at - 1] == place[:2])
+                low[kind] = min(low.get(kind, place), place)
+        found = [(at, inner, *place) for (at, inner), place in low.items()] + [(at, None, *place) for at, place in high.items()]
+        columns = list(zip(*found, strict=True)) or [()] * 5
+        kinds = pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.int64()
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["at", "inner", "host", "path", "salt"])
+
+    return scan
+
+
+def _shown(places: DataFrame, bounds: list[tuple]) -> dict[tuple, list[int]]:
+    """Places of the pages that are shown to ranges beside their own, with these ranges."""
+    keys = sorted({bound[:2] for bound in bounds})
+    place = F.struct("host", "path", "salt")
+    ends = places.mapInArrow(_edges(keys), "at int, inner boolean, host string, path string, salt long")
+    ends = ends.groupBy("at", "inner").agg(F.min(place).alias("low"), F.max(place).alias("high")).collect()
+    last = {r["at"]: tuple(r["high"]) for r in ends if r["inner"] is None}
+    own = {r["at"]: tuple(r["low"]) for r in ends if r["inner"] is False}
+    inner = {r["at"]: tuple(r["low"]) for r in ends if r["inner"]}
+    shown: dict[tuple, set[int]] = {}
+    for i, bound in enumerate(bounds, 1):  # between the ranges i - 1 and i
+        at = bisect_right(keys, bound[:2])
+        beside = [(last.get(at - 1), i), (own[at], i - 1), (inner.get(at, own.get(at + 1)), i - 1)]
+        for page, group in beside:
+            if page is not None and bisect_right(bounds, page) != group:
+                shown.setdefault(page, set()).add(group)
+    return {page: sorted(groups) for page, groups in shown.items()}
+
+
+_CUT = ("host", "path", "salt", "page_id", "url", "zones", "texts", "range", "shown")
+
+
+def _cut(bounds: list[tuple], shown: dict[tuple, list[int]]):
+    def scan(batches):
+        given: set[tuple] = set()  # copies of repeated rows are shown once
+        for batch in batches:
+            pages = [lines(x.as_py() or "") for x in batch.column("html")]
+            places = list(zip(*(batch.column(c).to_pylist() for c in ("host", "path", "salt")), strict=True))
+            rows = list(range(len(places)))
+            groups, copies = [bisect_right(bounds, p) for p in places], [False] * len(places)
+            for i, place in enumerate(places):
+                if place in given:
+                    continue
+                if place in shown:
+                    given.add(place)
+                for group in shown.get(place, ()):
+                    rows.append(i)
+                    groups.append(group)
+                    copies.append(True)
+            cut = [
+                *(batch.column(c) for c in _CUT[:5]),
                 pa.array([[z for z, _ in p] for p in pages], pa.list_(pa.int8())),
                 pa.array([[t for _, t in p] for p in pages], pa.list_(pa.string())),
-            ],
-            ["host", "path", "page_id", "url", "zones", "texts"],
-        )
+            ]
+            cut = [column.take(pa.array(rows, pa.int64())) for column in cut]
+            yield pa.RecordBatch.from_arrays([*cut, pa.array(groups, pa.int32()), pa.array(copies, pa.bool_())], list(_CUT))
+
+    return scan
 
 
-def _rows(batches) -> Iterator[dict]:
-    names = ("host", "path", "page_id", "url", "zones", "texts")
-    for batch in batches:
-        columns = [batch.column(c) for c in names]
-        for i in range(batch.num_rows):
-            yield {n: c[i] for n, c in zip(names, columns, strict=True)} | {"key": (columns[0][i].as_py(), columns[1][i].as_py())}
+def _rows(batch) -> Iterator[dict]:
+    columns = [batch.column(c) for c in _CUT]
+    for i in range(batch.num_rows):
+        yield {n: c[i].as_py() for n, c in zip(_CUT, columns, strict=True)}
 
 
 def _difference(batches):
-    """Pages of one range in order. Held are the page, the last one of another path, and the
-    pages of the same path that wait for the next one."""
+    """Pages of ranges in order. Held are the last page of the path before, and in a spool, which
+    goes to disk when it grows, the pages of one path that wait for the path after it."""
     out: list[tuple] = []
-    waiting: list[dict] = []
-    before: dict | None = None
-
-    def settle(after: dict | None) -> None:
-        for page in waiting:
-            near = [p["texts"].as_py() for p in (before, after) if p is not None and p["key"][0] == page["key"][0]]
-            text = main_text(page["zones"].as_py(), page["texts"].as_py(), near)
-            out.append((page["page_id"].as_py(), page["url"].as_py(), text, len(text)))
+    schema = key = last = before = None
+    count = 0
 
     def flush():
         columns = list(zip(*out, strict=True)) or [()] * 4
-        names = ["page_id", "url", "text", "n_chars"]
-        return pa.RecordBatch.from_pydict(dict(zip(names, columns, strict=True)), schema=schema)
-
-    schema = None
-    for batch in batches:
-        if schema is None:
-            fields = [batch.schema.field("page_id"), batch.schema.field("url"), pa.field("text", pa.string()), pa.field("n_chars", pa.int64())]
-            schema = pa.schema(fields)
-        for page in _rows([batch]):
-            if waiting and (waiting[0]["key"] != page["key"] or len(waiting) >= 64):
-                settle(page if waiting[0]["key"] != page["key"] else None)
-                if waiting[0]["key"] != page["key"]:
-                    before = waiting[-1]
-                waiting = []
-            waiting.append(page)
+        out.clear()
+        return pa.RecordBatch.from_pydict(dict(zip(schema.names, columns, strict=True)), schema=schema)
+
+    def settled(after):
+        near = [page[1] for page in (before, after) if page is not None and page[0][:2] == key[:2]]
+        waiting.seek(0)
+        for _ in range(count):
+            page_id, url, zones, texts = pickle.load(waiting)
+            text = main_text(zones, texts, near)
+            out.append((page_id, url, text, len(text)))
             if len(out) >= 512:
                 yield flush()
-                out.clear()
-    if schema is not None:
-        settle(None)
-        yield flush()
+        waiting.seek(0)
+        waiting.truncate()
+
+    with tempfile.SpooledTemporaryFile(max_size=1 << 24) as waiting:
+        for batch in batches:
+            if schema is None:
+                fields = [batch.schema.field("page_id"), batch.schema.field("url"), pa.field("text", pa.string()), pa.field("n_chars", pa.int64())]
+                schema = pa.schema(fields)
+            for page in _rows(batch):
+                own = page["range"], page["host"], page["path"]
+                now = own, (page["zones"], page["texts"])
+                if own != key:
+                    if key is not None:
+                        yield from settled(now)
+                    key, before, count = own, last, 0
+                last = now
+                if not page["shown"]:
+                    pickle.dump((page["page_id"], page["url"], *now[1]), waiting)
+                    count += 1
+        if schema is not None:
+            yield from settled(None)
+            yield flush()
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
-    ship(pages.sparkSession)
+    spark = pages.sparkSession
+    ship(spark)
     url = F.coalesce("url", F.lit(""))
     parts = pages.select(
         F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("host"),
         F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), r"[?#].*$", "").alias("path"),
+        F.xxhash64("page_id", "url", "html").alias("salt"),
         "page_id",
         "url",
         "html",
     )
+    places = parts.select("host", "path", "salt")
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    share = SAMPLED * n / max(1, pages.count())
+    bounds = _bounds([tuple(r) for r in (places.sample(share, 1) if share < 1 else places).collect()], n)
     page_type = pages.schema["page_id"].dataType.simpleString()
-    cut = parts.mapInArrow(_cut, f"host string, path string, page_id {page_type}, url string, zones array<tinyint>, texts array<string>")
-    ordered = cut.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    cut = parts.mapInArrow(
+        _cut(bounds, _shown(places, bounds)),
+        f"host string, path string, salt long, page_id {page_type}, url string, zones array<tinyint>, texts array<string>, range int, shown boolean",
+    )
+    ordered = cut.repartitionById(n, "range").sortWithinPartitions("range", "host", "path", "salt")
     return ordered.mapInArrow(_difference, f"page_id {page_type}, url string, text string, n_chars long")

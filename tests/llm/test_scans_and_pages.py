@@ -12,6 +12,7 @@ from collections import Counter
 
 import pyarrow.fs
 import pytest
+from pyspark.sql import functions as F
 
 from fibrelens.llm import chat_roles, page_differencing, randomness_tests, warc_normaliser
 from fibrelens.llm.shared import new_path
@@ -139,6 +140,53 @@ def test_shared_lines_of_neighbours_go(spark):
     assert got == want
 
 
+def by_neighbours(rows):
+    """Main texts by definition: the last page of the path before and the first one of the path after."""
+    cut, order = {}, {}
+    for page_id, url, page, salt in rows:
+        host, path = re.fullmatch(r"\w+://([^/]*)([^?]*).*", url).groups()
+        cut[salt] = [list(x) for x in zip(*page_differencing.lines(page), strict=True)]
+        order.setdefault((host, path), []).append((salt, page_id))
+    keys, out = sorted(order), []
+    for k, key in enumerate(keys):
+        near = [max(order[keys[k - 1]])[0]] if k and keys[k - 1][0] == key[0] else []
+        near += [min(order[keys[k + 1]])[0]] if k + 1 < len(keys) and keys[k + 1][0] == key[0] else []
+        out += [(page_id, page_differencing.main_text(*cut[salt], [cut[n] for n in near])) for salt, page_id in order[key]]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("ranges", ["1", "7", "40"])
+def test_ranges_do_not_change_neighbours(spark, ranges):
+    page = "<p>Site {}</p><p>own {}</p><p>Top {}</p>"
+    rows = [(i, f"http://big.example/{i % 90:03d}", page.format(i % 90 // 2, i, (i % 90 + 1) // 2)) for i in range(180)]
+    rows += [(1000 + i, f"http://big.example/045?{i}", page.format(22, 1000 + i, 23)) for i in range(300)]
+    rows += [(2000 + i, f"http://h{i}.example/a", page.format(1, i, 1)) for i in range(20)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rows = [tuple(r) for r in frame.select("*", F.xxhash64("page_id", "url", "html")).collect()]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        got = sorted((r.page_id, r.text) for r in page_differencing.extract_main_text(frame).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == by_neighbours(rows)
+    assert all(text == f"own {i}" for i, text in got if 1000 <= i < 2000)
+
+
+def test_template_lines_within_articles_go(spark):
+    page = "<nav>m</nav><article><p>Share this story</p><p>{}</p><p>Read our terms</p></article>"
+    rows = [(i, f"http://a.example/{i}", page.format(prose(i, 20))) for i in range(5)]
+    rows += [(10 + i, f"http://b.example/{i}", page.format(prose(50, 20))) for i in range(3)]
+    rows += [(20, "http://c.example/1", page.format(prose(60, 20))), (21, "http://c.example/2", f"<article><p>{prose(61, 20)}<p>Read our terms</article>")]
+    rows += [(22, "http://c.example/3", f"<article><p>{prose(62, 20)}</article>")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in page_differencing.extract_main_text(frame).collect()}
+    assert all(got[i] == prose(i, 20) for i in range(5))
+    assert all(got[10 + i] == f"Share this story\n\n{prose(50, 20)}\n\nRead our terms" for i in range(3))
+    assert got[20] == f"Share this story\n\n{prose(60, 20)}"
+    assert got[21] == f"{prose(61, 20)}\n\nRead our terms" and got[22] == prose(62, 20)
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     chance = random.Random(3)
     for _ in range(200):
