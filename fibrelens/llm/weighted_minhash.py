@@ -22,10 +22,11 @@ one in a million is no candidate, and its bags are not fetched.
 
 *Large groups.* Equal word sequences are one node. In a bucket, nodes meet a few pivots instead
 of each other: one pivot in the first round. A bucket whose nodes are one component is done.
-Otherwise it goes into the next round with eight times the pivots, in another order, and with
-one more sample in its key, until every pair of different components has been compared. So a
-group of similar texts costs about one comparison per text, and dissimilar texts that share a
-key are parted before many pivots meet them. No bucket is capped.
+An open one is dealt by total weight: texts of one link differ in it by at most the threshold, so
+they share a range of weights. Each following round takes eight times the pivots of the one before,
+under the same key and only new ones, until every pair of different components in a bucket has been
+compared. So a group of similar texts costs about one comparison per text; texts of an open bucket
+that no link joins are compared pair by pair, by their samples first. No bucket is capped.
 
 Defined cases: null counts as empty; texts without words have no duplicates, each row is its own
 class. The class id is the smallest doc_id of the class (null last). Rows that repeat doc_id
@@ -158,15 +159,16 @@ def _signatures(weights):
                 rows, keys, counts, whole = bags(data, offsets)
                 filled = np.zeros(high - low, bool)
                 filled[rows] = True
-                drawn = np.zeros((high - low, BANDS * ROWS), np.int64)
+                drawn, total = np.zeros((high - low, BANDS * ROWS), np.int64), np.zeros(high - low)
                 if len(rows):
                     own = counts * table[frequency_slot(keys)]
                     drawn[filled] = np.stack(list(samples(rows, keys, own, BANDS * ROWS)), 1).view(np.int64)
+                    total = np.bincount(rows, own.astype(np.float64), high - low)
                 node = pa.array(whole.view(np.int64), mask=~filled)
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(drawn.ravel()), BANDS * ROWS).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(low, high - low), batch.column("text_key").slice(low, high - low), node, flat],
-                    ["doc_id", "text_key", "node", "samples"],
+                    [batch.column("doc_id").slice(low, high - low), batch.column("text_key").slice(low, high - low), node, flat, pa.array(total)],
+                    ["doc_id", "text_key", "node", "samples", "total"],
                 )
 
     return sign
@@ -259,20 +261,25 @@ def _agreement(left: str, right: str) -> Column:
     return reduce(add, ((F.col(left)[i] == F.col(right)[i]).cast("int") for i in range(BANDS * ROWS)))
 
 
+def _alike(a: str, b: str, threshold: float) -> Column:
+    """Whether the total weights let the similarity reach the threshold."""
+    return F.least(a, b) >= F.greatest(a, b) * (threshold * (1 - 1e-6))
+
+
 def _bucket_rows(nodes: DataFrame) -> DataFrame:
-    """(key, node, rest): one row per node and band; ``rest`` are the samples that refine the key."""
+    """(key, node): one row per node and band."""
+
     def band(i: int):
         own = F.array(*(F.col("samples")[i * ROWS + j] for j in range(ROWS)))
-        return F.struct(F.xxhash64(F.lit(i), own).alias("key"), F.lit(i).alias("band"))
+        return F.xxhash64(F.lit(i), own)
 
-    return nodes.select("node", F.explode(F.array(*map(band, range(BANDS)))).alias("b")).select("b.key", "b.band", "node")
+    return nodes.select("node", F.explode(F.array(*map(band, range(BANDS)))).alias("key"))
 
 
 def near_duplicate_links(docs: DataFrame, signed: DataFrame, weights, threshold: float) -> DataFrame | None:
     """Components (node, label) of all nodes that have a link; None if there is no link."""
-    nodes = stored(
-        signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("samples").alias("samples")), "nodes"
-    )
+    same = signed.filter("node is not null").groupBy("node")
+    nodes = stored(same.agg(F.min("doc_id").alias("doc_id"), F.first("samples").alias("samples"), F.first("total").alias("total")), "nodes")
     rows = _bucket_rows(nodes)
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).filter("size > 1")
     buckets = stored(rows.join(sizes, "key"), "buckets")
@@ -281,57 +288,67 @@ def near_duplicate_links(docs: DataFrame, signed: DataFrame, weights, threshold:
     fetched = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("node", "text")
     held = stored(fetched.mapInArrow(_own_bags, "node long, bag array<int>").dropDuplicates(["node"]), "bags")
 
-    labels, pivots, extra, least = None, 1, ROWS, least_agreement(threshold)
+    labels, pivots, least = None, 1, least_agreement(threshold)
     pairs = buckets.filter("node <> pivot").select("pivot", "node").distinct()
-    own = nodes.select("node", "samples")
-    of_pivot = nodes.select(F.col("node").alias("pivot"), F.col("samples").alias("pivot_samples"))
-    pairs = pairs.join(own, "node").join(of_pivot, "pivot").filter(_agreement("samples", "pivot_samples") >= least).select("pivot", "node")
+    own = nodes.select("node", "samples", "total")
+    of_pivot = nodes.select(F.col("node").alias("pivot"), F.col("samples").alias("pivot_samples"), F.col("total").alias("pivot_total"))
+    near = (_agreement("samples", "pivot_samples") >= least) & _alike("total", "pivot_total", threshold)
+    pairs = pairs.join(own, "node").join(of_pivot, "pivot").filter(near).select("pivot", "node")
     while True:
         pivot_bags = held.select(F.col("node").alias("pivot"), F.col("bag").alias("pivot_bag"))
         sided = pairs.join(held, "node").join(pivot_bags, "pivot").select("pivot", "node", "pivot_bag", "bag")
         found = sided.mapInArrow(_verify(weights, threshold), "pivot long, node long")
         labels = _merged(labels, stored(found.select(F.col("pivot").alias("a"), F.col("node").alias("b")), "links"))
-        buckets = _unfinished(buckets, labels, nodes, pivots, extra)
+        buckets = _dealt(buckets, labels, nodes, threshold) if pivots == 1 else _unfinished(buckets, labels, pivots)
         if buckets is None:
             return labels
-        pivots, extra = 8 * pivots, extra + 1
-        pairs = _next_pairs(buckets, pivots, least)
+        before, pivots = 0 if pivots == 1 else pivots, 8 * pivots
+        pairs = _next_pairs(buckets, before, pivots, least, threshold)
 
 
-def _unfinished(buckets: DataFrame, labels: DataFrame | None, nodes: DataFrame, pivots: int, extra: int) -> DataFrame | None:
-    """Rows of buckets that hold several components not all compared, under a key with one more
-    sample; None if there are none."""
-    rows = buckets.select("key", "band", "node", "size").filter(F.col("size") > pivots + 1)
+def _open_rows(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows of buckets that hold several components, with their labels."""
+    rows = rows.drop("label")
     if labels is None:
         rows = rows.withColumn("label", F.col("node"))
     else:
         rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    rows = rows.join(split, "key", "left_semi")
-    refined = rows.join(nodes.select("node", "samples"), "node").select(
-        F.xxhash64("key", F.element_at("samples", (F.col("band") * ROWS + extra) % (BANDS * ROWS) + 1)).alias("key"), "band", "node", "label", "samples"
-    )
-    refined = stored(refined, "refined")
-    mixed = refined.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
-    open_rows = stored(refined.join(mixed.filter("low <> high").select("key", "size"), "key"), "buckets")
-    return None if open_rows.isEmpty() else open_rows
+    mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
+    return rows.drop("size").join(mixed.filter("low <> high").select("key", "size"), "key")
+
+
+def _dealt(buckets: DataFrame, labels: DataFrame | None, nodes: DataFrame, threshold: float) -> DataFrame | None:
+    """Rows of open buckets after the first round, each under two neighbouring ranges of total
+    weight as wide as a link can be; None if there are none."""
+    rows = stored(_open_rows(buckets.filter("size > 2").select("key", "node"), labels).select("key", "node"), "open")
+    width = max(-math.log(threshold), 1e-3) * (1 + 1e-3)
+    level = F.floor(F.log("total") / width)
+    parts = F.explode(F.array(level, level + 1)).alias("part")
+    ranged = rows.join(nodes.select("node", "samples", "total"), "node").select("key", "node", "samples", "total", parts)
+    ranged = ranged.withColumn("key", F.xxhash64("key", "part")).drop("part")
+    found = stored(_open_rows(ranged, labels), "buckets")
+    return None if found.isEmpty() else found
+
+
+def _unfinished(buckets: DataFrame, labels: DataFrame | None, pivots: int) -> DataFrame | None:
+    """Rows of buckets that hold several components not all compared, under the same keys; None if
+    there are none."""
+    found = stored(_open_rows(buckets.filter(F.col("size") > pivots), labels), "buckets")
+    return None if found.isEmpty() else found
 
 
-def _next_pairs(buckets: DataFrame, pivots: int, least: int) -> DataFrame:
-    """Pairs of every node with those of ``pivots`` nodes of its bucket that are in another
-    component and agree with it in ``least`` samples.
+def _next_pairs(buckets: DataFrame, before: int, pivots: int, least: int, threshold: float) -> DataFrame:
+    """Pairs of every node with those pivots of its bucket that no earlier round had, that are in
+    another component, agree with it in ``least`` samples and have a like total weight.
 
-    The pivots are the smallest in an order that changes with the round. They are picked within
-    salts first, so no task ranks a whole bucket.
+    A node's place in its bucket comes from a hash of the node; about ``pivots`` of a bucket's nodes
+    are pivots up to this round, and all of them if it has no more nodes than that.
     """
-    order = F.xxhash64("node", F.lit(pivots))
-    salted = Window.partitionBy("key", "salt").orderBy("order", "node")
-    ranked = buckets.withColumn("order", order).withColumn("salt", F.pmod("node", F.lit(64)))
-    some = ranked.withColumn("rank", F.row_number().over(salted)).filter(F.col("rank") <= pivots)
-    best = Window.partitionBy("key").orderBy("order", "node")
-    chosen = some.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= pivots)
-    chosen = chosen.select("key", F.col("node").alias("pivot"), F.col("label").alias("pivot_label"), F.col("samples").alias("pivot_samples"))
-    met = buckets.join(chosen, "key").filter((F.col("label") != F.col("pivot_label")) & (_agreement("samples", "pivot_samples") >= least))
+    place = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("size")
+    names = {"node": "pivot", "label": "pivot_label", "samples": "pivot_samples", "total": "pivot_total"}
+    chosen = buckets.filter((place >= before) & (place < pivots)).select("key", *(F.col(a).alias(b) for a, b in names.items()))
+    other = (F.col("label") != F.col("pivot_label")) & _alike("total", "pivot_total", threshold)
+    met = buckets.join(chosen, "key").filter(other & (_agreement("samples", "pivot_samples") >= least))
     return met.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node")).distinct()
 
 
@@ -361,7 +378,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     weights = spark.sparkContext.broadcast(occurrence_weights(docs))
     keyed = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    signed = stored(keyed.mapInArrow(_signatures(weights), f"doc_id {id_type}, text_key long, node long, samples array<long>"), "signed")
+    signed = stored(keyed.mapInArrow(_signatures(weights), f"doc_id {id_type}, text_key long, node long, samples array<long>, total double"), "signed")
     labels = near_duplicate_links(docs, signed, weights, threshold)
     rows = signed.select("doc_id", "text_key", "node")
     if labels is None:

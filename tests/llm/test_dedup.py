@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from fibrelens.llm import extendible_dedup, weighted_minhash
@@ -147,6 +148,23 @@ def test_few_pairs_at_the_threshold_are_dropped_by_their_samples():
     assert weighted_minhash.least_agreement(1.0) == n
 
 
+@pytest.mark.parametrize("others", [1, 30])
+def test_a_pair_that_shares_one_bucket_with_other_texts_is_compared(docs, spark, others):
+    base = prose(8000, 300).split()
+    texts = [" ".join(base), " ".join([*base[:-1], "changed"]), *(prose(8100 + i, 300) for i in range(others))]
+    frame = docs(list(enumerate(texts)))
+    data = [t.encode() for t in texts]
+    nodes = weighted_minhash.bags(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))[3].view(np.int64).tolist()
+    n, rows = weighted_minhash.BANDS * weighted_minhash.ROWS, []
+    for i, node in enumerate(nodes):  # all in the bucket of the first band; the pair agrees in no other band
+        side = [j if j < 3 or (i < 2 and j % 3) else 1000 * (i + 1) + j for j in range(n)]
+        rows.append((i, 0, node, side, 296.0))
+    signed = spark.createDataFrame(rows, "doc_id long, text_key long, node long, samples array<long>, total double")
+    weights = spark.sparkContext.broadcast(np.ones(weighted_minhash.FREQUENCIES, np.float32))
+    labels = weighted_minhash.near_duplicate_links(frame, signed, weights, 0.8)
+    assert {tuple(r) for r in labels.collect()} == {(node, min(nodes[:2])) for node in nodes[:2]}
+
+
 def test_later_links_merge_components(spark):
     frame = lambda *pairs: spark.createDataFrame(list(pairs), "a long, b long")
     labels = weighted_minhash._merged(None, frame((1, 2), (3, 4), (4, 5), (7, 8)))
