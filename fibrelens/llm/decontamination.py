@@ -28,16 +28,19 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytescan import ALNUM_WORDS, pieces, row_counts, words
-from .shared import ship
+from .shared import ship, stored, unused
 
 WINDOW = 10
 #: Item words per automaton: about 100 MB in a Python worker.
 BLOCK_WORDS = 100_000
 #: A document goes when more than this share of its words is hit.
 MAX_COVERAGE = 0.5
+#: States of a document while spans are removed.
+FRESH, CHANGED, SETTLED, DROPPED = range(4)
 
 _ITEM_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -328,12 +331,81 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
     """Documents without their contaminated spans, clean ones unchanged, with the same columns.
 
     ``text`` loses every hit word, and ``n_chars`` (if there) follows it. Removal is repeated
-    until no window is left. A document with a hit share above ``max_coverage`` is dropped.
+    until no window of any item is left. A document with a hit share above ``max_coverage`` is
+    dropped; the share counts the hits of all blocks in the text as it came.
     """
-    ship(docs.sparkSession)
-    for block in blocks(benchmark, window, block_words):
-        docs = docs.mapInArrow(_removal(block, max_coverage, docs.columns.index("text"), docs.columns), docs.schema)
-    return docs
+    spark = docs.sparkSession
+    ship(spark)
+    found = list(blocks(benchmark, window, block_words))
+    if len(found) == 1:
+        return docs.mapInArrow(_removal(found[0], max_coverage, docs.columns.index("text"), docs.columns), docs.schema)
+    text, left, state = (unused(name, docs) for name in ("text_left", "bits", "state"))
+    rows = docs.withColumn(text, F.col("text")).withColumn(state, F.lit(FRESH))
+    done = None
+    while True:
+        for block in found:
+            rows = _flagged(rows, block, text, left)
+        rows = stored(rows.mapInArrow(_cut_marks(text, left, state, max_coverage), rows.drop(left).schema), "spans")
+        over = rows.filter(F.col(state) == SETTLED)
+        done = over if done is None else done.union(over)
+        rows = rows.filter(F.col(state) == CHANGED)
+        if rows.isEmpty():
+            break
+    fields = {"text": F.col(text)}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        same = F.col("text").eqNullSafe(F.col(text))
+        fields["n_chars"] = F.when(same, F.col("n_chars")).otherwise(F.char_length(text).cast(kind))
+    return done.select(*(fields.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+
+
+def _flagged(docs: DataFrame, block: Block, text: str, bits: str) -> DataFrame:
+    """Add one block's hits in ``text`` to ``bits``, a bit per word, or null as long as none is hit."""
+    names = [c for c in docs.columns if c != bits]
+    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(bits, T.BinaryType())])
+
+    def scan(batches):
+        scanner = _Scan(block.automaton())
+        for batch in batches:
+            for low, high, _, _, found, flags, items in scanner.column(batch.column(text)):
+                part = batch.slice(low, high - low)
+                marks = part.column(bits).to_pylist() if bits in batch.schema.names else [None] * (high - low)
+                for i in items:
+                    own = flags[found.first[i] : found.first[i + 1]]
+                    if marks[i] is not None:
+                        own = own | np.unpackbits(np.frombuffer(marks[i], np.uint8), count=len(own)).astype(bool)
+                    marks[i] = np.packbits(own).tobytes()
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(marks, pa.binary())], [*names, bits])
+
+    return docs.mapInArrow(scan, schema)
+
+
+def _cut_marks(text: str, bits: str, state: str, max_coverage: float):
+    """Cut the marked words. Fresh documents above the coverage go; the state tells which changed."""
+
+    def scan(batches):
+        for batch in batches:
+            names = [c for c in batch.schema.names if c != bits]
+            for low, high, data, offsets in pieces(batch.column(text)):
+                part = batch.slice(low, high - low)
+                found = words(data, offsets, ALNUM_WORDS)
+                texts, states = part.column(text).to_pylist(), part.column(state).to_pylist()
+                for row, mark in enumerate(part.column(bits).to_pylist()):
+                    if mark is None:
+                        states[row] = SETTLED
+                        continue
+                    i, j = found.first[row], found.first[row + 1]
+                    own = np.unpackbits(np.frombuffer(mark, np.uint8), count=j - i).astype(bool)
+                    if states[row] == FRESH and own.mean() > max_coverage:
+                        states[row] = DROPPED
+                        continue
+                    raw = data[offsets[row] : offsets[row + 1]].tobytes()
+                    texts[row] = clean_text(raw, (found.starts[i:j], found.ends[i:j]), own, offsets[row])
+                    states[row] = CHANGED
+                new = {text: pa.array(texts, part.column(text).type), state: pa.array(states, part.column(state).type)}
+                yield pa.RecordBatch.from_arrays([new.get(c, part.column(c)) for c in names], names)
+
+    return scan
 
 
 def _removal(block: Block, max_coverage: float, text_at: int, names: list[str]):

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 from fibrelens.llm import decontamination
 from tests.llm.conftest import prose
@@ -64,6 +65,22 @@ def test_spans_go_and_clean_texts_stay(docs, spark):
     assert prose(9, 30) in left[1] and left[1].endswith(prose(8, 20)) and 6 not in left
 
 
+def test_spans_of_several_blocks_go_as_those_of_one(docs, spark):
+    rows, items = fixture()
+    one, two = prose(60, 40), prose(61, 40)
+    rows += [(50, f"{one} {two} {prose(62, 53)}")]
+    for doc, outer, inner in ((51, one.split(), two), (52, two.split(), one)):  # a window that only the inner item's removal joins
+        rows.append((doc, f"{prose(63, 60)} {' '.join(outer[:6])} {inner} {' '.join(outer[6:12])} {prose(64, 60)}"))
+    bench = spark.createDataFrame([*items, (60, one), (61, two)], "item_id long, text string")
+    frame = docs(rows, "bits", "state", "text_left")
+    whole = decontamination.remove_spans(frame, bench).collect()
+    parts = decontamination.remove_spans(frame, bench, block_words=45)
+    assert parts.schema == frame.schema
+    assert Counter(parts.collect()) == Counter(whole)
+    left = {r.doc_id: r.text for r in whole}
+    assert 50 not in left and left[51] == left[52] == f"{prose(63, 60)} \n {prose(64, 60)}"
+
+
 def test_without_items_or_documents(docs, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r.n_words for r in decontamination.contamination(docs([(1, "a b")]), none).collect()] == [2]
