@@ -12,7 +12,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from fibrelens.session import build_session  # noqa: E402
 from fibrelens.sources.tables import table_schema  # noqa: E402
 
-AS_OF = "2024-03-15 12:00:00"
 CASTS = {"timestamp": datetime.fromisoformat, "date": date.fromisoformat}
 
 
@@ -58,11 +57,3 @@ def table(spark):
 @pytest.fixture
 def frame(spark):
     return lambda rows, ddl: spark.createDataFrame(rows, ddl)
-
-
-def by(df, *keys):
-    """Collected rows as dicts, keyed by one column or several."""
-    rows = [r.asDict() for r in df.collect()]
-    out = {tuple(r[k] for k in keys) if len(keys) > 1 else r[keys[0]]: r for r in rows}
-    assert len(out) == len(rows), "key is not unique"
-    return out

@@ -1,5 +1,5 @@
 from fibrelens.operators import base, calendar
-from conftest import AS_OF, by
+from tests.helpers import AS_OF, by
 
 
 def series(df, *values):

@@ -4,7 +4,7 @@ import pytest
 
 from fibrelens.operators import city
 from fibrelens.sources.dimensions import LAUNCH_CITIES, launch_cities
-from conftest import AS_OF, by
+from tests.helpers import AS_OF, by
 
 DAY = 86400
 

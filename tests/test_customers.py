@@ -4,7 +4,7 @@ from datetime import date, datetime
 import pytest
 
 from fibrelens.operators import customers as c
-from conftest import AS_OF, by
+from tests.helpers import AS_OF, by
 
 DAY = 86400
 

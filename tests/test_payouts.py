@@ -4,7 +4,7 @@ from decimal import Decimal as D
 import pytest
 
 from fibrelens.operators import devices, payouts
-from conftest import AS_OF, by
+from tests.helpers import AS_OF, by
 
 
 def card_row(partner=1, zone="Agra", **more):

@@ -8,7 +8,7 @@ from fibrelens.operators import city, customers, payouts, tickets, wallet
 from fibrelens.plans.registry import all_queries
 from fibrelens.plans.testbed import Testbed
 from fibrelens.sources.tables import load_table
-from conftest import AS_OF
+from tests.helpers import AS_OF
 
 SMALL = "/root/testdata/sf0.001"
 

@@ -1,7 +1,7 @@
 import pytest
 
 from fibrelens.operators import tickets
-from conftest import AS_OF, by
+from tests.helpers import AS_OF, by
 
 
 def event(task, name, when, partner=1, kind="SERVICE"):

@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 from decimal import Decimal as D
 
 from fibrelens.operators import wallet
-from conftest import by
+from tests.helpers import by
 
 
 def old(partner, when, delta=1, balance=1, **more):
