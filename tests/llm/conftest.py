@@ -1,11 +1,7 @@
 from __future__ import annotations
 
-import random
-
 import pytest
 
-WORDS = "alpha beta gamma delta river stone cloud paper window garden silver yellow market engine bridge forest".split()
-
 
 @pytest.fixture
 def docs(spark):
@@ -17,8 +13,3 @@ def docs(spark):
         return spark.createDataFrame(full, ddl)
 
     return build
-
-
-def prose(seed: int, n: int) -> str:
-    chance = random.Random(seed)
-    return " ".join("".join(chance.choice("abdeilnorstu") for _ in range(chance.randint(2, 8))) for _ in range(n))

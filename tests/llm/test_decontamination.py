@@ -6,7 +6,7 @@ import re
 from collections import Counter
 
 from fibrelens.llm import decontamination
-from tests.llm.conftest import prose
+from tests.llm.corpus_helpers import prose
 
 
 def cut(text):

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fibrelens.llm import extendible_dedup, weighted_minhash
-from tests.llm.conftest import prose
+from tests.llm.corpus_helpers import prose
 
 CLASHING = ("row", "h", "norm", "bucket", "slot", "key", "node", "label", "_key", "_doc", "_own", "samples")
 

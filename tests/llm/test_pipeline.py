@@ -3,7 +3,7 @@
 import hashlib
 
 import corpus_pipeline
-from tests.llm.conftest import prose
+from tests.llm.corpus_helpers import prose
 from tests.llm.test_decontamination import brute
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from fibrelens.llm import chat_roles, page_differencing, randomness_tests, warc_normaliser
 from fibrelens.llm.shared import new_path
-from tests.llm.conftest import prose
+from tests.llm.corpus_helpers import prose
 
 PATTERNS = [
     ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),

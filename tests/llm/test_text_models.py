@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fibrelens.llm import bpe_automaton, maxent_lm, toxicity_trees
 from fibrelens.llm.queries import VOCABULARY
-from tests.llm.conftest import prose
+from tests.llm.corpus_helpers import prose
 
 ODD = [None, "", " \t\n", "A b  c", "x" * 100_000, "word " * 30_000, "\x00\x01 é É"]
 
