@@ -12,6 +12,7 @@ from . import (
     chat_roles,
     decontamination,
     extendible_dedup,
+    fill_in_middle,
     maxent_lm,
     page_differencing,
     randomness_tests,
@@ -71,6 +72,20 @@ def op10_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_differencing.extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = fill_in_middle.restore(F.col("output"), F.col("form"))
+    return cut.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(restored.cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_maxent_lm,
@@ -83,13 +98,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_decontamination,
         op9_chat_roles,
         op10_page_differencing,
+        op11_fill_in_middle,
     ]
     return {query.__name__: query for query in own}
 
 
 def oracle_sql() -> dict[str, str]:
     """Expected results where SQL can state them."""
-    return {"op3_warc_normaliser": WARC_SQL, "op5_extendible_dedup": EXACT_DEDUP_SQL, "op8_decontamination": DECONTAMINATION_SQL}
+    return {
+        "op3_warc_normaliser": WARC_SQL,
+        "op5_extendible_dedup": EXACT_DEDUP_SQL,
+        "op8_decontamination": DECONTAMINATION_SQL,
+        "op11_fill_in_middle": FILL_IN_MIDDLE_SQL,
+    }
 
 
 WARC_SQL = """
@@ -186,3 +207,38 @@ SELECT
 FROM texts
 WINDOW same AS (PARTITION BY norm)
 """
+
+FILL_IN_MIDDLE_SQL = """
+WITH texts AS (
+    SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+    FROM documents
+),
+numbers AS (
+    SELECT *, [CAST('0x' || substring(h, 8 * i + 1, 8) AS BIGINT) FOR i IN range(4)] AS x FROM texts
+),
+cuts AS (
+    SELECT
+        *,
+        least(x[1] % (n + 1), x[2] % (n + 1)) AS a,
+        greatest(x[1] % (n + 1), x[2] % (n + 1)) AS b,
+        CASE
+            WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR x[3] % 100 >= 90 THEN 'plain'
+            WHEN x[4] % 100 < 20 THEN 'spm'
+            ELSE 'psm'
+        END AS form
+    FROM numbers
+)
+SELECT
+    doc_id,
+    n,
+    form,
+    CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+    sha256(CASE form
+        WHEN 'psm' THEN '<P>' || substring(t, 1, a) || '<S>' || substring(t, b + 1) || '<M>' || substring(t, a + 1, b - a)
+        WHEN 'spm' THEN '<S>' || substring(t, b + 1) || '<P>' || substring(t, 1, a) || '<M>' || substring(t, a + 1, b - a)
+        ELSE t
+    END) AS output_sha256,
+    sha256(t) AS restored_sha256
+FROM cuts
+"""
