@@ -13,6 +13,7 @@ from . import (
     decontamination,
     extendible_dedup,
     fill_in_middle,
+    host_rules,
     maxent_lm,
     page_differencing,
     randomness_tests,
@@ -86,6 +87,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = host_rules.judge(_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_maxent_lm,
@@ -99,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_chat_roles,
         op10_page_differencing,
         op11_fill_in_middle,
+        op13_host_rules,
     ]
     return {query.__name__: query for query in own}
 
@@ -110,6 +117,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_extendible_dedup": EXACT_DEDUP_SQL,
         "op8_decontamination": DECONTAMINATION_SQL,
         "op11_fill_in_middle": FILL_IN_MIDDLE_SQL,
+        "op13_host_rules": HOST_RULES_SQL,
     }
 
 
@@ -242,3 +250,72 @@ SELECT
     sha256(t) AS restored_sha256
 FROM cuts
 """
+
+HOST_RULES_SQL = r"""
+WITH docs AS (
+    SELECT
+        row_number() OVER () AS rid,
+        doc_id,
+        coalesce(text, '') AS t,
+        nullif(regexp_replace(regexp_replace(regexp_replace(lower(trim(source)), '^[a-z][a-z0-9+.-]*://', ''), '[/?#].*$', ''), '^www\.', ''), '') AS host,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+),
+windows AS (
+    SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s
+    FROM docs, unnest(range(1, len(w) - 1)) AS u(i) WHERE len(w) >= 3
+),
+again AS (SELECT rid, s FROM windows GROUP BY rid, s HAVING count(*) > 1),
+repeated AS (
+    SELECT rid, count(DISTINCT p) AS n_repeat_words
+    FROM (SELECT rid, unnest(range(i, i + 3)) AS p FROM windows JOIN again USING (rid, s)) GROUP BY rid
+),
+lines AS (
+    SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+    FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM docs)
+    WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid
+),
+measured AS (
+    SELECT
+        doc_id, host,
+        CAST(len(w) AS BIGINT) AS n_words,
+        CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
+        CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+        CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+    FROM docs LEFT JOIN lines USING (rid) LEFT JOIN repeated USING (rid)
+),
+judged AS (
+    SELECT *, [
+        n_words < 50,
+        100 * n_repeat_words > 50 * n_words,
+        10 * n_symbols > n_words,
+        10 * n_dup_lines > 3 * n_lines,
+        word_chars < 2 * n_words OR word_chars > 12 * n_words
+    ] AS fails
+    FROM measured
+),
+hosts AS (
+    SELECT host, rule, CAST(count(*) AS DOUBLE) AS n, CAST(count_if(fails[rule]) AS DOUBLE) AS x
+    FROM judged, range(1, 6) AS rules(rule) WHERE host IS NOT NULL GROUP BY host, rule
+),
+sums AS (
+    SELECT rule, count(*) AS h, sum(n) AS total, sum(n * n) AS nn, sum(x) / sum(n) AS m, sum(x * x / n) AS xx FROM hosts GROUP BY rule
+),
+priors AS (
+    SELECT rule, m, CASE
+        WHEN m * (1 - m) <= 0 OR total - nn / total - (h - 1) <= 0 THEN 0
+        ELSE least(greatest(((xx - total * m * m) / (m * (1 - m)) - (h - 1)) / (total - nn / total - (h - 1)), 0), 1)
+    END AS r
+    FROM sums
+),
+verdicts AS (
+    SELECT host, max((m * (1 - r) + x * r) / (1 - r + n * r)) <= 0.5 AS host_kept FROM hosts JOIN priors USING (rule) GROUP BY host
+)
+SELECT
+    doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    fails[1] OR fails[2] AS base_failed,
+    NOT (fails[1] OR fails[2]) AND coalesce(host_kept, true) AS kept
+FROM judged LEFT JOIN verdicts USING (host)
+"""
