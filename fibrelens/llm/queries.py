@@ -15,6 +15,7 @@ from . import (
     fill_in_middle,
     host_rules,
     maxent_lm,
+    multi_index,
     page_differencing,
     randomness_tests,
     toxicity_trees,
@@ -87,6 +88,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = multi_index.labelled_vectors(_table(spark, sf_dir, "embeddings"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return multi_index.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def op13_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = host_rules.judge(_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -105,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_chat_roles,
         op10_page_differencing,
         op11_fill_in_middle,
+        op12_multi_index,
         op13_host_rules,
     ]
     return {query.__name__: query for query in own}
@@ -117,6 +125,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_extendible_dedup": EXACT_DEDUP_SQL,
         "op8_decontamination": DECONTAMINATION_SQL,
         "op11_fill_in_middle": FILL_IN_MIDDLE_SQL,
+        "op12_multi_index": HARD_NEGATIVES_SQL,
         "op13_host_rules": HOST_RULES_SQL,
     }
 
@@ -319,3 +328,33 @@ SELECT
     NOT (fails[1] OR fails[2]) AND coalesce(host_kept, true) AS kept
 FROM judged LEFT JOIN verdicts USING (host)
 """
+
+HARD_NEGATIVES_SQL = """
+WITH vectors AS (
+    SELECT
+        vec_id,
+        CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+met AS (
+    SELECT
+        a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+        CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+    FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+),
+positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM met WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+),
+near AS (
+    SELECT
+        p.anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+        row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+    FROM positives p JOIN met m ON m.anchor_id = p.anchor_id AND NOT m.same
+     AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM near WHERE rank <= 5
+"""
