@@ -50,10 +50,9 @@ def find_partner(card: DataFrame, name: str) -> DataFrame:
 
 
 def partner_fields(card: DataFrame) -> DataFrame:
-    """Every field of every partner as (partner_id, field, value) text."""
-    fields = [c for c in card.columns if c != "partner_id"]
-    as_text = card.select("partner_id", *[F.col(c).cast("string").alias(c) for c in fields])
-    return as_text.unpivot("partner_id", fields, "field", "value")
+    """Every field of every partner, its id among them, as (partner_id, field, value) text."""
+    fields = [F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").cast("string").alias("value")) for c in card.columns]
+    return card.select("partner_id", F.inline(F.array(*fields)))
 
 
 def _active(back: int) -> Column:

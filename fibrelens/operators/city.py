@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fibrelens.functions.picks import newest, oldest
+from fibrelens.functions.picks import newest, oldest, packed, unpacked
 from fibrelens.functions.times import AsOf, add_seconds, date_lit, day_gap, days_before, shift_minutes, ts_lit
 from fibrelens.functions.values import or_zero, percent, whole_percent
 
@@ -51,21 +51,24 @@ def _expiry(tz_offset_min: int) -> Column:
 def plan_rollup(plans: DataFrame, roster: DataFrame, tz_offset_min: int = 0) -> DataFrame:
     """Per (city, partner, mobile): plan count, first start, last plan and latest expiry.
 
-    All city figures follow from it, so that a report reads the plan rows once.
+    All city figures follow from it, so that a report reads the plan rows once. Every state of the
+    aggregation has a fixed width (the last plan is a packed pair), so raw rows are hashed, not
+    sorted.
     """
     members = _Members(roster)
-    expiry = _expiry(tz_offset_min)
     per_partner = (
         plans
         .groupBy("mobile", "partner_id")
         .agg(
             F.count(F.lit(1)).alias("recharge_count"),
             F.min("plan_start_time").alias("first_start"),
-            newest(F.col("plan_start_time").alias("start"), expiry.alias("expiry")).alias("_last"),
-            F.max(expiry).alias("latest_expiry"),
+            F.max(packed(F.col("plan_start_time"), F.col("time_plan"))).alias("_packed"),
+            F.max(_expiry(tz_offset_min)).alias("latest_expiry"),
         )
     )
-    return members.attach_city(per_partner)
+    start, seconds = unpacked(F.col("_packed"), plans.schema["plan_start_time"].dataType)
+    last = F.struct(start.alias("start"), shift_minutes(add_seconds(start, seconds), tz_offset_min).alias("expiry"))
+    return members.attach_city(per_partner.withColumn("_last", last).drop("_packed"))
 
 
 def _still_active(expiry: Column, as_of: AsOf) -> Column:

@@ -4,17 +4,29 @@ A customer is a (partner, mobile) pair. The parts are available one by one, but
 ``customer_360`` does not join them one by one: plan facts come from a single
 aggregation, the facts per mobile from one aggregation over three tagged sources, and
 those per NAS id from one over two, which leaves four joins of already reduced rows.
-Each of these stands between two shuffles, where a hot join key can be split at run time.
+Each of these stands between two shuffles, where a hot join key can be split at run time;
+customers without a NAS id, device or account are dealt evenly over the tasks of their join.
+
+For a few partners, their customers are found first and stored; that small table then says
+which rows of the six side tables are read on.
+
+The parts below that take ``plans`` for its mobiles, NAS ids or devices also take the table of
+``known_customers`` in its place. Its size is known, so Spark moves the semi-join below the
+aggregation: other customers' rows go as they are read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fibrelens.functions.picks import newest, newest_per
+from fibrelens.functions.joins import Ids, left_join_spread, of_ids, of_keys
+from fibrelens.functions.picks import newest_per, packed, unpacked
 from fibrelens.functions.times import AsOf, add_seconds, date_lit, day_gap, shift_minutes, ts_lit
 from fibrelens.functions.values import DASH, blank_to_null, fixed, not_nan, or_dash, or_zero, percent
+from fibrelens.session import kept
 
 IST_MINUTES = 330
 
@@ -29,18 +41,19 @@ def _own(plans: DataFrame) -> DataFrame:
     return plans.filter(F.col("partner_id").isNotNull())
 
 
-def _paid_recharges() -> Column:
-    return F.count_if(F.col("charges") > 0)
-
-
 # --- parts -----------------------------------------------------------------------------
 
 
 def partner_mobiles(plans: DataFrame) -> DataFrame:
-    """Customers with the largest NAS, device and account id of their plan rows."""
+    """Customers with the largest NAS, device and account id of their plan rows.
+
+    The device is a grouping key of the first step, so that raw rows are hashed, not sorted.
+    """
+    kinds = _own(plans).groupBy("mobile", "partner_id", "device_id").agg(
+        F.max("nas_id").alias("nas_id"), F.max("account_id").alias("account_id")
+    )
     return (
-        _own(plans)
-        .groupBy("mobile", "partner_id")
+        kinds.groupBy("mobile", "partner_id")
         .agg(
             F.max("nas_id").alias("nas_id"),
             F.max("device_id").alias("device_id"),
@@ -64,8 +77,12 @@ def _with_device(customers: DataFrame, devices: DataFrame) -> DataFrame:
     """Fill a missing device id from the device table, where the customer id is the account id."""
     known = device_lookup(devices).withColumnRenamed("customer_id", "_account")
     return (
-        customers.withColumn("_account", F.col("account_id").cast("string"))
-        .join(known, ["_account", "partner_id"], "left")
+        left_join_spread(
+            customers.withColumn("_account", F.col("account_id").cast("string")),
+            known,
+            ["_account", "partner_id"],
+            by=["mobile", "partner_id"],
+        )
         .withColumn("device_id", F.coalesce("device_id", "lookup_device_id"))
         .drop("_account", "lookup_device_id")
     )
@@ -86,9 +103,7 @@ def _plan_columns(start: Column, seconds: Column, tz_offset_min: int) -> dict[st
 
 def current_plan(plans: DataFrame, tz_offset_min: int = IST_MINUTES) -> DataFrame:
     """Latest plan per customer by start; times shifted by ``tz_offset_min``."""
-    latest = newest_per(
-        _own(plans).filter(F.col("mobile").isNotNull()), ["mobile", "partner_id"], _PLAN_FIELDS[:1], _PLAN_FIELDS[1:]
-    )
+    latest = _plan_facts(plans.filter(F.col("mobile").isNotNull()))
     shown = _plan_columns(F.col("plan_start_time"), F.col("time_plan"), tz_offset_min)
     return latest.select(
         "partner_id", "mobile", *[c.alias(n) for n, c in shown.items()], "charges", "speed_mbps"
@@ -142,8 +157,8 @@ def customer_name(bookings: DataFrame, plans: DataFrame) -> DataFrame:
 
 def customer_address(booking_events: DataFrame, plans: DataFrame) -> DataFrame:
     """Address of the latest update per customer mobile."""
-    latest = newest_per(_address_updates(booking_events), ["mobile"], ["added_time"], ["address_json"])
-    return latest.join(_known_mobiles(plans), "mobile", "left_semi").select(
+    updates, among = _address_updates(booking_events), _known_mobiles(plans)
+    return newest_per(updates, ["mobile"], ["added_time"], ["address_json"], among).select(
         "mobile", _address_text(F.col("address_json")).alias("address")
     )
 
@@ -174,25 +189,24 @@ def last_ping(daily_usage: DataFrame, plans: DataFrame) -> DataFrame:
 def latest_optical(optical_readings: DataFrame, plans: DataFrame) -> DataFrame:
     """Newest optical reading per NAS id in use."""
     in_use = _own(plans).select("nas_id").distinct()
-    latest = newest_per(
+    return newest_per(
         optical_readings.filter(F.col("nas_id").isNotNull()),
         ["nas_id"],
         ["date_ist"],
         ["avg_optical_dbm", "optical_health"],
+        in_use,
     )
-    return latest.join(in_use, "nas_id", "left_semi")
 
 
-def _newest_speed(speed_tests: DataFrame) -> DataFrame:
-    return newest_per(
-        speed_tests.filter(F.col("device_id").isNotNull()), ["device_id"], ["tested_on"], ["speed", "latency", "jitter"]
-    )
+def _newest_speed(speed_tests: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    rows = speed_tests.filter(F.col("device_id").isNotNull())
+    return newest_per(rows, ["device_id"], ["tested_on"], ["speed", "latency", "jitter"], among)
 
 
 def latest_speed(speed_tests: DataFrame, plans: DataFrame, devices: DataFrame) -> DataFrame:
     """Newest speed test per device in use."""
     in_use = resolved_devices(plans, devices).select("device_id").distinct()
-    return _newest_speed(speed_tests).join(in_use, "device_id", "left_semi")
+    return _newest_speed(speed_tests, in_use)
 
 
 def _plan_text(speed: Column, days: Column, charges: Column) -> Column:
@@ -233,45 +247,65 @@ def order_customers(customers: DataFrame, as_of: AsOf) -> DataFrame:
 def _plan_facts(plans: DataFrame) -> DataFrame:
     """Everything known from plan rows, one row per customer.
 
+    Raw rows are hashed, not sorted: columns of varying width (device, speed) are grouping keys of
+    the first step, with the price, of which a customer has few; the plan's start and length are a
+    packed pair. The second step picks among a customer's few reduced rows.
+
     Rows without a mobile form a customer of their own that has ids but, as nothing can be
     matched to a missing mobile, no plan, recharges or device.
     """
     has_mobile = F.col("mobile").isNotNull()
-    latest = newest(*[F.col(c) for c in _PLAN_FIELDS])
-    return (
-        _own(plans)
-        .groupBy("mobile", "partner_id")
-        .agg(
-            F.max("nas_id").alias("nas_id"),
-            F.max(F.when(has_mobile, F.col("device_id"))).alias("device_id"),
-            F.max(F.when(has_mobile, F.col("account_id"))).alias("account_id"),
-            latest.alias("_plan"),
-            _paid_recharges().alias("_recharges"),
-        )
-        .select(
-            "partner_id",
-            "mobile",
-            "nas_id",
-            "device_id",
-            "account_id",
-            *[F.when(has_mobile, F.col(f"_plan.{c}")).alias(c) for c in _PLAN_FIELDS],
-            F.when(has_mobile, F.col("_recharges")).otherwise(0).alias("recharge_count"),
-        )
+    kinds = _own(plans).groupBy("mobile", "partner_id", "device_id", "charges", "speed_mbps").agg(
+        F.max("nas_id").alias("nas_id"),
+        F.max("account_id").alias("account_id"),
+        F.max(packed(F.col("plan_start_time"), F.col("time_plan"))).alias("_packed"),
+        F.count(F.lit(1)).alias("_rows"),
+    )
+    picked = kinds.groupBy("mobile", "partner_id").agg(
+        F.max("nas_id").alias("nas_id"),
+        F.max("device_id").alias("device_id"),
+        F.max("account_id").alias("account_id"),
+        F.max(F.struct("_packed", "charges", "speed_mbps")).alias("_plan"),
+        F.sum(F.when(F.col("charges") > 0, F.col("_rows"))).alias("_recharges"),
+    )
+    start, seconds = unpacked(F.col("_plan._packed"), plans.schema["plan_start_time"].dataType)
+    plan = dict(zip(_PLAN_FIELDS, (start, seconds, F.col("_plan.charges"), F.col("_plan.speed_mbps"))))
+    return picked.select(
+        "partner_id",
+        "mobile",
+        "nas_id",
+        *[F.when(has_mobile, F.col(c)).alias(c) for c in ("device_id", "account_id")],
+        *[F.when(has_mobile, value).alias(name) for name, value in plan.items()],
+        F.when(has_mobile, or_zero(F.col("_recharges"))).otherwise(0).alias("recharge_count"),
     )
 
 
+def known_customers(plans: DataFrame, devices: DataFrame, partners: Ids | None = None) -> DataFrame:
+    """Customers (of ``partners``) with their ids and plan, stored in the shared folder."""
+    if partners is not None:
+        plans, devices = of_ids(plans, partners), of_ids(devices, partners)
+    customers = kept(_with_device(_plan_facts(plans), devices), "customers")
+    return customers if partners is None else of_ids(customers, partners)
+
+
 def _tagged(df: DataFrame, key: str, facts: dict[str, str], **given: Column) -> DataFrame:
     """``key`` plus all fact columns, NULL where this source does not give one."""
     return df.select(key, *[given.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in facts.items()])
 
 
 def _mobile_facts(
-    bookings: DataFrame, booking_events: DataFrame, task_events: DataFrame, tz_offset_min: int
+    bookings: DataFrame,
+    booking_events: DataFrame,
+    task_events: DataFrame,
+    tz_offset_min: int,
+    only: Callable[[DataFrame, str], DataFrame],
 ) -> DataFrame:
     """Name, latest address and install day per mobile, in one shuffle.
 
-    The address is taken apart after the aggregation, once per mobile.
+    ``only`` leaves the asked-for customers' rows. The address is taken apart after the
+    aggregation, once per mobile.
     """
+    bookings, booking_events, task_events = (only(t, "mobile") for t in (bookings, booking_events, task_events))
     updates = _address_updates(booking_events).select("mobile", F.struct("added_time", "address_json").alias("_update"))
     update_type = updates.schema["_update"].dataType.simpleString()
     verified_type = task_events.schema["added_time"].dataType.simpleString()
@@ -292,8 +326,11 @@ def _mobile_facts(
     )
 
 
-def _nas_facts(daily_usage: DataFrame, optical_readings: DataFrame) -> DataFrame:
+def _nas_facts(
+    daily_usage: DataFrame, optical_readings: DataFrame, only: Callable[[DataFrame, str], DataFrame]
+) -> DataFrame:
     """Last usage day and newest optical reading per NAS id, in one shuffle."""
+    daily_usage, optical_readings = only(daily_usage, "nas_id"), only(optical_readings, "nas_id")
     facts = {
         "_day": "date",
         "_reading": "struct<date_ist:date,avg_optical_dbm:double,optical_health:string>",
@@ -327,18 +364,29 @@ def customer_360(
     speed_tests: DataFrame,
     as_of: AsOf,
     tz_offset_min: int = IST_MINUTES,
+    partners: Ids | None = None,
 ) -> DataFrame:
     """One row per customer: name, address, install day, last ping, plan, status and signal.
 
     Expiry is shifted by ``tz_offset_min`` and then compared with the unshifted ``as_of``.
+
+    ``partners`` (a list of ids, or a table with them in its first column) restricts the view. Their
+    customers are then computed first, into the shared folder, and of the side tables only these
+    customers' rows are aggregated and shuffled.
     """
-    speeds = _newest_speed(speed_tests).withColumnsRenamed({"speed": "actual_speed_mbps"})
-    joined = (
-        _with_device(_plan_facts(plans), devices)
-        .join(_mobile_facts(bookings, booking_events, task_events, tz_offset_min), "mobile", "left")
-        .join(_nas_facts(daily_usage, optical_readings), "nas_id", "left")
-        .join(speeds, "device_id", "left")
-    )
+    if partners is None:
+        facts = _with_device(_plan_facts(plans), devices)
+        only = lambda rows, key: rows
+    else:
+        facts = known_customers(plans, devices, partners)
+        only = lambda rows, key: of_keys(rows, facts, key)
+    joined = facts
+    for other, key in (
+        (_mobile_facts(bookings, booking_events, task_events, tz_offset_min, only), "mobile"),
+        (_nas_facts(daily_usage, optical_readings, only), "nas_id"),
+        (_newest_speed(only(speed_tests, "device_id")).withColumnsRenamed({"speed": "actual_speed_mbps"}), "device_id"),
+    ):
+        joined = left_join_spread(joined, other, [key], by=["mobile", "partner_id"])
     shown = _plan_columns(F.col("plan_start_time"), F.col("time_plan"), tz_offset_min)
     # A ping needs a known mobile; an optical reading only needs the NAS id.
     ping = F.when(F.col("mobile").isNotNull(), F.col("last_ping"))

@@ -13,7 +13,7 @@ WALLET_ROWS = 100
 # Fixed value: hand-over time of partners that are not in the old ledger.
 NO_OLD_ROWS = "2000-01-01"
 
-_ORDER = ("added_at_ist", "_from_new", "remark", "action", "balance", "credit_delta")
+_ORDER = ("_instant", "_from_new", "remark", "action", "balance", "credit_delta")
 
 
 def wallet_transactions(
@@ -22,18 +22,22 @@ def wallet_transactions(
     """The newest ``n`` wallet rows per partner, numbered from the newest.
 
     Rows of the new ledger count only when later than the partner's last row in the old
-    one; the new (UTC) time is compared as it stands with the old local time. Both orders
-    run along time, so that bound only drops the oldest new rows and the newest n of each
-    ledger are enough to find it and the result: the full ledgers are never shuffled.
+    one; the new (UTC) time is compared as it stands with the old local time. Rows are ranked
+    by their instant, also where the clock of ``zone`` is set back (an old row of a repeated hour
+    counts as its first pass). Within a ledger that bound only drops the oldest new rows, so the
+    newest n of each ledger and the old ledger's latest time are enough: the full ledgers are
+    never shuffled.
     For the statement of a few partners, filter both ledgers by partner beforehand.
     """
+    old_time = F.col("added_at_ist").cast("timestamp_ntz")
     old = ledger_old.select(
         "partner_id",
         "action",
         "remark",
         "credit_delta",
         "balance",
-        F.col("added_at_ist").cast("timestamp_ntz").alias("added_at_ist"),
+        old_time.alias("added_at_ist"),
+        F.convert_timezone(F.lit(zone), F.lit("UTC"), old_time).alias("_instant"),
         F.lit(False).alias("_from_new"),
         F.lit(None).cast("timestamp_ntz").alias("_added"),
     )
@@ -44,6 +48,7 @@ def wallet_transactions(
         (F.col("balance") - F.col("old_balance")).alias("credit_delta"),
         "balance",
         F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col("added_time").cast("timestamp_ntz")).alias("added_at_ist"),
+        F.col("added_time").cast("timestamp_ntz").alias("_instant"),
         F.lit(True).alias("_from_new"),
         F.col("added_time").cast("timestamp_ntz").alias("_added"),
     )

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from fibrelens.functions import values
 from fibrelens.operators import base, calendar, city, customers, devices, payouts, tickets, wallet
 from fibrelens.plans.reports import customers_of
-from fibrelens.plans.testbed import AS_OF, ZONES, Testbed
+from fibrelens.plans.testbed import AS_OF, FEW, ZONES, Testbed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,6 +87,10 @@ def _status(t: Testbed) -> DataFrame:
     return ordered.select("partner_id", "mobile", "plan_expiry", "plan_details", "days_since_expiry", "status")
 
 
+def _few_known(t: Testbed) -> DataFrame:
+    return customers.known_customers(t["plans"], t["devices"], FEW)
+
+
 _QUERIES: dict[str, Callable[[Testbed], DataFrame]] = {
     # city page
     "partner_scorecard": _scorecard,
@@ -142,6 +146,9 @@ _QUERIES: dict[str, Callable[[Testbed], DataFrame]] = {
     "latest_speed": lambda t: customers.latest_speed(t["speed_tests"], t["plans"], t["devices"]),
     "plan_status": _status,
     "customer_360": lambda t: customers_of(t, AS_OF),
+    "customer_360_few": lambda t: customers_of(t, AS_OF, FEW),
+    "customer_address_few": lambda t: customers.customer_address(t["booking_events"], _few_known(t)),
+    "latest_optical_few": lambda t: customers.latest_optical(t["optical_readings"], _few_known(t)),
     "signal_summary": _signal,
     "customer_status_counts": lambda t: customers.customer_status_counts(customers_of(t, AS_OF)),
     "customer_report": lambda t: customers.customer_report(

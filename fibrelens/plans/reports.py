@@ -9,9 +9,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
+from fibrelens.functions.joins import Ids, of_ids
 from fibrelens.functions.times import AsOf
 from fibrelens.operators import base, city, customers, devices, payouts, tickets, wallet
-from fibrelens.session import checkpointed
+from fibrelens.session import checkpointed, kept
 from fibrelens.sources.dimensions import ZONES
 
 Tables = Mapping[str, DataFrame]
@@ -24,8 +25,8 @@ def overview_page(tables: Tables, as_of: AsOf, zones: Sequence[str] = ZONES) ->
     return payouts.partner_overview(card, tables["disbursements"], counts, as_of)
 
 
-def customers_of(tables: Tables, as_of: AsOf) -> DataFrame:
-    """The customer view over the logical tables."""
+def customers_of(tables: Tables, as_of: AsOf, partners: Ids | None = None) -> DataFrame:
+    """The customer view over the logical tables, of all partners or the asked-for ones."""
     return customers.customer_360(
         tables["plans"],
         tables["devices"],
@@ -36,6 +37,7 @@ def customers_of(tables: Tables, as_of: AsOf) -> DataFrame:
         tables["optical_readings"],
         tables["speed_tests"],
         as_of,
+        partners=partners,
     )
 
 
@@ -45,15 +47,14 @@ def partner_page(tables: Tables, as_of: AsOf, zones: Sequence[str] = ZONES) -> d
     The customer view, the wallet rows and the live tickets each feed several sections, so
     they are computed once and kept in the shared checkpoint folder.
     """
-    detail = base.partner_detail(tables["growth_card"])
-    detail = detail.filter(detail["zone"].isin(*zones))
-    card = payouts.partner_card(detail, zones)
-    ids = detail.select("partner_id")
+    # The zones choose partners by their card rows; the detail is then read by id, in any zone.
+    card = payouts.partner_card(tables["growth_card"], zones)
+    ids = kept(card.select("partner_id").distinct(), "partners")
+    detail = base.partner_detail(of_ids(tables["growth_card"], ids))
 
-    own = {name: tables[name].join(ids, "partner_id", "left_semi") for name in ("plans", "ledger_old", "ledger_new")}
     live = checkpointed(tickets.live_tickets(tables["ticket_events"], as_of, ids))
-    people = checkpointed(customers_of({**tables, "plans": own["plans"]}, as_of))
-    rows = checkpointed(wallet.wallet_transactions(own["ledger_old"], own["ledger_new"]))
+    people = checkpointed(customers_of(tables, as_of, ids))
+    rows = checkpointed(wallet.wallet_transactions(*(of_ids(tables[n], ids) for n in ("ledger_old", "ledger_new"))))
     stored = tickets.best_sla(detail, base.partner_scores(tables["partner_scores"]), as_of)
     return {
         "fields": base.partner_fields(card),
@@ -83,6 +84,7 @@ def city_page(tables: Tables, cities: DataFrame, as_of: AsOf) -> dict[str, DataF
     rollup = checkpointed(city.plan_rollup(tables["plans"], roster))
     daily = city.daily_from_rollup(rollup, tables["bookings"], roster, as_of)
     return {
+        "partner_counts": city.city_partner_counts(roster, cities),
         "active_base": city.active_base_from_rollup(rollup, roster, as_of, cities),
         "daily": daily,
         "totals": city.leads_installs_totals(daily),

@@ -18,6 +18,8 @@ AS_OF = "2001-07-15 10:30:00"
 # The event log starts on 2024-01-01; moved back by this it ends on the day of AS_OF.
 EVENT_SHIFT_DAYS = 8234
 ZONES = ("AFRICA", "AMERICA", "ASIA", "EUROPE")
+# Partners of the queries over a few partners.
+FEW = (3, 7)
 OLD_LEDGER_END = "2001-04-01"
 NEW_LEDGER_START = "2001-01-01"
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from fibrelens.plans.testbed import AS_OF, EVENT_SHIFT_DAYS, NEW_LEDGER_START, OLD_LEDGER_END, ZONES
+from fibrelens.plans.testbed import AS_OF, EVENT_SHIFT_DAYS, FEW, NEW_LEDGER_START, OLD_LEDGER_END, ZONES
 
 _NOW = f"TIMESTAMP '{AS_OF}'"
 _TODAY = f"DATE '{AS_OF[:10]}'"
@@ -513,7 +513,7 @@ FROM disbursements WHERE added_time >= TIMESTAMP '{_M[3]}' AND added_time < TIME
   CAST(sum(l_quantity) AS BIGINT) AS quantities
 FROM lineitem GROUP BY l_linenumber""",
     "partner_fields": " UNION ALL ".join(
-        f"SELECT partner_id, '{f}' AS field, CAST({f} AS VARCHAR) AS value FROM card" for f in _CARD_FIELDS
+        f"SELECT partner_id, '{f}' AS field, CAST({f} AS VARCHAR) AS value FROM card" for f in ['partner_id', *_CARD_FIELDS]
     ),
     "fixed_payout_monthly": """SELECT partner_id, month, month_key, CAST(fixed_paid AS DOUBLE) AS fixed_paid, renewal_count
 FROM paid ORDER BY partner_id, month DESC""",
@@ -557,6 +557,9 @@ FROM (SELECT DISTINCT partner_id, type, task_id, EXISTS (FROM ticket_events r
     "latest_speed": "SELECT * FROM pace",
     "plan_status": "SELECT * EXCLUDE (last_recharge) FROM standing",
     "customer_360": "SELECT * FROM c360",
+    "customer_360_few": f"SELECT * FROM c360 WHERE partner_id IN {FEW}",
+    "customer_address_few": f"SELECT * FROM moved_in WHERE mobile IN (SELECT mobile FROM plans WHERE partner_id IN {FEW})",
+    "latest_optical_few": f"SELECT * FROM light WHERE nas_id IN (SELECT max(nas_id) FROM plans WHERE partner_id IN {FEW} GROUP BY partner_id, mobile)",
     "signal_summary": f"""SELECT partner_id, count(avg_optical_dbm) AS optical_n, round(avg(avg_optical_dbm), 9) AS avg_optical,
   {_pct("count(*) FILTER (avg_optical_dbm IS NOT NULL AND optical_health = 'Good')", "count(avg_optical_dbm)")} AS optical_good_pct,
   count(actual_speed_mbps) AS speed_n, round(avg(actual_speed_mbps), 9) AS avg_speed FROM c360 GROUP BY partner_id""",

@@ -1,8 +1,9 @@
-"""Session settings and the one place where lineage is cut."""
+"""Session settings and the places where lineage is cut."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,19 +47,39 @@ def build_session(app_name: str = "fibrelens", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared checkpoint folder, so that several reports can
-    read it and a lost executor does not force a recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the cluster's ``spark.checkpoint.dir``.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only when none is set and the
-    session is a local one (tests) is a temporary folder used instead.
+    Only when none is set and the session is a local one (tests) is a temporary folder used.
     """
+    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not hasattr(sc, "_own_folder"):
+        sc._own_folder = tempfile.mkdtemp(prefix="fibrelens-")
+    return sc._own_folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once into the shared checkpoint folder, so that several reports can
+    read it and a lost executor does not force a recomputation."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = tempfile.mkdtemp(prefix="fibrelens-")
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def new_table_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: unlike a checkpoint, the table has a
+    known size, by which Spark decides on broadcasts, and filters reach its scan."""
+    path = new_table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,6 +10,7 @@ from fibrelens.functions.values import to_long
 from fibrelens.sources.schemas import ALIASES, TABLES
 
 _TIMES = (T.TimestampType, T.TimestampNTZType)
+_UTC = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
 
 
 def table_schema(name: str) -> T.StructType:
@@ -17,7 +18,10 @@ def table_schema(name: str) -> T.StructType:
 
 
 def _fit(value: Column, have: T.DataType, want: T.DataType, strict: bool) -> Column:
-    """Cast only where the type differs, so that filters on the column still reach the scan."""
+    """Cast only where the type differs, so that filters on the column still reach the scan.
+
+    Of the two timestamp types either will do, as long as the session zone is UTC (see ``conform``).
+    """
     if have == want or (isinstance(have, _TIMES) and isinstance(want, _TIMES)):
         return value
     if strict:
@@ -34,6 +38,7 @@ def conform(df: DataFrame, name: str, aliases: dict[str, str] | None = None, str
     do not fit a type become NULL, or raise an error if ``strict``.
     """
     found = {field.name.lower(): field for field in df.schema}
+    zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
     names = {new: old for old, new in ALIASES.get(name, {}).items()}
     names |= {new: old.lower() for old, new in (aliases or {}).items()}
     picked, missing = [], []
@@ -41,6 +46,8 @@ def conform(df: DataFrame, name: str, aliases: dict[str, str] | None = None, str
         have = found.get(want.name) or found.get(names.get(want.name, ""))
         if have is None:
             missing.append(want.name)
+        elif isinstance(have.dataType, T.TimestampType) and zone not in _UTC:
+            raise ValueError(f"{name}.{want.name} has a zone and the session zone is {zone}; set it to UTC")
         else:
             picked.append(_fit(F.col(f"`{have.name}`"), have.dataType, want.dataType, strict).alias(want.name))
     if missing:

@@ -3,7 +3,9 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from fibrelens.functions.joins import left_join_spread
 from fibrelens.operators import city, customers, payouts, tickets, wallet
 from fibrelens.plans.registry import all_queries
 from fibrelens.plans.testbed import Testbed
@@ -111,3 +113,111 @@ def test_wallet_limits_before_the_shuffle(spark):
     plan = plan_of(wallet.wallet_transactions(t["ledger_old"], t["ledger_new"]))
     bottom = plan[plan.rindex("Exchange hashpartitioning"):]
     assert "WindowGroupLimit" in bottom
+
+
+SIDES = ("bookings", "booking_events", "task_events", "daily_usage", "optical_readings", "speed_tests")
+
+
+@pytest.fixture
+def saved(spark, tmp_path):
+    """The logical tables of the test bed as parquet, as in real use."""
+    t = Testbed(spark, SMALL)
+    for name in ("plans", "devices", *SIDES):
+        t[name].write.parquet(f"{tmp_path}/{name}")
+    return {name: load_table(spark, name, f"{tmp_path}/{name}") for name in ("plans", "devices", *SIDES)}
+
+
+def leaf_lines(plan):
+    """For every scan of a side table, the operators above it up to the first shuffle or union."""
+    lines = plan.splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-*()0123456789")) for line in lines]
+    found = {}
+    for at, line in enumerate(lines):
+        name = re.search(r"/(" + "|".join(SIDES) + r")[],]", line) if "FileScan" in line else None
+        if not name:
+            continue
+        above, level = [], depth[at]
+        for back in range(at - 1, -1, -1):
+            if depth[back] < level:
+                level = depth[back]
+                if re.search(r"Exchange|Union", lines[back]):
+                    break
+                above.append(lines[back])
+        found.setdefault(name.group(1), []).append("\n".join(above))
+    return found
+
+
+def few(tables, partners):
+    names = ("plans", "devices", "bookings", "booking_events", "daily_usage", "task_events", "optical_readings", "speed_tests")
+    return customers.customer_360(*(tables[n] for n in names), as_of="2001-07-15 10:30:00", partners=partners)
+
+
+def test_few_partners_read_on_only_their_rows_of_all_side_tables(spark, saved):
+    plan = plan_of(few(saved, [3, 7]))
+    above = leaf_lines(plan)
+    assert above.keys() == set(SIDES)
+    for name, paths in above.items():
+        assert all("LeftSemi" in path for path in paths), name
+    # Without broadcasts, Spark's Bloom filters stand above the scans instead.
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    try:
+        above = leaf_lines(plan_of(few(saved, [3, 7]), broadcast=False))
+    finally:
+        spark.conf.unset("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold")
+    for name, paths in above.items():
+        assert all("might_contain" in path for path in paths), name
+
+
+@pytest.mark.parametrize("partners", [[3, 7], "table", []])
+def test_few_partners_are_the_same_rows_as_the_whole_view(spark, saved, partners):
+    whole = few(saved, None).filter("partner_id in (3, 7)")
+    given = spark.createDataFrame([(3,), (7,)], "id long") if partners == "table" else partners
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(few(saved, given)) == (rows(whole) if given else [])
+
+
+def test_parts_over_known_customers_reduce_at_the_scan(saved):
+    known = customers.known_customers(saved["plans"], saved["devices"], [3])
+    parts = {
+        "bookings": customers.customer_name(saved["bookings"], known),
+        "booking_events": customers.customer_address(saved["booking_events"], known),
+        "task_events": customers.install_date(saved["task_events"], known),
+        "optical_readings": customers.latest_optical(saved["optical_readings"], known),
+    }
+    for name, df in parts.items():
+        assert all("LeftSemi" in path for path in leaf_lines(plan_of(df))[name]), plan_of(df)
+
+
+def test_rows_without_a_key_are_dealt_evenly(spark):
+    """90 % of the customers have no device; the tasks of the join stay even."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        left = spark.range(20000).selectExpr("id % 50 as partner_id", "cast(id as string) as mobile", "if(id % 10 = 0, concat('D', id), null) as device_id")
+        right = spark.range(20000).selectExpr("concat('D', id) as device_id", "id as speed").unionByName(spark.sql("select cast(null as string) as device_id, -1L as speed"))
+        joined = left_join_spread(left, right, ["device_id"], by=["mobile", "partner_id"])
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        plain = [r["count"] for r in left.join(right, "device_id", "left").groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        got = joined.agg(F.count(F.lit(1)), F.count("speed"), F.count_if(F.expr("speed <> cast(mobile as long)"))).first()
+    finally:
+        for name in ("autoBroadcastJoinThreshold", "adaptive.enabled"):
+            spark.conf.unset(f"spark.sql.{name}")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert max(sizes) < 1.2 * 20000 / 16 < 18000 <= max(plain)
+    assert tuple(got) == (20000, 2000, 0)
+
+
+def test_raw_plan_rows_are_hashed_not_sorted(saved, spark):
+    t = Testbed(spark, SMALL)
+    roster = city.city_roster(t["roster"], t.cities())
+    for df in (
+        city.plan_rollup(saved["plans"], roster),
+        city.first_last_plan(saved["plans"], roster),
+        customers.current_plan(saved["plans"]),
+        customers.partner_mobiles(saved["plans"]),
+    ):
+        lines = plan_of(df, broadcast=False).splitlines()
+        scan = next(i for i, line in enumerate(lines) if "FileScan" in line and "/plans]" in line)
+        above = [line for line in lines[:scan] if "Aggregate" in line]
+        assert "HashAggregate" in above[-1] and "HashAggregate" in above[-2], lines

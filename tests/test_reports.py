@@ -1,6 +1,7 @@
 """The report bundles against the single operators."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from fibrelens.operators import city
 from fibrelens.plans import reports
@@ -28,6 +29,7 @@ def test_city_page(bed):
     assert rows(page["totals"]) == rows(city.leads_installs_totals(daily))
     scorecard = city.partner_scorecard(bed["plans"], roster, bed["ticket_daily"], AS_OF)
     assert rows(page["partners"]) == rows(city.scorecard_ratios(scorecard))
+    assert rows(page["partner_counts"]) == rows(city.city_partner_counts(roster, bed.cities()))
 
 
 def test_partner_page(spark, bed):
@@ -61,3 +63,17 @@ def test_overview_page(spark, bed):
     got = reports.overview_page(bed, AS_OF, ZONES).collect()
     want = all_queries()["partner_overview"](spark, SMALL).collect()
     assert [(r.partner_id, float(r.corrected_m0_payout)) for r in got] == [(r.partner_id, r.corrected_m0_payout) for r in want]
+
+
+def test_a_partner_with_rows_in_several_zones_has_its_page(spark, bed):
+    """The overview lists it by its row in a shown zone, whichever row the detail is read from."""
+    card = bed["growth_card"]
+    mine = card.filter("zone = 'ASIA'").orderBy("partner_id").limit(1)
+    again = mine.withColumn("zone", F.lit("ZZZ")).withColumn("partner_name", F.lit("zz"))
+    tables = {name: bed[name] for name in bed} | {"growth_card": card.unionByName(again)}
+    partner = mine.first().partner_id
+    assert reports.overview_page(tables, AS_OF, ZONES).filter(F.col("partner_id") == partner).count() == 1
+    page = reports.partner_page(tables, AS_OF, ZONES)
+    for section in ("fields", "earnings", "active_base", "customer_counts"):
+        assert page[section].filter(F.col("partner_id") == partner).count() > 0, section
+    assert page["fields"].filter((F.col("partner_id") == partner) & (F.col("field") == "zone")).first().value == "ASIA"

@@ -88,3 +88,16 @@ def test_checkpoint_folder_is_the_sessions_own(spark, tmp_path):
     got = checkpointed(spark.range(5))
     assert got.count() == 5
     assert any(tmp_path.rglob("part-*"))
+
+
+def test_times_with_a_zone_need_a_session_in_utc(spark, frame):
+    rows = frame([("m", "e", datetime(2024, 1, 1))], "mobile string, event_name string, added_time timestamp")
+    plain = rows.withColumn("added_time", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        with pytest.raises(ValueError, match="added_time has a zone"):
+            conform(rows, "task_events")
+        assert str(conform(plain, "task_events").first().added_time) == "2024-01-01 00:00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert conform(rows, "task_events").count() == 1

@@ -90,3 +90,16 @@ def test_summary_and_report(table):
     assert (shown[1, 1]["Amount"], shown[1, 1]["Date & Time (IST)"], shown[1, 1]["Remark"]) == ("₹0", "2024-02-02 05:30:00", "")
     assert shown[1, 3]["Amount"] == "+₹1.00"
     assert (shown[2, 1]["Amount"], shown[2, 1]["Balance After"]) == ("₹0", "₹0.00")
+
+
+def test_rows_are_ranked_by_instant_where_clocks_change(table):
+    """In Berlin the hour from 02:00 came twice on 2024-10-27 (first from 00:00 UTC, again from 01:00 UTC)."""
+    news = [new(1, "2024-10-27 00:45:00", remark="first pass"), new(1, "2024-10-27 01:10:00", remark="second pass"), new(1, "2024-10-27 02:00:00", remark="after")]
+    olds = [old(1, "2024-10-26 23:00:00", remark="before")]
+    rows = wallet.wallet_transactions(table("ledger_old", olds), table("ledger_new", news), zone="Europe/Berlin").orderBy("row_no").collect()
+    assert [(r.remark, str(r.added_at_ist)) for r in rows] == [
+        ("after", "2024-10-27 03:00:00"),
+        ("second pass", "2024-10-27 02:10:00"),
+        ("first pass", "2024-10-27 02:45:00"),
+        ("before", "2024-10-26 23:00:00"),
+    ]
