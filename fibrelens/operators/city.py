@@ -44,6 +44,11 @@ class _Members:
         return df.join(self.pairs, "partner_id")
 
 
+def with_city(per_partner: DataFrame, roster: DataFrame) -> DataFrame:
+    """Rows per partner beside the partner's cities."""
+    return _Members(roster).attach_city(per_partner)
+
+
 def _expiry(tz_offset_min: int) -> Column:
     return shift_minutes(add_seconds(F.col("plan_start_time"), F.col("time_plan")), tz_offset_min)
 

@@ -21,6 +21,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fibrelens.functions.joins import Ids, left_join_spread, of_ids, of_keys
 from fibrelens.functions.picks import newest_per, packed, unpacked
@@ -73,7 +74,7 @@ def device_lookup(devices: DataFrame) -> DataFrame:
     )
 
 
-def _with_device(customers: DataFrame, devices: DataFrame) -> DataFrame:
+def with_device(customers: DataFrame, devices: DataFrame) -> DataFrame:
     """Fill a missing device id from the device table, where the customer id is the account id."""
     known = device_lookup(devices).withColumnRenamed("customer_id", "_account")
     return (
@@ -90,7 +91,7 @@ def _with_device(customers: DataFrame, devices: DataFrame) -> DataFrame:
 
 def resolved_devices(plans: DataFrame, devices: DataFrame) -> DataFrame:
     """Device per customer, from the plan rows or else from the device table."""
-    return _with_device(partner_mobiles(plans), devices).select("partner_id", "mobile", "device_id")
+    return with_device(partner_mobiles(plans), devices).select("partner_id", "mobile", "device_id")
 
 
 def _plan_columns(start: Column, seconds: Column, tz_offset_min: int) -> dict[str, Column]:
@@ -121,27 +122,27 @@ def recharge_count(plans: DataFrame) -> DataFrame:
     )
 
 
-def _names(bookings: DataFrame) -> DataFrame:
+def names_of(bookings: DataFrame) -> DataFrame:
     return bookings.filter(~F.col("is_deleted") & F.col("mobile").isNotNull())
 
 
-def _address_updates(booking_events: DataFrame) -> DataFrame:
+def address_updates(booking_events: DataFrame) -> DataFrame:
     """Only the address part of the event text goes on into the shuffle."""
     rows = booking_events.filter((F.col("event_name") == ADDRESS_UPDATED) & F.col("mobile").isNotNull())
     return rows.select("mobile", "added_time", F.get_json_object("data", "$.address").alias("address_json"))
 
 
-def _verifications(task_events: DataFrame) -> DataFrame:
+def verifications(task_events: DataFrame) -> DataFrame:
     return task_events.filter((F.col("event_name") == OTP_VERIFIED) & F.col("mobile").isNotNull())
 
 
-def _address_text(address_json: Column) -> Column:
+def address_text(address_json: Column) -> Column:
     """'home, city' out of the address, itself JSON text; empty parts are left out."""
     parts = [blank_to_null(F.get_json_object(address_json, path)) for path in ("$.home", "$.city")]
     return blank_to_null(F.concat_ws(", ", *parts))
 
 
-def _install_day(first_verified: Column, tz_offset_min: int) -> Column:
+def install_day(first_verified: Column, tz_offset_min: int) -> Column:
     return shift_minutes(first_verified, tz_offset_min).cast("date")
 
 
@@ -151,23 +152,23 @@ def _known_mobiles(plans: DataFrame) -> DataFrame:
 
 def customer_name(bookings: DataFrame, plans: DataFrame) -> DataFrame:
     """One name per customer mobile out of the bookings that are not deleted."""
-    named = _names(bookings).groupBy("mobile").agg(F.min("name").alias("customer_name"))
+    named = names_of(bookings).groupBy("mobile").agg(F.min("name").alias("customer_name"))
     return named.join(_known_mobiles(plans), "mobile", "left_semi")
 
 
 def customer_address(booking_events: DataFrame, plans: DataFrame) -> DataFrame:
     """Address of the latest update per customer mobile."""
-    updates, among = _address_updates(booking_events), _known_mobiles(plans)
+    updates, among = address_updates(booking_events), _known_mobiles(plans)
     return newest_per(updates, ["mobile"], ["added_time"], ["address_json"], among).select(
-        "mobile", _address_text(F.col("address_json")).alias("address")
+        "mobile", address_text(F.col("address_json")).alias("address")
     )
 
 
 def install_date(task_events: DataFrame, plans: DataFrame, tz_offset_min: int = IST_MINUTES) -> DataFrame:
     """Day of the first verification per customer mobile."""
-    first = _verifications(task_events).groupBy("mobile").agg(F.min("added_time").alias("_first"))
+    first = verifications(task_events).groupBy("mobile").agg(F.min("added_time").alias("_first"))
     return first.join(_known_mobiles(plans), "mobile", "left_semi").select(
-        "mobile", _install_day(F.col("_first"), tz_offset_min).alias("install_date")
+        "mobile", install_day(F.col("_first"), tz_offset_min).alias("install_date")
     )
 
 
@@ -198,7 +199,7 @@ def latest_optical(optical_readings: DataFrame, plans: DataFrame) -> DataFrame:
     )
 
 
-def _newest_speed(speed_tests: DataFrame, among: DataFrame | None = None) -> DataFrame:
+def newest_speed(speed_tests: DataFrame, among: DataFrame | None = None) -> DataFrame:
     rows = speed_tests.filter(F.col("device_id").isNotNull())
     return newest_per(rows, ["device_id"], ["tested_on"], ["speed", "latency", "jitter"], among)
 
@@ -206,7 +207,7 @@ def _newest_speed(speed_tests: DataFrame, among: DataFrame | None = None) -> Dat
 def latest_speed(speed_tests: DataFrame, plans: DataFrame, devices: DataFrame) -> DataFrame:
     """Newest speed test per device in use."""
     in_use = resolved_devices(plans, devices).select("device_id").distinct()
-    return _newest_speed(speed_tests, in_use)
+    return newest_speed(speed_tests, in_use)
 
 
 def _plan_text(speed: Column, days: Column, charges: Column) -> Column:
@@ -250,17 +251,30 @@ def _plan_facts(plans: DataFrame) -> DataFrame:
     Raw rows are hashed, not sorted: columns of varying width (device, speed) are grouping keys of
     the first step, with the price, of which a customer has few; the plan's start and length are a
     packed pair. The second step picks among a customer's few reduced rows.
+    """
+    rows = plan_rows(plans)
+    kinds = rows.groupBy(*PLAN_KIND).agg(*[getattr(F, how)(name).alias(name) for name, how in PLAN_FACTS.items()])
+    return facts_of_kinds(kinds, plans.schema["plan_start_time"].dataType)
+
+
+#: Kinds of plan rows, and how the facts of several rows or parts of a kind become one.
+PLAN_KIND = ("mobile", "partner_id", "device_id", "charges", "speed_mbps")
+PLAN_FACTS = {"nas_id": "max", "account_id": "max", "_packed": "max", "_rows": "sum"}
+
+
+def plan_rows(plans: DataFrame) -> DataFrame:
+    """Plan rows as PLAN_KIND and PLAN_FACTS."""
+    pair = packed(F.col("plan_start_time"), F.col("time_plan"))
+    return _own(plans).select(*PLAN_KIND, "nas_id", "account_id", pair.alias("_packed"), F.lit(1).cast("bigint").alias("_rows"))
+
+
+def facts_of_kinds(kinds: DataFrame, time_type: T.DataType) -> DataFrame:
+    """One row per customer out of one row per kind.
 
     Rows without a mobile form a customer of their own that has ids but, as nothing can be
     matched to a missing mobile, no plan, recharges or device.
     """
     has_mobile = F.col("mobile").isNotNull()
-    kinds = _own(plans).groupBy("mobile", "partner_id", "device_id", "charges", "speed_mbps").agg(
-        F.max("nas_id").alias("nas_id"),
-        F.max("account_id").alias("account_id"),
-        F.max(packed(F.col("plan_start_time"), F.col("time_plan"))).alias("_packed"),
-        F.count(F.lit(1)).alias("_rows"),
-    )
     picked = kinds.groupBy("mobile", "partner_id").agg(
         F.max("nas_id").alias("nas_id"),
         F.max("device_id").alias("device_id"),
@@ -268,7 +282,7 @@ def _plan_facts(plans: DataFrame) -> DataFrame:
         F.max(F.struct("_packed", "charges", "speed_mbps")).alias("_plan"),
         F.sum(F.when(F.col("charges") > 0, F.col("_rows"))).alias("_recharges"),
     )
-    start, seconds = unpacked(F.col("_plan._packed"), plans.schema["plan_start_time"].dataType)
+    start, seconds = unpacked(F.col("_plan._packed"), time_type)
     plan = dict(zip(_PLAN_FIELDS, (start, seconds, F.col("_plan.charges"), F.col("_plan.speed_mbps"))))
     return picked.select(
         "partner_id",
@@ -284,7 +298,7 @@ def known_customers(plans: DataFrame, devices: DataFrame, partners: Ids | None =
     """Customers (of ``partners``) with their ids and plan, stored in the shared folder."""
     if partners is not None:
         plans, devices = of_ids(plans, partners), of_ids(devices, partners)
-    customers = kept(_with_device(_plan_facts(plans), devices), "customers")
+    customers = kept(with_device(_plan_facts(plans), devices), "customers")
     return customers if partners is None else of_ids(customers, partners)
 
 
@@ -306,14 +320,14 @@ def _mobile_facts(
     aggregation, once per mobile.
     """
     bookings, booking_events, task_events = (only(t, "mobile") for t in (bookings, booking_events, task_events))
-    updates = _address_updates(booking_events).select("mobile", F.struct("added_time", "address_json").alias("_update"))
+    updates = address_updates(booking_events).select("mobile", F.struct("added_time", "address_json").alias("_update"))
     update_type = updates.schema["_update"].dataType.simpleString()
     verified_type = task_events.schema["added_time"].dataType.simpleString()
     facts = {"_name": "string", "_update": update_type, "_verified": verified_type}
     rows = (
-        _tagged(_names(bookings), "mobile", facts, _name=F.col("name"))
+        _tagged(names_of(bookings), "mobile", facts, _name=F.col("name"))
         .unionByName(_tagged(updates, "mobile", facts, _update=F.col("_update")))
-        .unionByName(_tagged(_verifications(task_events), "mobile", facts, _verified=F.col("added_time")))
+        .unionByName(_tagged(verifications(task_events), "mobile", facts, _verified=F.col("added_time")))
     )
     picked = rows.groupBy("mobile").agg(
         F.min("_name").alias("customer_name"), F.max("_update").alias("_update"), F.min("_verified").alias("_verified")
@@ -321,8 +335,8 @@ def _mobile_facts(
     return picked.select(
         "mobile",
         "customer_name",
-        _address_text(F.col("_update.address_json")).alias("address"),
-        _install_day(F.col("_verified"), tz_offset_min).alias("install_date"),
+        address_text(F.col("_update.address_json")).alias("address"),
+        install_day(F.col("_verified"), tz_offset_min).alias("install_date"),
     )
 
 
@@ -375,7 +389,7 @@ def customer_360(
     customers' rows are aggregated and shuffled.
     """
     if partners is None:
-        facts = _with_device(_plan_facts(plans), devices)
+        facts = with_device(_plan_facts(plans), devices)
         only = lambda rows, key: rows
     else:
         facts = known_customers(plans, devices, partners)
@@ -384,9 +398,14 @@ def customer_360(
     for other, key in (
         (_mobile_facts(bookings, booking_events, task_events, tz_offset_min, only), "mobile"),
         (_nas_facts(daily_usage, optical_readings, only), "nas_id"),
-        (_newest_speed(only(speed_tests, "device_id")).withColumnsRenamed({"speed": "actual_speed_mbps"}), "device_id"),
+        (newest_speed(only(speed_tests, "device_id")).withColumnsRenamed({"speed": "actual_speed_mbps"}), "device_id"),
     ):
         joined = left_join_spread(joined, other, [key], by=["mobile", "partner_id"])
+    return finish(joined, as_of, tz_offset_min)
+
+
+def finish(joined: DataFrame, as_of: AsOf, tz_offset_min: int = IST_MINUTES) -> DataFrame:
+    """The columns of the view out of plan facts joined with all others."""
     shown = _plan_columns(F.col("plan_start_time"), F.col("time_plan"), tz_offset_min)
     # A ping needs a known mobile; an optical reading only needs the NAS id.
     ping = F.when(F.col("mobile").isNotNull(), F.col("last_ping"))

@@ -71,14 +71,29 @@ def _countable(disbursements: DataFrame, as_of: AsOf, months_back: int) -> DataF
     """Rows that count: paid ones, and of the current month accrued ones as well."""
     added = F.col("added_time")
     this_month = (added >= ts_lit(month_start(as_of))) & (added < ts_lit(month_start(as_of, -1)))
-    return disbursements.filter(
-        F.col("partner_id").isNotNull()
-        & ~F.col("is_deleted")
-        & (added >= ts_lit(month_start(as_of, months_back)))
+    return payable(disbursements).filter(
+        (added >= ts_lit(month_start(as_of, months_back)))
         & ((F.col("bonus_status") == PAID) | this_month)
     )
 
 
+def payable(disbursements: DataFrame) -> DataFrame:
+    """Rows of partners that are not deleted."""
+    return disbursements.filter(F.col("partner_id").isNotNull() & ~F.col("is_deleted"))
+
+
+def monthly_of_parts(parts: DataFrame, as_of: AsOf) -> DataFrame:
+    """``fixed_payout_monthly`` out of sums per partner, month and status (amount, n_rows)."""
+    this_month, first = (F.lit(month_start(as_of, back).date()) for back in (0, 3))
+    counted = parts.filter((F.col("month") >= first) & ((F.col("bonus_status") == PAID) | (F.col("month") == this_month)))
+    return (
+        counted.groupBy("partner_id", "month")
+        .agg(F.sum("amount").cast("decimal(28,2)").alias("fixed_paid"), F.sum("n_rows").alias("renewal_count"))
+        .select("partner_id", "month", F.date_format("month", "yyyy-MM").alias("month_key"), "fixed_paid", "renewal_count")
+        .orderBy("partner_id", F.col("month").desc())
+    )
+
+
 def _by_month(rows: DataFrame) -> DataFrame:
     month = month_of(F.col("added_time"))
     return (

@@ -7,6 +7,7 @@ Suppliers play partners, order keys play customer mobiles, line items play plan
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ EVENT_SHIFT_DAYS = 8234
 ZONES = ("AFRICA", "AMERICA", "ASIA", "EUROPE")
 # Partners of the queries over a few partners.
 FEW = (3, 7)
+# Days on which the tables arrive, for the kept state.
+LOADS = (date(2001, 7, 13), date(2001, 7, 14), date(2001, 7, 15))
 OLD_LEDGER_END = "2001-04-01"
 NEW_LEDGER_START = "2001-01-01"
 
@@ -48,6 +51,15 @@ class Testbed:
     def keys(self):
         return _VIEWS.keys()
 
+    def landing(self) -> dict[str, DataFrame]:
+        """The logical tables as they arrive in three loads; rows of any time may come in any load."""
+        arrived = {}
+        for name in _VIEWS:
+            table = self[name]
+            day = F.lit(LOADS[0]) + F.pmod(F.xxhash64(*table.columns), F.lit(len(LOADS))).cast("int")
+            arrived[name] = table.withColumn("load_day", day)
+        return arrived
+
     def cities(self) -> DataFrame:
         """Every nation, and a listed city that has no partner yet."""
         nations = self.raw("nation").select(
