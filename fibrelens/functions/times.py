@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 AsOf = datetime | date | str
@@ -33,6 +33,33 @@ def date_lit(moment: AsOf) -> Column:
     return F.lit(as_datetime(moment).date())
 
 
+#: Partition column of tables laid out by day (see ``fibrelens.sources.layout``).
+EVENT_DAY = "event_day"
+
+
+def within(df: DataFrame, column: str, start: AsOf | None = None, end: AsOf | None = None) -> DataFrame:
+    """Rows with start <= column < end, either bound left out if None.
+
+    A table that is laid out by the day of ``column`` gets the same bounds on its partition column,
+    so that Spark lists only the days in question.
+    """
+    is_day = dict(df.dtypes)[column] == "date"
+    literal = date_lit if is_day else ts_lit
+    rows = df
+    if start is not None:
+        rows = rows.filter(F.col(column) >= literal(start))
+    if end is not None:
+        rows = rows.filter(F.col(column) < literal(end))
+    if EVENT_DAY in df.columns:
+        if start is not None:
+            rows = rows.filter(F.col(EVENT_DAY) >= date_lit(start))
+        if end is not None:
+            last = as_datetime(end) if is_day else as_datetime(end) - timedelta(microseconds=1)
+            day = F.col(EVENT_DAY)
+            rows = rows.filter(day < date_lit(last) if is_day else day <= date_lit(last))
+    return rows
+
+
 def days_before(as_of: AsOf, days: int) -> datetime:
     """Midnight ``days`` days before the day of ``as_of``."""
     now = as_datetime(as_of)

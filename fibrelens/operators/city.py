@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fibrelens.functions.picks import newest, oldest, packed, unpacked
-from fibrelens.functions.times import AsOf, add_seconds, date_lit, day_gap, days_before, shift_minutes, ts_lit
+from fibrelens.functions.times import AsOf, add_seconds, date_lit, day_gap, days_before, shift_minutes, ts_lit, within
 from fibrelens.functions.values import or_zero, percent, whole_percent
 
 GRACE_DAYS = 15
@@ -156,11 +156,11 @@ def _daily(
     install_offset_min: int,
     lead_offset_min: int,
 ) -> DataFrame:
-    since = ts_lit(days_before(as_of, WINDOW_DAYS))
+    since = days_before(as_of, WINDOW_DAYS)
     installs = (
         first_starts.groupBy("mobile", "city")
         .agg(F.min("first_start").alias("_first"))
-        .filter(F.col("_first") >= since)
+        .filter(F.col("_first") >= ts_lit(since))
         .select(
             "city",
             shift_minutes(F.col("_first"), install_offset_min).cast("date").alias("day"),
@@ -170,7 +170,7 @@ def _daily(
     )
     local_day = shift_minutes(F.col("added_time"), lead_offset_min).cast("date")
     asked = (
-        bookings.filter(F.col("added_time") >= since)
+        within(bookings, "added_time", since)
         .select("mobile", "partner_id", local_day.alias("day"))
         .distinct()
     )
@@ -254,7 +254,7 @@ def mobile_summary(plans: DataFrame, roster: DataFrame, tz_offset_min: int = 0)
 
 def tickets_30d(ticket_daily: DataFrame, roster: DataFrame, as_of: AsOf) -> DataFrame:
     """Tickets and resolved tickets of roster partners since 30 days ago."""
-    recent = ticket_daily.filter(F.col("tkt_dt") >= date_lit(days_before(as_of, WINDOW_DAYS)))
+    recent = within(ticket_daily, "tkt_dt", days_before(as_of, WINDOW_DAYS))
     return (
         recent.groupBy("partner_id")
         .agg(F.sum("total_tickets").alias("tickets_1m"), F.sum("resolved_tickets").alias("resolved_1m"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fibrelens.functions.shapes import stack_months
-from fibrelens.functions.times import AsOf, month_label, month_of, month_start, ts_lit
+from fibrelens.functions.times import AsOf, month_label, month_of, month_start, ts_lit, within
 from fibrelens.functions.values import money, or_zero, ratio
 from fibrelens.sources.dimensions import ZONES
 
@@ -71,10 +71,8 @@ def _countable(disbursements: DataFrame, as_of: AsOf, months_back: int) -> DataF
     """Rows that count: paid ones, and of the current month accrued ones as well."""
     added = F.col("added_time")
     this_month = (added >= ts_lit(month_start(as_of))) & (added < ts_lit(month_start(as_of, -1)))
-    return payable(disbursements).filter(
-        (added >= ts_lit(month_start(as_of, months_back)))
-        & ((F.col("bonus_status") == PAID) | this_month)
-    )
+    rows = within(payable(disbursements), "added_time", month_start(as_of, months_back))
+    return rows.filter((F.col("bonus_status") == PAID) | this_month)
 
 
 def payable(disbursements: DataFrame) -> DataFrame:

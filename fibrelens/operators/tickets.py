@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fibrelens.functions.shapes import stack_months
-from fibrelens.functions.times import AsOf, month_label, month_start, ts_lit
+from fibrelens.functions.times import AsOf, month_label, month_start, ts_lit, within
 from fibrelens.functions.values import or_zero, percent
 
 # Fixed values of the event log.
@@ -19,18 +19,14 @@ _KINDS = (("service", SERVICE), ("device", DEVICE))
 
 
 def _created(ticket_events: DataFrame, start: AsOf, end: AsOf | None) -> DataFrame:
-    added = F.col("added_time")
-    rows = ticket_events.filter(
-        F.col("partner_id").isNotNull() & (F.col("event_name") == CREATED) & (added >= ts_lit(start))
-    )
-    return rows if end is None else rows.filter(added < ts_lit(end))
+    rows = ticket_events.filter(F.col("partner_id").isNotNull() & (F.col("event_name") == CREATED))
+    return within(rows, "added_time", start, end)
 
 
 def _resolutions(ticket_events: DataFrame, end: AsOf | None, tasks: DataFrame) -> DataFrame:
     """Resolution events of ``tasks``; those of all other tasks go before anything is aggregated."""
     rows = ticket_events.filter(F.col("event_name").isin(*RESOLUTIONS) & F.col("task_id").isNotNull())
-    rows = rows if end is None else rows.filter(F.col("added_time") < ts_lit(end))
-    return rows.join(tasks, "task_id", "left_semi")
+    return within(rows, "added_time", None, end).join(tasks, "task_id", "left_semi")
 
 
 def ticket_counts(

@@ -79,3 +79,19 @@ ALIASES: dict[str, dict[str, str]] = {
     "ledger_old": {"partner_account_id": "partner_id"},
     "ticket_daily": {"partner_account_id": "partner_id"},
 }
+
+#: Column by whose day a table is laid out (see ``fibrelens.sources.layout``).
+DAY_COLUMNS: dict[str, str] = {
+    "ticket_events": "added_time",
+    "plans": "plan_start_time",
+    "bookings": "added_time",
+    "booking_events": "added_time",
+    "daily_usage": "added_date",
+    "task_events": "added_time",
+    "optical_readings": "date_ist",
+    "speed_tests": "tested_on",
+    "disbursements": "added_time",
+    "ledger_old": "added_at_ist",
+    "ledger_new": "added_time",
+    "ticket_daily": "tkt_dt",
+}

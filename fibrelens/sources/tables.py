@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,17 +33,27 @@ def _fit(value: Column, have: T.DataType, want: T.DataType, strict: bool) -> Col
     return value.try_cast(want)
 
 
-def conform(df: DataFrame, name: str, aliases: dict[str, str] | None = None, strict: bool = False) -> DataFrame:
+def conform(
+    df: DataFrame,
+    name: str,
+    aliases: dict[str, str] | None = None,
+    strict: bool = False,
+    keep: Sequence[str] = (),
+    lost: Observation | None = None,
+) -> DataFrame:
     """Find the needed columns in any letter case or under an alias, and type them.
 
     ``aliases`` maps a deployment's own column names to ours, beside the known ones. Values that
-    do not fit a type become NULL, or raise an error if ``strict``.
+    do not fit a type become NULL, or raise an error if ``strict``. ``keep`` names columns beside the
+    schema's that stay. ``lost`` is told, while the table is read for whatever purpose, how many
+    values of each converted column became NULL (``lost.get``, after an action); this takes no pass
+    of its own. It names every converted column, also if nothing was lost.
     """
     found = {field.name.lower(): field for field in df.schema}
     zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
     names = {new: old for old, new in ALIASES.get(name, {}).items()}
     names |= {new: old.lower() for old, new in (aliases or {}).items()}
-    picked, missing = [], []
+    picked, missing, losses = [], [], []
     for want in table_schema(name):
         have = found.get(want.name) or found.get(names.get(want.name, ""))
         if have is None:
@@ -49,10 +61,16 @@ def conform(df: DataFrame, name: str, aliases: dict[str, str] | None = None, str
         elif isinstance(have.dataType, T.TimestampType) and zone not in _UTC:
             raise ValueError(f"{name}.{want.name} has a zone and the session zone is {zone}; set it to UTC")
         else:
-            picked.append(_fit(F.col(f"`{have.name}`"), have.dataType, want.dataType, strict).alias(want.name))
+            raw = F.col(f"`{have.name}`")
+            typed = _fit(raw, have.dataType, want.dataType, strict)
+            picked.append(typed.alias(want.name))
+            if typed is not raw:
+                losses.append(F.count_if(raw.isNotNull() & typed.isNull()).alias(want.name))
     if missing:
         raise ValueError(f"table {name} lacks columns: {', '.join(missing)}")
-    return df.select(*picked)
+    if lost is not None:
+        df = df.observe(lost, F.count(F.lit(1)).alias("rows"), *losses)
+    return df.select(*picked, *keep)
 
 
 def load_table(
@@ -62,9 +80,10 @@ def load_table(
     fmt: str = "parquet",
     aliases: dict[str, str] | None = None,
     strict: bool = False,
+    lost: Observation | None = None,
 ) -> DataFrame:
-    """Read one logical table from files."""
-    return conform(spark.read.format(fmt).load(path), name, aliases, strict)
+    """Read one logical table from files; for ``lost`` see ``conform``."""
+    return conform(spark.read.format(fmt).load(path), name, aliases, strict, lost=lost)
 
 
 def load_catalog_table(

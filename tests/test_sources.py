@@ -8,6 +8,7 @@ from fibrelens.session import TASK_BYTES, checkpointed, settings_for
 from fibrelens.sources.dimensions import ZONES
 from fibrelens.sources.schemas import TABLES
 from fibrelens.sources.tables import conform, load_catalog_table, load_table, load_tables, table_schema
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 
@@ -101,3 +102,24 @@ def test_times_with_a_zone_need_a_session_in_utc(spark, frame):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert conform(rows, "task_events").count() == 1
+
+
+def test_values_lost_by_conversion_are_reported_without_a_second_pass(spark, frame):
+    passes = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: (passes.add(1), x)[1], "string")
+    raw = frame(
+        [("12", "m1", "7"), ("x", "m2", "8.5"), ("nan", "m3", None), (None, "m4", "n/a")],
+        "partner_id string, customer_id string, device_id string",
+    ).withColumns({"partner_id": seen("partner_id"), "location": F.lit("customer"), "user_churn_date": F.lit("2024-13-01")})
+    lost = Observation("devices")
+    told = conform(raw, "devices", lost=lost).collect()
+    assert lost.get == {"rows": 4, "partner_id": 2, "user_churn_date": 4}
+    assert passes.value == 4
+    assert sorted(map(repr, told)) == sorted(map(repr, conform(raw, "devices").collect()))
+
+
+def test_nothing_lost_is_reported_as_such(frame):
+    lost = Observation("usage")
+    assert conform(frame([(1, "2024-01-01")], "nas_id bigint, added_date string"), "daily_usage", lost=lost).count() == 1
+    conform(frame([(1, "2024-01-01")], "nas_id bigint, added_date string"), "daily_usage", lost=(full := Observation("full"))).collect()
+    assert full.get == {"rows": 1, "added_date": 0}
