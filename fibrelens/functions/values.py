@@ -42,6 +42,12 @@ def percent(part: Column, whole: Column) -> Column:
     return ratio(part, whole) * F.lit(100.0)
 
 
+def json_text(parsed: Column, name: str) -> Column:
+    """A field of a parsed JSON object (variant) as text: numbers, flags and nested values as JSON text;
+    NULL if the object lacks it, it is null, or nothing could be parsed."""
+    return F.try_variant_get(parsed, f"$.{name}", "string")
+
+
 def blank_to_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from fibrelens.functions.joins import Ids, left_join_spread, of_ids, of_keys
 from fibrelens.functions.picks import newest_per, packed, unpacked
 from fibrelens.functions.times import AsOf, add_seconds, date_lit, day_gap, shift_minutes, ts_lit
-from fibrelens.functions.values import DASH, blank_to_null, fixed, not_nan, or_dash, or_zero, percent
+from fibrelens.functions.values import DASH, blank_to_null, fixed, json_text, not_nan, or_dash, or_zero, percent
 from fibrelens.session import kept
 
 IST_MINUTES = 330
@@ -129,7 +129,7 @@ def names_of(bookings: DataFrame) -> DataFrame:
 def address_updates(booking_events: DataFrame) -> DataFrame:
     """Only the address part of the event text goes on into the shuffle."""
     rows = booking_events.filter((F.col("event_name") == ADDRESS_UPDATED) & F.col("mobile").isNotNull())
-    return rows.select("mobile", "added_time", F.get_json_object("data", "$.address").alias("address_json"))
+    return rows.select("mobile", "added_time", json_text(F.try_parse_json("data"), "address").alias("address_json"))
 
 
 def verifications(task_events: DataFrame) -> DataFrame:
@@ -137,8 +137,12 @@ def verifications(task_events: DataFrame) -> DataFrame:
 
 
 def address_text(address_json: Column) -> Column:
-    """'home, city' out of the address, itself JSON text; empty parts are left out."""
-    parts = [blank_to_null(F.get_json_object(address_json, path)) for path in ("$.home", "$.city")]
+    """'home, city' out of the address, itself JSON text; empty parts are left out.
+
+    The text is parsed once, into a variant from which both parts are taken.
+    """
+    parsed = F.try_parse_json(address_json)
+    parts = [blank_to_null(json_text(parsed, name)) for name in ("home", "city")]
     return blank_to_null(F.concat_ws(", ", *parts))
 
 

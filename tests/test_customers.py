@@ -228,3 +228,33 @@ def test_summaries_order_and_report(frame):
     assert (len(a["Address"]), a["Last Recharge"], a["Since Expiry"], a["Optical (dBm)"]) == (60, "2024-03-01 05:30", "Active ✓", "-20.2")
     assert (b["Address"], b["Last Ping"], b["Since Expiry"], b["Optical Health"], b["Plan"]) == ("—", "2024-02-02", "66d ago", "—", "—")
     assert (shown["c"]["Since Expiry"], shown["c"]["Last Recharge"], shown["c"]["Speed (Mbps)"]) == ("—", "—", "30.5")
+
+
+@pytest.mark.parametrize(
+    "data, want",
+    [
+        (json.dumps({"address": json.dumps({"home": "12 Road", "city": "Agra"})}), "12 Road, Agra"),
+        (json.dumps({"address": {"home": "12 Road", "city": "Agra"}}), "12 Road, Agra"),  # nested, not text
+        (json.dumps({"address": json.dumps({"home": 12, "city": True})}), "12, true"),
+        (json.dumps({"address": json.dumps({"home": {"no": 1}, "city": ["a", 2]})}), '{"no":1}, ["a",2]'),
+        (json.dumps({"address": json.dumps({"home": None, "city": "É\"x"})}), 'É"x'),
+        (json.dumps({"address": json.dumps(["home"])}), None),
+        (json.dumps({"address": 7}), None),
+        (json.dumps([1]), None),
+        ('{"address": "{\\"home\\": \\"cut', None),
+        ("{}", None),
+        ("", None),
+        (None, None),
+    ],
+)
+def test_address_of_bad_nested_and_other_values(table, data, want):
+    event = dict(mobile="a", data=data, added_time="2024-01-01 00:00:00", event_name="address_updated")
+    assert c.customer_address(table("booking_events", [event]), table("plans", [plan("a")])).first().address == want
+
+
+def test_each_text_is_parsed_once(table):
+    update = table("booking_events", [dict(mobile="a", data="{}", added_time="2024-01-01 00:00:00", event_name="address_updated")])
+    text = c.address_updates(update).select(c.address_text(c.F.col("address_json")).alias("address"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" not in text and "variant" in text.lower()
+    inner = [line for line in text.splitlines() if "concat_ws" in line]
+    assert len(inner) == 1
