@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,9 @@ from fibrelens.plans.reports import customers_of
 from fibrelens.plans.refresh import CustomerState
 from fibrelens.plans.testbed import AS_OF, FEW, LOADS, ZONES, Testbed
 from fibrelens.session import new_table_path
+from fibrelens.sources.layout import load_days, write_days
+from fibrelens.sources.pages import load_pages, save_pages
+from fibrelens.sources.tables import conform
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,6 +107,33 @@ def _state(t: Testbed) -> CustomerState:
     return context._states[t.sf_dir]
 
 
+def _by_day(t: Testbed, name: str) -> DataFrame:
+    path = new_table_path(t.spark, f"days-{name}")
+    write_days(t[name], name, path)
+    return load_days(t.spark, name, path)
+
+
+def _by_page(t: Testbed, name: str) -> DataFrame:
+    path = new_table_path(t.spark, f"pages-{name}")
+    save_pages(t[name], path, pages=8)
+    return load_pages(t.spark, name, path)
+
+
+def _lost_values(t: Testbed) -> DataFrame:
+    """Values that the loader cannot convert, per column, counted while the rows are summed up."""
+    line = F.col("l_linenumber")
+    raw = t.raw("lineitem").select(
+        F.when(line == 7, "n/a").otherwise(F.col("l_suppkey").cast("string")).alias("PARTNER_ID"),
+        F.lit("c").alias("customer_id"),
+        F.lit("d").alias("device_id"),
+        F.lit("customer").alias("location"),
+        F.when(line == 1, "2001-02-30").when(line == 2, "2001-02-28").alias("user_churn_date"),
+    )
+    lost = Observation()
+    devices.device_location_counts(conform(raw, "devices", lost=lost)).write.format("noop").mode("overwrite").save()
+    return t.spark.createDataFrame([(column, lost.get[column]) for column in sorted(lost.get)], "column_name string, lost long")
+
+
 def _few_known(t: Testbed) -> DataFrame:
     return customers.known_customers(t["plans"], t["devices"], FEW)
 
@@ -166,6 +196,13 @@ _QUERIES: dict[str, Callable[[Testbed], DataFrame]] = {
     "customer_360_few": lambda t: customers_of(t, AS_OF, FEW),
     "customer_address_few": lambda t: customers.customer_address(t["booking_events"], _few_known(t)),
     "latest_optical_few": lambda t: customers.latest_optical(t["optical_readings"], _few_known(t)),
+    # laid out by day, and out of saved result pages
+    "ticket_counts_days": lambda t: tickets.ticket_counts(_by_day(t, "ticket_events"), "2001-06-20", "2001-07-10", t["roster"]),
+    "tickets_30d_days": lambda t: city.tickets_30d(_by_day(t, "ticket_daily"), _roster(t), AS_OF),
+    "fixed_payout_monthly_days": lambda t: payouts.fixed_payout_monthly(_by_day(t, "disbursements"), AS_OF),
+    "recharge_count_pages": lambda t: customers.recharge_count(_by_page(t, "plans")),
+    "device_location_counts_pages": lambda t: devices.device_location_counts(_by_page(t, "devices")),
+    "lost_values": _lost_values,
     # out of kept state, refreshed in three loads
     "customer_360_refreshed": lambda t: _state(t).customer_360(AS_OF),
     "last_ping_refreshed": lambda t: _state(t).last_ping(),

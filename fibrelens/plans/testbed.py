@@ -111,7 +111,7 @@ def _plans(t: Testbed) -> DataFrame:
         F.col("l_partkey").alias("nas_id"),
         F.when(~_flag("R"), F.concat(F.lit("D"), F.col("l_partkey").cast("string"))).alias("device_id"),
         F.col("l_orderkey").alias("account_id"),
-        F.col("l_shipdate").alias("plan_start_time"),
+        F.when(F.col("l_orderkey") % 97 != 0, F.col("l_shipdate")).alias("plan_start_time"),
         seconds.alias("time_plan"),
         F.when(line == 7, F.lit(0)).otherwise(_money("l_extendedprice")).alias("charges"),
         F.when(line != 3, (line * 50).cast("string")).alias("speed_mbps"),
@@ -190,6 +190,11 @@ def _speed(t: Testbed) -> DataFrame:
     )
 
 
+def _no_recent_tickets(partner: Column) -> Column:
+    """Partners whose newest tickets are two or three months old (these: every ninth)."""
+    return (partner % 6 == 0) | (partner % 9 == 0)
+
+
 def _ticket_events(t: Testbed) -> DataFrame:
     k = F.col("k")
     slot = F.floor(F.hour("at") / 6).cast("int").cast("string")
@@ -205,7 +210,7 @@ def _ticket_events(t: Testbed) -> DataFrame:
         F.when(k < 45, "SERVICE").when(k < 90, "ROUTER_PICKUP").otherwise("OTHER").alias("type"),
         name.alias("event_name"),
         F.col("at").alias("added_time"),
-        F.col("user_id").alias("partner_id"),
+        (F.col("user_id") + F.when(_no_recent_tickets(F.col("user_id")), 1_000_000).otherwise(0)).alias("partner_id"),
     )
 
 
@@ -283,6 +288,8 @@ def _growth_card(t: Testbed) -> DataFrame:
         for kind in ("service_ticket", "service_ticket_sla", "device_ticket", "device_ticket_sla"):
             stored = F.col(f"{kind}_m{b}")
             changed[f"{kind}_m{b}"] = F.when(partner % 3 == 0, F.lit(0)).otherwise(stored)
+    for kind in ("service_ticket", "service_ticket_sla", "device_ticket", "device_ticket_sla"):
+        changed[f"{kind}_m2"] = F.when(partner % 9 == 0, F.lit(0)).otherwise(F.col(f"{kind}_m2"))
     for b in range(4):
         stored = F.col(f"lost_customers_m{b}")
         changed[f"lost_customers_m{b}"] = F.when(partner % 2 == 0, F.lit(0)).otherwise(stored)
@@ -310,6 +317,10 @@ def _partner_scores(t: Testbed) -> DataFrame:
     }
     for b in (1, 2, 3):
         month = F.col("_off") == b
+        if b == 1:
+            month = month & ~_no_recent_tickets(F.col("l_suppkey"))
+        if b == 2:
+            month = month & (F.col("l_suppkey") % 9 != 0)
         measures[f"service_ticket_m{b}"] = F.count_if(month & _status("F"))
         measures[f"service_ticket_sla_m{b}"] = F.count_if(month & _status("F") & _flag("R"))
         measures[f"device_ticket_m{b}"] = F.count_if(month & _status("O"))

@@ -56,6 +56,8 @@ def _growth_card_sql() -> str:
             )
         elif "_ticket" in name and name[-1] in "01":
             shown.append(f"CASE WHEN partner_id % 3 = 0 THEN 0 ELSE {name} END AS {name}")
+        elif "_ticket" in name and name[-1] == "2":
+            shown.append(f"CASE WHEN partner_id % 9 = 0 THEN 0 ELSE {name} END AS {name}")
         elif name.startswith("lost_customers"):
             shown.append(f"CASE WHEN partner_id % 2 = 0 THEN 0 ELSE {name} END AS {name}")
         else:
@@ -81,7 +83,8 @@ def _partner_scores_sql() -> str:
             ("device_ticket", "l_linestatus = 'O'"),
             ("device_ticket_sla", "l_linestatus = 'O' AND l_returnflag = 'A'"),
         ):
-            cols.append(f"count(*) FILTER ({_OFF} = {b} AND {cond}) AS {name}_m{b}")
+            recent = {1: " AND l_suppkey % 6 <> 0 AND l_suppkey % 9 <> 0", 2: " AND l_suppkey % 9 <> 0"}.get(b, "")
+            cols.append(f"count(*) FILTER ({_OFF} = {b} AND {cond}{recent}) AS {name}_m{b}")
     return f"""SELECT l_suppkey AS partner_id, avg(l_quantity) / 10.0 AS service_rating,
   avg(CAST(l_linenumber AS DOUBLE)) AS avg_install_rating, {", ".join(cols)}
 FROM lineitem GROUP BY l_suppkey"""
@@ -104,7 +107,7 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
 FROM roster JOIN cities ON trim(partner_city) = funnel""",
     "plans": f"""SELECT l_suppkey AS partner_id, CAST(l_orderkey AS VARCHAR) AS mobile, l_partkey AS nas_id,
   CASE WHEN l_returnflag <> 'R' THEN 'D' || l_partkey END AS device_id, l_orderkey AS account_id,
-  l_shipdate AS plan_start_time, CAST(l_quantity AS BIGINT) * 86400 + l_linenumber * 7200 AS time_plan,
+  CASE WHEN l_orderkey % 97 <> 0 THEN l_shipdate END AS plan_start_time, CAST(l_quantity AS BIGINT) * 86400 + l_linenumber * 7200 AS time_plan,
   CASE WHEN l_linenumber = 7 THEN 0 ELSE {_PRICE} END AS charges,
   CASE WHEN l_linenumber <> 3 THEN CAST(l_linenumber * 50 AS VARCHAR) END AS speed_mbps
 FROM lineitem""",
@@ -139,7 +142,7 @@ FROM ev""",
   CASE WHEN k < 45 THEN 'SERVICE' WHEN k < 90 THEN 'ROUTER_PICKUP' ELSE 'OTHER' END AS type,
   CASE event_type WHEN 'signup' THEN 'TICKET_CREATED' WHEN 'purchase' THEN 'TICKET_RESOLVED'
     WHEN 'click' THEN 'TICKET_CLOSED' WHEN 'error' THEN 'ESCALATED' ELSE 'VIEWED' END AS event_name,
-  seen_at AS added_time, user_id AS partner_id
+  seen_at AS added_time, CASE WHEN user_id % 6 = 0 OR user_id % 9 = 0 THEN user_id + 1000000 ELSE user_id END AS partner_id
 FROM ev""",
     "ticket_daily": """SELECT user_id AS partner_id, CAST(seen_at AS DATE) AS tkt_dt, count(*) AS total_tickets,
   count(*) FILTER (event_type = 'click') AS resolved_tickets
@@ -612,6 +615,12 @@ def _needs(sql: str) -> list[str]:
     return [name for name in _KNOWN if name in found]
 
 
+# Neither layout changes a result.
+_RESULTS |= {f"{name}_days": _RESULTS[name] for name in ("ticket_counts", "tickets_30d", "fixed_payout_monthly")}
+_RESULTS |= {f"{name}_pages": _RESULTS[name] for name in ("recharge_count", "device_location_counts")}
+_RESULTS["lost_values"] = """SELECT 'partner_id' AS column_name, count(*) FILTER (l_linenumber = 7) AS lost FROM lineitem
+UNION ALL SELECT 'rows', count(*) FROM lineitem UNION ALL SELECT 'user_churn_date', count(*) FILTER (l_linenumber = 1) FROM lineitem"""
+
 # Kept state gives what the whole history gives.
 _RESULTS |= {
     f"{name}_refreshed": _RESULTS[name]

@@ -68,6 +68,15 @@ def test_invariants(spark):
     assert run("customer_360").count() == run("partner_mobiles").count()
 
 
+def test_all_branches_are_reached(spark):
+    """The test tables hold customers without a plan, rates of every month and stale ones."""
+    run = lambda name: all_queries()[name](spark, SMALL)
+    assert {r.status for r in run("customer_360").select("status").distinct().collect()} == {"Active", "Expired", "No Plan"}
+    labels = {r.service_sla_label for r in run("best_sla").collect()}
+    assert {"Jun 2001", "May 2001", "Apr 2001"} <= labels
+    assert {r.sla_stale for r in run("live_sla_override").collect()} == {True, False}
+
+
 def test_input_order_does_not_matter(spark, monkeypatch):
     from fibrelens.plans.testbed import Testbed
 
