@@ -199,7 +199,6 @@ _QUERIES: dict[str, Callable[[Testbed], DataFrame]] = {
     # laid out by day, and out of saved result pages
     "ticket_counts_days": lambda t: tickets.ticket_counts(_by_day(t, "ticket_events"), "2001-06-20", "2001-07-10", t["roster"]),
     "tickets_30d_days": lambda t: city.tickets_30d(_by_day(t, "ticket_daily"), _roster(t), AS_OF),
-    "fixed_payout_monthly_days": lambda t: payouts.fixed_payout_monthly(_by_day(t, "disbursements"), AS_OF),
     "recharge_count_pages": lambda t: customers.recharge_count(_by_page(t, "plans")),
     "device_location_counts_pages": lambda t: devices.device_location_counts(_by_page(t, "devices")),
     "lost_values": _lost_values,

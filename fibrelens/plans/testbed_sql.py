@@ -616,7 +616,7 @@ def _needs(sql: str) -> list[str]:
 
 
 # Neither layout changes a result.
-_RESULTS |= {f"{name}_days": _RESULTS[name] for name in ("ticket_counts", "tickets_30d", "fixed_payout_monthly")}
+_RESULTS |= {f"{name}_days": _RESULTS[name] for name in ("ticket_counts", "tickets_30d")}
 _RESULTS |= {f"{name}_pages": _RESULTS[name] for name in ("recharge_count", "device_location_counts")}
 _RESULTS["lost_values"] = """SELECT 'partner_id' AS column_name, count(*) FILTER (l_linenumber = 7) AS lost FROM lineitem
 UNION ALL SELECT 'rows', count(*) FROM lineitem UNION ALL SELECT 'user_churn_date', count(*) FILTER (l_linenumber = 1) FROM lineitem"""

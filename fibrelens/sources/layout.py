@@ -14,22 +14,20 @@ from fibrelens.functions.times import EVENT_DAY, AsOf, within
 from fibrelens.sources.schemas import DAY_COLUMNS
 from fibrelens.sources.tables import conform
 
-#: Files that one day is written to at most.
-FILES_PER_DAY = 8
 
+def write_days(df: DataFrame, name: str, path: str) -> None:
+    """Write the days of ``df`` under ``path``, in place of what is there for these days; other days
+    stay as they are.
 
-def write_days(df: DataFrame, name: str, path: str, files: int = FILES_PER_DAY) -> None:
-    """Write (in place of what is there) or replace the days of ``df`` under ``path``.
-
-    A day's rows are dealt over ``files`` tasks by a hash of the row, so a day that holds much of
-    the table is not one task; days that ``df`` does not hold stay as they are.
+    Rows are brought together by day, small days share a task, and Spark splits a day that holds much
+    of the table at run time, by measured sizes; so files are neither tiny nor huge.
     """
     column = DAY_COLUMNS[name]
     rows = conform(df, name)
     dated = rows.withColumn(EVENT_DAY, F.col(column).cast("date"))
-    part = F.pmod(F.xxhash64(*rows.columns), F.lit(files))
-    writer = dated.repartition(EVENT_DAY, part).sortWithinPartitions(EVENT_DAY).write.mode("overwrite")
-    writer.option("partitionOverwriteMode", "dynamic").partitionBy(EVENT_DAY).parquet(path)
+    dealt = df.sparkSession.sql(f"SELECT /*+ REBALANCE({EVENT_DAY}) */ * FROM {{dated}}", dated=dated)
+    writer = dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(EVENT_DAY).parquet(path)
 
 
 def load_days(spark: SparkSession, name: str, path: str, start: AsOf | None = None, end: AsOf | None = None) -> DataFrame:
