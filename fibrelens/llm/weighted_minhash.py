@@ -20,13 +20,15 @@ of 0.9 with more than 0.999999.
 similarity. A pair whose number would be that low at the threshold with probability of at most
 one in a million is no candidate, and its bags are not fetched.
 
-*Large groups.* Equal word sequences are one node. In a bucket, nodes meet a few pivots instead
-of each other: one pivot in the first round. A bucket whose nodes are one component is done.
-An open one is dealt by total weight: texts of one link differ in it by at most the threshold, so
-they share a range of weights. Each following round takes eight times the pivots of the one before,
-under the same key and only new ones, until every pair of different components in a bucket has been
-compared. So a group of similar texts costs about one comparison per text; texts of an open bucket
-that no link joins are compared pair by pair, by their samples first. No bucket is capped.
+*Large groups.* Equal word sequences are one node. In a bucket, nodes meet one pivot instead of each
+other. A bucket whose nodes are one component then is done. An open one is dealt by total weight:
+texts of one link differ in it by at most the threshold, so they share a range of weights. The nodes
+of a range that is still open are packed into blocks of bounded size, and every two blocks are
+compared in one matrix product over the shingles that both have: all pairs are looked at exactly,
+also those that the samples would pass over, but no pair is a row. Of the links that a task finds
+it returns those that join components. So a group of similar texts costs about one comparison per
+text; the texts of an open range cost arithmetic with the square of their number, and rows with the
+square of the number of their blocks. No bucket is capped.
 
 Defined cases: null counts as empty; texts without words have no duplicates, each row is its own
 class. The class id is the smallest doc_id of the class (null last). Rows that repeat doc_id
@@ -57,6 +59,8 @@ FREQUENCIES = 1 << 18
 MISSED = 1e-6
 #: Share of a weight that follows the inverse document frequency.
 DAMPING = 0.2
+#: About so much weight and so many nodes are in a block of an open bucket, and shingles in a step of their product.
+BLOCK_WEIGHT, BLOCK_NODES, STEP = 1 << 17, 512, 4096
 
 _U = np.uint64
 _SHORT = _U(0xFFFFFFFF)
@@ -194,6 +198,76 @@ def _unpacked(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows[first], keys[first], np.diff(np.append(first, len(keys)))
 
 
+def _occurrences(bags_of: pa.ListArray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, name, weight) of every occurrence in lists that name a shingle as often as it occurs, and
+    the rows' total weights. The k-th occurrence of a shingle has the same name in all rows."""
+    offsets = bags_of.offsets.to_numpy()
+    keys = bags_of.flatten().to_numpy(zero_copy_only=False).astype(np.uint32).astype(np.uint64)
+    rows = np.repeat(np.arange(len(bags_of)), np.diff(offsets))
+    fresh = np.diff(keys, prepend=_U(1 << 63)).astype(bool) | np.diff(rows, prepend=-1).astype(bool)
+    first = np.flatnonzero(fresh)
+    occurrence = np.arange(len(keys)) - first[np.cumsum(fresh) - 1]
+    weight = table[frequency_slot(keys)].astype(np.float64)
+    return rows, keys << _U(32) | occurrence.astype(np.uint64), weight, np.bincount(rows, weight, len(bags_of))
+
+
+def similarities(left: pa.ListArray, right: pa.ListArray, table: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarity of every row of ``left`` with every row of ``right``."""
+    (rows_a, names_a, weight, total_a), (rows_b, names_b, _, total_b) = (_occurrences(side, table) for side in (left, right))
+    both = np.intersect1d(names_a, names_b)
+    shared = np.zeros((len(left), len(right)))
+    places = []
+    for rows, names, values in ((rows_a, names_a, weight), (rows_b, names_b, np.ones(len(names_b)))):
+        at = np.searchsorted(both, names)
+        known = np.flatnonzero(np.append(both, ~_U(0))[at] == names)
+        known = known[np.argsort(at[known], kind="stable")]
+        places.append((rows[known], at[known], values[known]))
+    for low in range(0, len(both), STEP):
+        sides = []
+        for (rows, at, values), n in zip(places, shared.shape):
+            i, j = np.searchsorted(at, (low, low + STEP))
+            side = np.zeros((n, min(STEP, len(both) - low)))
+            side[rows[i:j], at[i:j] - low] = values[i:j]
+            sides.append(side)
+        shared += sides[0] @ sides[1].T
+    return shared / np.maximum(total_a[:, None] + total_b - shared, 1e-12)
+
+
+def _joining(pairs: np.ndarray, left: tuple, right: tuple) -> Iterator[tuple[int, int]]:
+    """Those of the linked pairs (places in left and right) that join components; a side is (nodes, labels)."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for i, j in pairs.tolist():
+        a, b = top(left[1][i]), top(right[1][j])
+        if a != b:
+            parent[a] = b
+            yield left[0][i], right[0][j]
+
+
+def _compare_blocks(weights, threshold: float):
+    def compare(batches):
+        table = weights.value
+        for batch in batches:
+            for one, other, same in zip(batch.column("one"), batch.column("other"), batch.column("same").to_pylist()):
+                sides = [(x.values.field("node").to_pylist(), x.values.field("label").to_pylist()) for x in (one, other)]
+                if len({*sides[0][1], *sides[1][1]}) < 2:
+                    continue
+                linked = similarities(one.values.field("bag"), other.values.field("bag"), table) >= threshold
+                linked &= np.array(sides[0][1])[:, None] != np.array(sides[1][1])
+                if same:
+                    linked = np.triu(linked, 1)
+                found = list(_joining(np.argwhere(linked), *sides))
+                columns = [pa.array([pair[k] for pair in found], pa.int64()) for k in range(2)]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
+
+    return compare
+
+
 def _verify(weights, threshold: float):
     def check(batches):
         table = weights.value
@@ -288,22 +362,21 @@ def near_duplicate_links(docs: DataFrame, signed: DataFrame, weights, threshold:
     fetched = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("node", "text")
     held = stored(fetched.mapInArrow(_own_bags, "node long, bag array<int>").dropDuplicates(["node"]), "bags")
 
-    labels, pivots, least = None, 1, least_agreement(threshold)
+    least = least_agreement(threshold)
     pairs = buckets.filter("node <> pivot").select("pivot", "node").distinct()
     own = nodes.select("node", "samples", "total")
     of_pivot = nodes.select(F.col("node").alias("pivot"), F.col("samples").alias("pivot_samples"), F.col("total").alias("pivot_total"))
     near = (_agreement("samples", "pivot_samples") >= least) & _alike("total", "pivot_total", threshold)
     pairs = pairs.join(own, "node").join(of_pivot, "pivot").filter(near).select("pivot", "node")
-    while True:
-        pivot_bags = held.select(F.col("node").alias("pivot"), F.col("bag").alias("pivot_bag"))
-        sided = pairs.join(held, "node").join(pivot_bags, "pivot").select("pivot", "node", "pivot_bag", "bag")
-        found = sided.mapInArrow(_verify(weights, threshold), "pivot long, node long")
-        labels = _merged(labels, stored(found.select(F.col("pivot").alias("a"), F.col("node").alias("b")), "links"))
-        buckets = _dealt(buckets, labels, nodes, threshold) if pivots == 1 else _unfinished(buckets, labels, pivots)
-        if buckets is None:
-            return labels
-        before, pivots = 0 if pivots == 1 else pivots, 8 * pivots
-        pairs = _next_pairs(buckets, before, pivots, least, threshold)
+    pivot_bags = held.select(F.col("node").alias("pivot"), F.col("bag").alias("pivot_bag"))
+    sided = pairs.join(held, "node").join(pivot_bags, "pivot").select("pivot", "node", "pivot_bag", "bag")
+    found = sided.mapInArrow(_verify(weights, threshold), "pivot long, node long")
+    labels = _merged(None, stored(found.select(F.col("pivot").alias("a"), F.col("node").alias("b")), "links"))
+    rest = _dealt(buckets, labels, nodes, threshold)
+    if rest is None:
+        return labels
+    links = _block_pairs(rest, held).mapInArrow(_compare_blocks(weights, threshold), "a long, b long")
+    return _merged(labels, stored(links, "links"))
 
 
 def _open_rows(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -318,38 +391,32 @@ def _open_rows(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _dealt(buckets: DataFrame, labels: DataFrame | None, nodes: DataFrame, threshold: float) -> DataFrame | None:
-    """Rows of open buckets after the first round, each under two neighbouring ranges of total
-    weight as wide as a link can be; None if there are none."""
+    """(key, node, label, total) of open buckets after the pivots' round, each row under two
+    neighbouring ranges of total weight as wide as a link can be; None if there are none."""
     rows = stored(_open_rows(buckets.filter("size > 2").select("key", "node"), labels).select("key", "node"), "open")
     width = max(-math.log(threshold), 1e-3) * (1 + 1e-3)
     level = F.floor(F.log("total") / width)
     parts = F.explode(F.array(level, level + 1)).alias("part")
-    ranged = rows.join(nodes.select("node", "samples", "total"), "node").select("key", "node", "samples", "total", parts)
+    ranged = rows.join(nodes.select("node", "total"), "node").select("key", "node", "total", parts)
     ranged = ranged.withColumn("key", F.xxhash64("key", "part")).drop("part")
-    found = stored(_open_rows(ranged, labels), "buckets")
-    return None if found.isEmpty() else found
-
-
-def _unfinished(buckets: DataFrame, labels: DataFrame | None, pivots: int) -> DataFrame | None:
-    """Rows of buckets that hold several components not all compared, under the same keys; None if
-    there are none."""
-    found = stored(_open_rows(buckets.filter(F.col("size") > pivots), labels), "buckets")
+    found = stored(_open_rows(ranged, labels).select("key", "node", "label", "total"), "buckets")
     return None if found.isEmpty() else found
 
 
-def _next_pairs(buckets: DataFrame, before: int, pivots: int, least: int, threshold: float) -> DataFrame:
-    """Pairs of every node with those pivots of its bucket that no earlier round had, that are in
-    another component, agree with it in ``least`` samples and have a like total weight.
-
-    A node's place in its bucket comes from a hash of the node; about ``pivots`` of a bucket's nodes
-    are pivots up to this round, and all of them if it has no more nodes than that.
-    """
-    place = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("size")
-    names = {"node": "pivot", "label": "pivot_label", "samples": "pivot_samples", "total": "pivot_total"}
-    chosen = buckets.filter((place >= before) & (place < pivots)).select("key", *(F.col(a).alias(b) for a, b in names.items()))
-    other = (F.col("label") != F.col("pivot_label")) & _alike("total", "pivot_total", threshold)
-    met = buckets.join(chosen, "key").filter(other & (_agreement("samples", "pivot_samples") >= least))
-    return met.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node")).distinct()
+def _block_pairs(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """(one, other, same): every two blocks of a bucket, and each with itself; a block is an array of
+    (node, label, bag)."""
+    sizes = rows.groupBy("key").agg(
+        F.greatest(F.ceil(F.sum("total") / BLOCK_WEIGHT), F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.lit(1)).cast("int").alias("n")
+    )
+    dealt = rows.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("n")).cast("int"))
+    member = F.struct("node", "label", "bag")
+    blocks = dealt.join(held, "node").groupBy("key", "part", "n").agg(F.collect_list(member).alias("members"))
+    blocks = stored(blocks, "blocks")
+    partners = F.explode(F.sequence(F.col("part"), F.col("n") - 1)).alias("with")
+    one = blocks.select("key", F.col("members").alias("one"), "part", partners)
+    other = blocks.select("key", F.col("part").alias("with"), F.col("members").alias("other"))
+    return one.join(other, ["key", "with"]).select("one", "other", (F.col("part") == F.col("with")).alias("same"))
 
 
 def _own_bags(batches):

@@ -179,3 +179,51 @@ def test_later_links_merge_components(spark):
 def test_near_of_an_empty_table(docs):
     assert weighted_minhash.near_duplicates(docs([])).count() == 0
     assert weighted_minhash.drop_near_duplicates(docs([(1, None), (2, None)])).count() == 2
+
+
+@pytest.mark.parametrize("step", [3, 4096])
+def test_block_similarities_equal_those_of_single_pairs(monkeypatch, step):
+    monkeypatch.setattr(weighted_minhash, "STEP", step)
+    draw = np.random.default_rng(6)
+    table = np.linspace(0.8, 1, weighted_minhash.FREQUENCIES).astype(np.float32)
+    sides = [[np.sort(draw.integers(0, 30, n) << 27).astype(np.uint32) for n in sizes] for sizes in ((40, 0, 7, 25), (30, 60, 1))]
+    left, right = (pa.array([x.view(np.int32).tolist() for x in side], pa.list_(pa.int32())) for side in sides)
+    got = weighted_minhash.similarities(left, right, table)
+    weight = lambda c: sum(m * table[weighted_minhash.frequency_slot(np.array([x], np.uint64))[0]] for x, m in c.items())
+    for i, x in enumerate(sides[0]):
+        for j, y in enumerate(sides[1]):
+            a, b = Counter(x.tolist()), Counter(y.tolist())
+            either = weight(a | b)
+            assert abs(got[i, j] - (weight(a & b) / either if either else 0)) < 1e-6
+
+
+def hot_group():
+    """Texts around one base, so heavily edited that most pairs lie on either side of the threshold."""
+    base, chance, rows = prose(9000, 160).split(), np.random.default_rng(7), []
+    for k in range(120):
+        words = list(base)
+        for at in chance.choice(160, size=int(chance.integers(1, 9)), replace=False):
+            words[at] = f"w{k}x{at}"
+        rows.append((k, " ".join(words)))
+    return rows
+
+
+def test_hot_buckets_lose_no_link(docs, monkeypatch):
+    """Pairs between 0.75 and 0.85 are the rule here; blocks are small, so many are compared."""
+    monkeypatch.setattr(weighted_minhash, "BLOCK_NODES", 7)
+    rows = hot_group()
+    frame = docs(rows)
+    table = weighted_minhash.occurrence_weights(frame)
+    data = [t.encode() for _, t in rows]
+    at, keys, counts, _ = weighted_minhash.bags(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    bags_of = pa.array([np.repeat(keys[at == i] & 0xFFFFFFFF, counts[at == i]).astype(np.uint32).view(np.int32).tolist() for i in range(len(rows))], pa.list_(pa.int32()))
+    bags_of = pa.array([sorted(x, key=lambda v: v & 0xFFFFFFFF) for x in bags_of.to_pylist()], pa.list_(pa.int32()))
+    alike = weighted_minhash.similarities(bags_of, bags_of, table)
+    near = (alike >= 0.8) & ~np.eye(len(rows), dtype=bool)
+    assert ((alike > 0.8) & (alike < 0.85)).sum() > 200 and ((alike > 0.75) & (alike < 0.8)).sum() > 200
+    label = list(range(len(rows)))
+    for _ in rows:
+        label = [min([label[i], *(label[j] for j in np.flatnonzero(near[i]))]) for i in range(len(rows))]
+    got = {r.doc_id: r.class_id for r in weighted_minhash.near_duplicates(frame).collect()}
+    assert len(set(label)) > 3
+    assert got == dict(enumerate(label))
