@@ -4,12 +4,14 @@ import base64
 import gzip
 import hashlib
 import html
+import itertools
 import json
 import random
 import re
 import string
 from collections import Counter
 
+import numpy as np
 import pyarrow.fs
 import pytest
 from pyspark.sql import functions as F
@@ -245,9 +247,88 @@ def test_markers_within_a_text_open_turns(spark):
     assert [r.role for r in got if r.conv_id is None] == ["assistant"]
 
 
-def test_long_conversations_are_cut_into_blocks(spark):
-    rows = [(1, t, ("user", "assistant")[t % 2], prose(t, 10 + 60 * (t % 2))) for t in range(300)]
-    got = chat_roles.canonical_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
-    assert sorted((r.turn, r.role) for r in got) == [(t, role) for _, t, role, _ in rows]
+def long_chats():
+    """One long conversation with few marks, one of null turns only, and short ones around them."""
+    chance, rows = random.Random(8), []
+    for t in range(230):
+        role = ("user", "assistant")[t % 2]
+        rows.append((7, t, role if t == 0 or chance.random() < 0.1 else None, prose(t, 12 + 40 * (t % 2)) + ("?" if t % 2 == 0 else ".")))
+    rows += [(8, None, None, prose(1000 + t, 20)) for t in range(150)] + [(None, t, "user" if t % 2 == 0 else None, prose(t, 9)) for t in range(90)]
+    return rows + chats(20)
+
+
+def worths(spark, rows):
+    """Log probability of the roles found, with markers and without, per conversation. (Roles of equal
+    probability may be told apart by rounding; every row here is one line.)"""
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    model, found, out = chat_roles.learn(frame), {}, {}
+    for r in chat_roles.canonical_turns(frame).collect():
+        found.setdefault(r.conv_id, {})[r.turn, r.rendered.split("\n")[1]] = (r.role, r.recovered_role)
+    for conv in found:
+        own = sorted({r for r in rows if r[0] == conv}, key=lambda r: (r[1] or 0, r[2] or "", r[3]))
+        assert len(own) == len(found[conv])
+        states = [tuple(2 * chat_roles.ROLES.index(x) for x in found[conv][r[1], r[3]]) for r in own]
+        lines = chat_roles._Lines([{"role": r[2], "text": r[3]} for r in own])
+        for k, scores in enumerate(lines.scores(model)):
+            path = [s[k] for s in states]
+            steps = sum(model.step[a, b] for a, b in zip(path, path[1:]))
+            out[conv, k] = round(float(model.start[path[0]] + steps + sum(scores[i, s] for i, s in enumerate(path))), 6)
+    return out
+
+
+def test_blocks_and_ranges_do_not_change_the_best_path(spark, monkeypatch):
+    rows = long_chats()
+    monkeypatch.setattr(chat_roles, "BLOCK", 1000)
+    whole = worths(spark, rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for block in (2, 5, 64):
+            monkeypatch.setattr(chat_roles, "BLOCK", block)
+            spark.conf.set("spark.sql.shuffle.partitions", str(3 + block % 7))
+            assert worths(spark, rows) == whole, block
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_a_marker_reaches_over_any_number_of_blocks(spark):
+    """Only the first turn is marked; the alternation learned elsewhere tells all others."""
+    same = lambda t: prose(t, 15) + "."
+    rows = [(c, t, ("user", "assistant")[t % 2], same(100 * c + t)) for c in range(40) for t in range(4)]
+    rows += [(99, t, "assistant" if t == 0 else None, same(9000 + t)) for t in range(192)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = [r for r in chat_roles.canonical_turns(frame).collect() if r.conv_id == 99]
+    assert all(r.role == ("assistant", "user")[r.turn % 2] for r in got)
+
+
+def test_viterbi_is_the_best_of_all_paths():
+    chance = random.Random(3)
+    counts = {("step", a, b): chance.randint(0, 9) for a in range(3) for b in range(3)}
+    counts |= {("seen", a, c): chance.randint(0, 9) for a in range(3) for c in range(chat_roles.CATEGORIES)}
+    counts |= {("start", a, 0): a + 1 for a in range(3)} | {("lines", a, k): 3 + a + k for a in range(3) for k in range(2)}
+    model = chat_roles.Model(counts)
+    for _ in range(12):
+        n = 5
+        firsts = [True, *(chance.random() < 0.5 for _ in range(n - 1))]
+        scores = model.scores([chance.choice((-1, -1, 0, 1, 2)) for _ in range(n)], [chance.randrange(chat_roles.CATEGORIES) for _ in range(n)], firsts)
+
+        def worth(path):
+            steps = sum(model.step[a, b] for a, b in zip(path, path[1:]))
+            return model.start[path[0]] + steps + sum(scores[i, s] for i, s in enumerate(path))
+
+        best = max(map(worth, itertools.product(range(chat_roles.STATES), repeat=n)))
+        assert abs(worth(model.viterbi(scores)) - best) < 1e-6
+        cuts = [scores[:2], scores[2:3], scores[3:]]
+        parts = [model.transfer(cut) for cut in cuts]
+        joined = [s for cut, ends in zip(cuts, model.borders(parts)) for s in model.viterbi(cut, *ends)]
+        assert abs(worth(joined) - best) < 1e-6
+        assert np.allclose(model.combined(parts), model.transfer(scores))
+
+
+def test_odd_conversations(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat_roles.canonical_turns(empty).count() == 0
+    rows = [(1, 1, "user", "a"), (1, 1, "user", "b"), (1, 1, "user", "a"), (2, None, "bot", None), (2, None, "bot", ""), (3, 5, "system", "x" * 300_000)]
+    got = chat_roles.canonical_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r.conv_id, r.role, len(r.rendered)) for r in got if r.conv_id != 3) == [(1, "user", 18), (1, "user", 18), (2, "assistant", 22), (2, "assistant", 22)]
+    assert [len(r.rendered) for r in got if r.conv_id == 3] == [300_000 + 19]
