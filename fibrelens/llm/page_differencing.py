@@ -44,9 +44,9 @@ ARTICLE, OPEN, FURNITURE = 0, 1, 2
 SAMPLED = 60
 
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|$)"
-    r"|<!\[CDATA\[.*?(?:\]\]>|$)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math|object|select)\b[^>]*?(?:/>|>.*?(?:</(?P=raw)\s*>|$))"
+    r"<!--.*?(?:-->|(?P<cut1>$))"
+    r"|<!\[CDATA\[.*?(?:\]\]>|(?P<cut2>$))"
+    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math|object|select)\b[^>]*+>(?:(?<=/>)|.*?(?:</(?P=raw)\s*>|(?P<cut3>$)))"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-zA-Z][^>]*>"
     r"|<[!?/][^>]*>",
@@ -61,6 +61,7 @@ _FURNITURE_WORDS = frozenset(
     "cookie cookies consent notice notices comment comments comments-area reader-comments disqus reply replies share sharing social related "
     "recommended newsletter subscribe signup popup modal breadcrumb breadcrumbs pagination pager search login toolbar skip masthead complementary contentinfo".split()
 )
+_NOT_FURNITURE = frozenset("with has no without is".split())  # before a furniture word: the element is beside it
 _ARTICLE_TAGS = frozenset({"article", "main"})
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset(
@@ -69,20 +70,37 @@ _BLOCKS = frozenset(
 )
 
 
+def _furniture_name(word: str) -> bool:
+    """Whether a class, id or role is a furniture word or a compound of one, such as 'site-header',
+    but not 'with-sidebar'."""
+    parts = re.split("[-_]", word)
+    return word in _FURNITURE_WORDS or parts[0] not in _NOT_FURNITURE and not _FURNITURE_WORDS.isdisjoint(parts)
+
+
 def _is_furniture(name: str, rest: str, in_article: bool) -> bool:
+    """By the element's tag, or, for block elements, by its names. The body and the article itself are
+    never furniture; an article within an article is, if its names say so (reader comments)."""
     if name in _FURNITURE_TAGS:
         return not (in_article and name in ("header", "label"))
-    if not rest or "=" not in rest:
+    if name not in _BLOCKS or name in ("html", "body") or name in _ARTICLE_TAGS and not in_article or "=" not in (rest or ""):
         return False
-    for value in _NAMED.findall(rest):
-        for word in value.strip("\"'").lower().split():
-            if word in _FURNITURE_WORDS or any(p in _FURNITURE_WORDS for p in re.split("[-_]", word)):
-                return True
-    return False
+    return any(_furniture_name(word) for value in _NAMED.findall(rest) for word in value.strip("\"'").lower().split())
 
 
 def lines(page: str) -> list[tuple[int, str]]:
-    """(zone, text) of the page's blocks in order, white space collapsed, empty ones left out."""
+    """(zone, text) of the page's blocks in order, white space collapsed, empty ones left out.
+
+    If all article elements of a page lie inside furniture that goes by its names, that furniture holds
+    the article: an article then ends it.
+    """
+    out = _zoned(page, False)
+    if any(zone == ARTICLE for zone, _ in out) or not re.search("<(?:article|main)\\b", page, re.I):
+        return out
+    inner = _zoned(page, True)
+    return inner if any(zone == ARTICLE for zone, _ in inner) else out
+
+
+def _zoned(page: str, articles_end_furniture: bool) -> list[tuple[int, str]]:
     out: list[tuple[int, str]] = []
     words: list[str] = []
     articles = 0
@@ -96,10 +114,13 @@ def lines(page: str) -> list[tuple[int, str]]:
             words.clear()
 
     at = 0
-    for found in _MARKUP.finditer(page):
+    # No markup is complete beyond the last '>': without this bound, each '<' there is a scan to the end.
+    for found in _MARKUP.finditer(page, 0, page.rfind(">") + 1):
         if found.start() > at:
             words.append(page[at : found.start()])
         at = found.end()
+        if found["cut1"] is not None or found["cut2"] is not None or found["cut3"] is not None:
+            at = len(page)  # never closed
         name = found["name"]
         if not name:
             continue
@@ -118,6 +139,9 @@ def lines(page: str) -> list[tuple[int, str]]:
                     hidden = ""
             elif name in _ARTICLE_TAGS and closing and articles:
                 hidden, articles = "", articles - 1
+            elif name in _ARTICLE_TAGS and not closing and articles_end_furniture and hidden not in _FURNITURE_TAGS:
+                end_block()
+                hidden, articles = "", articles + 1
             continue
         if not closing:
             if _is_furniture(name, found["rest"], articles > 0):

@@ -9,6 +9,7 @@ import json
 import random
 import re
 import string
+import time
 from collections import Counter
 
 import numpy as np
@@ -332,3 +333,29 @@ def test_odd_conversations(spark):
     got = chat_roles.canonical_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert sorted((r.conv_id, r.role, len(r.rendered)) for r in got if r.conv_id != 3) == [(1, "user", 18), (1, "user", 18), (2, "assistant", 22), (2, "assistant", 22)]
     assert [len(r.rendered) for r in got if r.conv_id == 3] == [300_000 + 19]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<body class="has-sidebar"><article><p>One.</p><p>Two.</p></article></body>', ["One.", "Two."]),
+        ('<div class="content with-sidebar"><article><p>One.</p></article><div class="site-sidebar">x</div></div>', ["One."]),
+        ('<div class="sidebar-layout"><main><p>One.</p></main></div>', ["One."]),
+        ('<article class="post related"><p>One.</p></article>', ["One."]),
+        ('<article><p>See <span class="search-term">menus</span> here.</p></article>', ["See menus here."]),
+        ('<article><p>One.</p><article class="comment"><p>No.</p></article><div class="share-bar">No.</div></article>', ["One."]),
+        ('<div class="sidebar"><article class="card">No.</article></div><article><p>One.</p></article>', ["One."]),
+        ("<article><p>One.</p><!-- never closed <p>No.</p>", ["One."]),
+        ("<article><p>One.</p><svg/><p>Two.</p><script>no()", ["One.", "Two."]),
+        ("<article><p>One &lt; two <b", ["One < two <b"]),
+    ],
+)
+def test_articles_survive_names_of_elements_around_them(page, want):
+    assert [text for zone, text in page_differencing.lines(page) if zone == page_differencing.ARTICLE] == want
+
+
+def test_raw_elements_are_scanned_once():
+    for page in ("<svg " * 200_000, "<article><p>a</p>" + "<svg>" * 200_000, "<!--" * 200_000, "<p>" + "<svg " * 200_000):
+        start = time.perf_counter()
+        page_differencing.lines(page)
+        assert time.perf_counter() - start < 2
