@@ -37,13 +37,24 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 # The same pattern for texts of letters below U+0250, with the classes spelled out.
 _L, _N, _S = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
 LATIN_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+# Code points that newer Unicode tables call letters or numbers, but not those of the
+# tokenizers library, which leave them unassigned; for the split they are neither.
+UNASSIGNED = """
+0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959
+10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3
+16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6
+1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4
+1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F
+"""
+_LATER = "".join("-".join(chr(int(c, 16)) for c in span.split("-")) for span in UNASSIGNED.split())
+HAS_UNASSIGNED = re.compile(f"[{_LATER}]").search
+#: The split for texts with such code points.
+PINNED_SPLIT = SPLIT.replace(r"[^\s\p{L}\p{N}]", rf"(?:[{_LATER}]|[^\s\p{{L}}\p{{N}}])").replace(r"\p{L}+", rf"(?:(?![{_LATER}])\p{{L}})+").replace(r"\p{N}+", rf"(?:(?![{_LATER}])\p{{N}})+")
 BEYOND_LATIN = re.compile(r"[^\0-\u024f]").search
 #: Words whose path a Python worker remembers in each of two generations, about 50 MB each.
 REMEMBERED = 200_000
 #: Arcs that a Python worker remembers.
 ARCS = 2_000_000
-#: Bytes of the longest label.
-LONGEST = 256
 #: Longer words are walked each time.
 REMEMBERED_LENGTH = 40
 
@@ -96,12 +107,14 @@ class TokenAutomaton:
         self.accepts: list[int] = [-1]
         for word, i in self.number.items():
             self._insert(word, i)
+        self.longest = max(map(len, self.number), default=1)
         self.arcs: dict[int, bool] = {}
         self.paths: dict[str, tuple[str, tuple[int, ...]]] = {}
         self.older: dict[str, tuple[str, tuple[int, ...]]] = {}
         cut = "|".join(regex.escape(w) for w in sorted(self.special, key=len, reverse=True))
         self.cut = regex.compile(f"({cut})") if cut else None
         self.split = regex.compile(SPLIT).findall
+        self.pinned_split = regex.compile(PINNED_SPLIT).findall
         self.latin_split = re.compile(LATIN_SPLIT).findall
 
     def _add(self, word: bytes, parts: tuple[bytes, bytes] | None, rank: int) -> None:
@@ -146,7 +159,7 @@ class TokenAutomaton:
 
     def _longest_label(self, word: bytes, at: int) -> int:
         step, accepts, node, label = self.trie.get, self.accepts, 0, -1
-        for byte in word[at : at + LONGEST] if at or len(word) > LONGEST else word:
+        for byte in word[at : at + self.longest] if at or len(word) > self.longest else word:
             node = step(node << 8 | byte)
             if node is None:
                 break
@@ -198,6 +211,12 @@ class TokenAutomaton:
             self.paths[word] = found
         return found
 
+    def words(self, text: str) -> list[str]:
+        """The pre-split words of a text without special tokens."""
+        if not BEYOND_LATIN(text):
+            return self.latin_split(text)
+        return self.pinned_split(text) if HAS_UNASSIGNED(text) else self.split(text)
+
     def _paths(self, text: str) -> Iterable[tuple[str, tuple[int, ...]]]:
         known, path = self.paths.get, self._path
         parts = self.cut.split(text) if self.cut and any(w in text for w in self.special) else [text]
@@ -205,8 +224,7 @@ class TokenAutomaton:
             if i % 2:
                 yield str(self.special[part]), (self.special[part],)
             else:
-                split = self.split if BEYOND_LATIN(part) else self.latin_split
-                yield from [known(w) or path(w) for w in split(part)]
+                yield from [known(w) or path(w) for w in self.words(part)]
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(ids for _, ids in self._paths(text)))

@@ -5,10 +5,12 @@ import math
 import random
 import zlib
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import pre_tokenizers
 
 from fibrelens.llm import bpe_automaton, maxent_lm, toxicity_trees
 from fibrelens.llm.queries import VOCABULARY
@@ -74,6 +76,16 @@ def test_tokens_match_the_library(docs):
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
 
 
+def test_every_code_point_is_split_as_the_library_does():
+    library = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+    automaton = bpe_automaton.TokenAutomaton(bpe_automaton.read_vocabulary(VOCABULARY))
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for low in range(0, len(points), 4096):
+        text = "".join(f"a{chr(c)}1{chr(c)} " for c in points[low : low + 4096])
+        ends = list(accumulate(map(len, automaton.words(text))))
+        assert ends == [span[1] for _, span in library.pre_tokenize_str(text)], hex(points[low])
+
+
 def test_every_label_is_its_own_path():
     automaton = bpe_automaton.TokenAutomaton(bpe_automaton.read_vocabulary(VOCABULARY))
     assert len(automaton.number) == 50256
