@@ -158,7 +158,8 @@ class CustomerState:
             self.spark.sql(insert, rows=dealt)
         else:
             writer = dealt.withColumn(LOAD, F.lit(load_day)).write.partitionBy(LOAD).bucketBy(self.buckets, bucket)
-            writer.sortBy(bucket).option("path", path).saveAsTable(table)
+            # A folder without rows may be left of an earlier session's load without rows.
+            writer.sortBy(bucket).option("path", path).mode("overwrite").saveAsTable(table)
 
     def _open(self, part: str, generation: int) -> bool:
         """Whether the table is in the catalog; files of an earlier session are made known to it."""
@@ -213,8 +214,12 @@ class CustomerState:
 
     def _partials(self, part: str) -> DataFrame:
         mark, generation = self._committed()
-        if mark is None or not self._open(part, generation):
+        if mark is None:
             raise ValueError(f"no refresh has been completed under {self.root}")
+        if not self._open(part, generation):  # no load had rows, and no file tells the schema
+            source = FACTS[part].source if part in FACTS else part
+            none = self.spark.createDataFrame([], table_schema(source))
+            return _merged(FACTS[part].rows(none), FACTS[part]) if part in FACTS else none
         return self.spark.table(self._table(part, generation)).filter(F.col(LOAD) <= F.lit(mark)).drop(LOAD)
 
     def facts(self, part: str) -> DataFrame:

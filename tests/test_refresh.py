@@ -92,6 +92,19 @@ def test_a_failed_refresh_is_neither_seen_nor_counted_twice(spark, bed, landing,
     assert counts(again) == (rows(customers.recharge_count(whole["plans"])), rows(payouts.fixed_payout_monthly(whole["disbursements"], AS_OF)))
 
 
+def test_sources_without_rows(spark, landing):
+    empty = {name: df.filter("false") for name, df in landing.items()}
+    state = fresh(spark)
+    state.advance(empty | {"plans": landing["plans"]}, LOADS[0])
+    again = fresh(spark, state.root)
+    for kept in (state, again):
+        seen = kept.customer_360(AS_OF).agg(F.count(F.lit(1)).alias("n"), F.count("tested_on").alias("tests"), F.count("address").alias("homes")).first()
+        assert seen.n > 0 == seen.tests == seen.homes
+        assert kept.wallet_transactions().count() == kept.fixed_payout_monthly(AS_OF).count() == 0
+    again.advance(landing, LOADS[1])
+    assert again.customer_360(AS_OF).filter("address is not null").count() > 0
+
+
 def test_only_loads_beyond_the_mark_are_read(spark, bed, landing):
     state = fresh(spark)
     state.advance(landing, LOADS[0])
