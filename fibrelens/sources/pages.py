@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import operator
+import sys
 from collections.abc import Callable, Iterator
 from datetime import UTC, date, datetime
 from decimal import ROUND_HALF_UP, Decimal, InvalidOperation
@@ -27,6 +28,8 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition
 
 BATCH = 4096
+#: Rows that a saved page holds on average at most, and characters at which it is full.
+PAGE_ROWS, PAGE_BYTES = 1 << 15, 1 << 23
 
 
 def _long(value: Any) -> int | None:
@@ -184,8 +187,6 @@ class ResultPages(DataSource):
 
 def load_pages(spark: SparkSession, name: str, path: str, aliases: dict[str, str] | None = None) -> DataFrame:
     """One logical table out of its saved pages. ``aliases`` maps page columns to ours."""
-    import sys
-
     from fibrelens.sources.schemas import ALIASES
     from fibrelens.sources.tables import table_schema
 
@@ -198,12 +199,41 @@ def load_pages(spark: SparkSession, name: str, path: str, aliases: dict[str, str
     return reader.load(path)
 
 
-def save_pages(df: DataFrame, path: str, pages: int) -> None:
-    """Write ``df`` as about ``pages`` pages, one file each, dealt by a hash of the row. A page is made
-    in one task, so ``pages`` should follow the size of ``df``."""
-    head = json.dumps({"cols": [{"name": c.upper()} for c in df.columns]})[1:-1]
+def _page_texts(head: str, page_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pages out of rows (page, row); a page of more than about ``page_bytes`` goes on in another one."""
+
+    def text(page: int, rows: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([head + ",".join(rows) + "]}}"])], ["page", "value"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = []
+        page = size = 0
+        for batch in batches:
+            for page, row in zip(batch.column("page").to_pylist(), batch.column("row").to_pylist()):
+                held.append(row)
+                size += len(row)
+                if size >= page_bytes:
+                    yield text(page, held)
+                    held, size = [], 0
+        if held:
+            yield text(page, held)
+
+    return join
+
+
+def save_pages(df: DataFrame, path: str, pages: int, page_rows: int = PAGE_ROWS, page_bytes: int = PAGE_BYTES) -> None:
+    """Write ``df`` as about ``pages`` pages, one file each, dealt by a hash of the row; as more pages
+    where ``df`` holds more than ``page_rows`` rows a page.
+
+    A page is made in one task and read in one, so its size has a bound: of a page that grows beyond
+    ``page_bytes`` the rest goes on in further files. Equal rows of different tasks go to different
+    pages.
+    """
+    n = max(pages, -(-df.count() // page_rows))
+    head = "{\"data\": {" + json.dumps({"cols": [{"name": c.upper()} for c in df.columns]})[1:-1] + ", \"rows\": ["
     values = F.to_json(F.array(*[F.col(f"`{c}`").cast("string") for c in df.columns]))
-    dealt = df.select(values.alias("row"), F.pmod(F.xxhash64(*df.columns), F.lit(pages)).alias("page"))
-    body = F.concat(F.lit("{\"data\": {" + head + ", \"rows\": ["), F.concat_ws(",", F.collect_list("row")), F.lit("]}}"))
-    whole = dealt.groupBy("page").agg(body.alias("value"))
-    whole.write.partitionBy("page").text(path)
+    page = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.spark_partition_id()), F.lit(n)).cast("int")
+    dealt = df.select(page.alias("page"), values.alias("row")).repartitionById(n, "page")
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    whole = dealt.mapInArrow(_page_texts(head, page_bytes), "page int, value string")
+    whole.write.option("maxRecordsPerFile", 1).partitionBy("page").text(path)

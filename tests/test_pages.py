@@ -43,6 +43,19 @@ def test_one_partition_per_page_and_filters(spark, saved):
         assert rows(got.filter(condition)) == rows(bed["plans"].filter(condition)) != [], condition
 
 
+def test_pages_are_bounded_whatever_the_number_asked_for(spark, tmp_path):
+    """Many rows make more pages, and equal rows, which hash alike, make several pages too."""
+    for name, devices in (("apart", "concat('D', id)"), ("equal", "'D'")):
+        table = spark.range(0, 2000, numPartitions=2).selectExpr("id % 3 AS partner_id", "string(null) AS customer_id", f"{devices} AS device_id", "'partner' AS location", "date(null) AS user_churn_date")
+        table = table if name == "apart" else table.withColumn("partner_id", F.lit(1).cast("bigint"))
+        save_pages(table, f"{tmp_path}/{name}", 2, page_rows=500, page_bytes=8192)
+        files = list((tmp_path / name).rglob("part-*.txt"))
+        assert len(files) > 4 and max(f.stat().st_size for f in files) < 16384
+        assert rows(load_pages(spark, "devices", f"{tmp_path}/{name}")) == rows(table)
+    save_pages(table.limit(0), f"{tmp_path}/none", 2)
+    assert not list((tmp_path / "none").rglob("part-*"))
+
+
 def page_file(tmp_path, page, name="p.json"):
     (tmp_path / name).write_text(page if isinstance(page, str) else json.dumps(page))
     return str(tmp_path)
