@@ -8,7 +8,9 @@ stand in one table per source, partitioned by load and bucketed by the key they
 - a refresh reads only rows beyond the high-water mark and adds one partition to each table,
 - a report merges all partials bucket by bucket, without a shuffle, and the facts of a customer
   (plan, name, address, install day; all bucketed by mobile) are joined in place,
-- one hot mobile or partner is a few rows of partials, never its raw rows.
+- one hot mobile or partner is a few rows of partials, never its raw rows,
+- a bucket is what a task holds, so the number of buckets follows the number of plan kinds: it is set
+  by the first load and by each compaction, and stands in the mark.
 
 The mark is written last. A refresh that failed before it leaves partitions that no report reads and
 that the next attempt overwrites; a load at or below the mark is not taken again. ``compact`` merges
@@ -21,12 +23,14 @@ again in a later session by these files.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from fibrelens.functions.joins import left_join_spread
 from fibrelens.functions.picks import salted_top_n
@@ -35,7 +39,20 @@ from fibrelens.operators import city, customers, payouts, wallet
 from fibrelens.sources.tables import table_schema
 
 LOAD = "load_day"
-BUCKETS = 64
+#: Least number of buckets, and kept plan rows in one.
+BUCKETS, BUCKET_ROWS = 64, 1 << 19
+#: Tables of a load that are written side by side, so that one's last tasks leave no core idle.
+WRITERS = 3
+MARK = "load_day date, generation int, buckets int"
+
+
+class Mark(NamedTuple):
+    """Load day and generation of the last complete refresh or compaction, and the tables' buckets; no
+    number in a mark of the time when it was fixed."""
+
+    load_day: date | None
+    generation: int
+    buckets: int | None
 
 
 class Fact(NamedTuple):
@@ -108,28 +125,28 @@ LEDGERS = {
 class CustomerState:
     """Kept state under ``root``; ``name`` starts the names of its tables in the catalog.
 
-    An object sees the state as it first found it, or as it has advanced it since.
+    ``buckets`` is the least number of buckets, ``bucket_rows`` the number of kept plan rows for which
+    there is one. An object sees the state as it first found it, or as it has advanced it since.
     """
 
-    def __init__(self, spark: SparkSession, root: str, name: str, buckets: int = BUCKETS):
-        self.spark, self.root, self.name, self.buckets = spark, root.rstrip("/"), name, buckets
+    def __init__(self, spark: SparkSession, root: str, name: str, buckets: int = BUCKETS, bucket_rows: int = BUCKET_ROWS):
+        self.spark, self.root, self.name, self.buckets, self.bucket_rows = spark, root.rstrip("/"), name, buckets, bucket_rows
         self._marks = f"{self.root}/marks"
-        self._last: tuple[date | None, int] | None = None
+        self._last: Mark | None = None
 
     # --- the mark
 
-    def _committed(self) -> tuple[date | None, int]:
-        """Load day and generation of the last complete refresh or compaction."""
+    def _committed(self) -> Mark:
         if self._last is None:
-            marks = self._found(self._marks)
-            last = marks and marks.agg(F.max(F.struct("generation", "load_day")).alias("last")).first()["last"]
-            self._last = (last["load_day"], last["generation"]) if last else (None, 0)
+            marks = self._found(self._marks, MARK)
+            last = marks and marks.agg(F.max(F.struct("generation", "load_day", "buckets")).alias("last")).first()["last"]
+            self._last = Mark(last["load_day"], last["generation"], last["buckets"]) if last else Mark(None, 0, None)
         return self._last
 
-    def _found(self, path: str) -> DataFrame | None:
+    def _found(self, path: str, schema: str | None = None) -> DataFrame | None:
         """The table at ``path``, None before anything was written there."""
         try:
-            return self.spark.read.parquet(path)
+            return (self.spark.read.schema(schema) if schema else self.spark.read).parquet(path)
         except AnalysisException as problem:
             if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
@@ -137,33 +154,47 @@ class CustomerState:
 
     def mark(self) -> date | None:
         """The last load that the state contains."""
-        return self._committed()[0]
+        return self._committed().load_day
 
-    def _commit(self, load_day: date, generation: int) -> None:
-        mark = self.spark.createDataFrame([(load_day, generation)], "load_day date, generation int")
-        mark.coalesce(1).write.mode("append").parquet(self._marks)
-        self._last = (load_day, generation)
+    def _commit(self, mark: Mark) -> None:
+        self.spark.createDataFrame([mark], MARK).coalesce(1).write.mode("append").parquet(self._marks)
+        self._last = mark
 
-    # --- writing
+    def _buckets_for(self, kept_rows: int) -> int:
+        return max(self.buckets, -(-kept_rows // self.bucket_rows))
 
-    def _table(self, part: str, generation: int) -> str:
-        return f"{self.name}_{part}_{generation}"
+    # --- writing
 
-    def _put(self, part: str, bucket: str, rows: DataFrame, load_day: date, generation: int) -> None:
-        """Write one load's partition, in place of an earlier attempt's."""
-        table, path = self._table(part, generation), f"{self.root}/{part}_{generation}"
-        dealt = rows.repartition(self.buckets, bucket)  # a task writes one file, that of its bucket
-        if self._open(part, generation):
-            insert = f"INSERT OVERWRITE TABLE {table} PARTITION ({LOAD} = DATE'{load_day}') SELECT * FROM {{rows}}"
+    def _place(self, part: str, mark: Mark) -> tuple[str, str, int]:
+        """Name, folder and buckets of a table of the mark's generation."""
+        suffix = f"{part}_{mark.generation}" + (f"_{mark.buckets}" if mark.buckets else "")
+        return f"{self.name}_{suffix}", f"{self.root}/{suffix}", mark.buckets or self.buckets
+
+    def _put(self, part: str, bucket: str, rows: DataFrame, mark: Mark) -> None:
+        """Write one load's partition, that of the coming ``mark``, in place of an earlier attempt's."""
+        table, path, buckets = self._place(part, mark)
+        dealt = rows.repartition(buckets, bucket)  # a task writes one file, that of its bucket
+        if self._open(part, mark):
+            insert = f"INSERT OVERWRITE TABLE {table} PARTITION ({LOAD} = DATE'{mark.load_day}') SELECT * FROM {{rows}}"
             self.spark.sql(insert, rows=dealt)
         else:
-            writer = dealt.withColumn(LOAD, F.lit(load_day)).write.partitionBy(LOAD).bucketBy(self.buckets, bucket)
+            writer = dealt.withColumn(LOAD, F.lit(mark.load_day)).write.partitionBy(LOAD).bucketBy(buckets, bucket)
             # A folder without rows may be left of an earlier session's load without rows.
             writer.sortBy(bucket).option("path", path).mode("overwrite").saveAsTable(table)
 
-    def _open(self, part: str, generation: int) -> bool:
+    def _put_all(self, facts: Callable[[str], DataFrame], ledgers: Callable[[str], DataFrame], mark: Mark) -> None:
+        """Write the partitions of all tables, some tables at a time, and then the mark."""
+        writes = [(part, fact.bucket, facts(part)) for part, fact in FACTS.items()]
+        writes += [(ledger, "partner_id", ledgers(ledger)) for ledger in LEDGERS]
+        put = inheritable_thread_target(self.spark)(lambda write: self._put(*write, mark))
+        with ThreadPoolExecutor(WRITERS) as pool:
+            for done in [pool.submit(put, write) for write in writes]:
+                done.result()
+        self._commit(mark)
+
+    def _open(self, part: str, mark: Mark) -> bool:
         """Whether the table is in the catalog; files of an earlier session are made known to it."""
-        table, path = self._table(part, generation), f"{self.root}/{part}_{generation}"
+        table, path, buckets = self._place(part, mark)
         if self.spark.catalog.tableExists(table):
             return True
         files = self._found(path)
@@ -173,7 +204,7 @@ class CustomerState:
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
         self.spark.sql(
             f"CREATE TABLE {table} ({columns}) USING parquet PARTITIONED BY ({LOAD}) "
-            f"CLUSTERED BY ({bucket}) SORTED BY ({bucket}) INTO {self.buckets} BUCKETS LOCATION '{path}'"
+            f"CLUSTERED BY ({bucket}) SORTED BY ({bucket}) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
         self.spark.sql(f"MSCK REPAIR TABLE {table}")
         return True
@@ -184,43 +215,39 @@ class CustomerState:
         Landing tables have the columns of the logical tables and ``load_day``, by which they should
         be partitioned, so that only new loads are read.
         """
-        mark, generation = self._committed()
+        mark, generation, buckets = self._committed()
         if mark is not None and load_day <= mark:
             return False
         new = F.col(LOAD) <= F.lit(load_day)
         if mark is not None:
             new = new & (F.col(LOAD) > F.lit(mark))
-        for part, fact in FACTS.items():
-            rows = fact.rows(landing[fact.source].filter(new))
-            self._put(part, fact.bucket, _merged(rows, fact), load_day, generation)
-        for ledger in LEDGERS:
-            rows = landing[ledger].filter(new & F.col("partner_id").isNotNull()).drop(LOAD)
-            self._put(ledger, "partner_id", _newest_rows(rows, ledger), load_day, generation)
-        self._commit(load_day, generation)
+        else:  # all that lies in the landing table will be in the state
+            buckets = self._buckets_for(landing["plans"].agg(F.approx_count_distinct(F.xxhash64(*customers.PLAN_KIND))).first()[0])
+        facts = lambda part: _merged(FACTS[part].rows(landing[FACTS[part].source].filter(new)), FACTS[part])
+        rows = lambda ledger: landing[ledger].filter(new & F.col("partner_id").isNotNull()).drop(LOAD)
+        self._put_all(facts, lambda ledger: _newest_rows(rows(ledger), ledger), Mark(load_day, generation, buckets))
         return True
 
     def compact(self) -> None:
         """Merge the partials of all loads into one partition each, in new tables."""
-        mark, generation = self._committed()
+        mark, generation, _ = self._committed()
         if mark is None:
             return
-        for part, fact in FACTS.items():
-            self._put(part, fact.bucket, self.facts(part), mark, generation + 1)
-        for ledger in LEDGERS:
-            self._put(ledger, "partner_id", _newest_rows(self._partials(ledger), ledger), mark, generation + 1)
-        self._commit(mark, generation + 1)
+        buckets = self._buckets_for(self.facts("plan_kinds").count())
+        newest = lambda ledger: _newest_rows(self._partials(ledger), ledger)
+        self._put_all(self.facts, newest, Mark(mark, generation + 1, buckets))
 
     # --- reading
 
     def _partials(self, part: str) -> DataFrame:
-        mark, generation = self._committed()
-        if mark is None:
+        mark = self._committed()
+        if mark.load_day is None:
             raise ValueError(f"no refresh has been completed under {self.root}")
-        if not self._open(part, generation):  # no load had rows, and no file tells the schema
+        if not self._open(part, mark):  # no load had rows, and no file tells the schema
             source = FACTS[part].source if part in FACTS else part
             none = self.spark.createDataFrame([], table_schema(source))
             return _merged(FACTS[part].rows(none), FACTS[part]) if part in FACTS else none
-        return self.spark.table(self._table(part, generation)).filter(F.col(LOAD) <= F.lit(mark)).drop(LOAD)
+        return self.spark.table(self._place(part, mark)[0]).filter(F.col(LOAD) <= F.lit(mark.load_day)).drop(LOAD)
 
     def facts(self, part: str) -> DataFrame:
         """The merged facts of one source."""

@@ -116,6 +116,20 @@ def test_only_loads_beyond_the_mark_are_read(spark, bed, landing):
     assert not state.advance(other, date(2001, 7, 1))
 
 
+def test_the_number_of_buckets_follows_the_kept_rows(spark, bed, landing):
+    state = CustomerState(spark, new_table_path(spark, "state"), f"state_{uuid.uuid4().hex}", buckets=2, bucket_rows=700)
+    state.advance(landing, LOADS[0])
+    assert 7 <= state.facts("plan_kinds").rdd.getNumPartitions() <= 10  # about 6,000 kinds in all loads
+    state.advance(landing, LOADS[2])
+    same_as_whole(state, bed, LOADS[2])
+    # Another session goes by the number in the mark; a compaction sets it anew.
+    again = CustomerState(spark, state.root, f"state_{uuid.uuid4().hex}", buckets=3, bucket_rows=2000)
+    same_as_whole(again, bed, LOADS[2])
+    again.compact()
+    assert again.facts("plan_kinds").rdd.getNumPartitions() in (3, 4)
+    same_as_whole(again, bed, LOADS[2])
+
+
 def test_customer_facts_are_joined_without_a_shuffle(spark, landing):
     state = fresh(spark)
     for day in LOADS:
