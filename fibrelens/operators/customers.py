@@ -4,7 +4,9 @@ A customer is a (partner, mobile) pair. The parts are available one by one, but
 ``customer_360`` does not join them one by one: plan facts come from a single
 aggregation, the facts per mobile from one aggregation over three tagged sources, and
 those per NAS id from one over two, which leaves four joins of already reduced rows.
-Each of these stands between two shuffles, where a hot join key can be split at run time;
+The join by mobile follows the plan facts' own shuffle in place; of all partners' plan rows
+there is no other shuffle before it. Each other join stands between two shuffles, where a hot
+join key can be split at run time;
 customers without a NAS id, device or account are dealt evenly over the tasks of their join.
 
 For a few partners, their customers are found first and stored; that small table then says
@@ -249,16 +251,23 @@ def order_customers(customers: DataFrame, as_of: AsOf) -> DataFrame:
 # --- whole view ------------------------------------------------------------------------
 
 
-def _plan_facts(plans: DataFrame) -> DataFrame:
-    """Everything known from plan rows, one row per customer.
+def _plan_facts(plans: DataFrame, by_mobile: DataFrame | None = None) -> DataFrame:
+    """Everything known from plan rows, one row per customer, joined with the facts ``by_mobile``.
 
-    Raw rows are hashed, not sorted: columns of varying width (device, speed) are grouping keys of
-    the first step, with the price, of which a customer has few; the plan's start and length are a
-    packed pair. The second step picks among a customer's few reduced rows.
+    Plan rows are shuffled once, by mobile: kinds, customers and the join with ``by_mobile`` all
+    follow in place. Raw rows are hashed, not sorted: columns of varying width (device, speed) are
+    grouping keys of the first step, with the price, of which a customer has few; the plan's start
+    and length are a packed pair. The second step picks among a customer's few reduced rows. Rows
+    without a mobile, which would meet in one task, are reduced by partner on their own.
     """
-    rows = plan_rows(plans)
+    rows = plan_rows(plans.filter(F.col("mobile").isNotNull())).repartition("mobile")
     kinds = rows.groupBy(*PLAN_KIND).agg(*[getattr(F, how)(name).alias(name) for name, how in PLAN_FACTS.items()])
-    return facts_of_kinds(kinds, plans.schema["plan_start_time"].dataType)
+    facts = facts_of_kinds(kinds, plans.schema["plan_start_time"].dataType)
+    if by_mobile is not None:
+        facts = facts.join(by_mobile, "mobile", "left").select(*facts.columns, *[c for c in by_mobile.columns if c != "mobile"])
+    ids = _own(plans).filter(F.col("mobile").isNull()).groupBy("partner_id").agg(F.max("nas_id").alias("nas_id"))
+    given = {"partner_id": F.col("partner_id"), "nas_id": F.col("nas_id"), "recharge_count": F.lit(0)}
+    return facts.union(ids.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in facts.schema]))
 
 
 #: Kinds of plan rows, and how the facts of several rows or parts of a kind become one.
@@ -392,15 +401,15 @@ def customer_360(
     customers are then computed first, into the shared folder, and of the side tables only these
     customers' rows are aggregated and shuffled.
     """
+    by_mobile = (bookings, booking_events, task_events, tz_offset_min)
     if partners is None:
-        facts = with_device(_plan_facts(plans), devices)
         only = lambda rows, key: rows
+        joined = with_device(_plan_facts(plans, _mobile_facts(*by_mobile, only)), devices)
     else:
         facts = known_customers(plans, devices, partners)
         only = lambda rows, key: of_keys(rows, facts, key)
-    joined = facts
+        joined = left_join_spread(facts, _mobile_facts(*by_mobile, only), ["mobile"], by=["mobile", "partner_id"])
     for other, key in (
-        (_mobile_facts(bookings, booking_events, task_events, tz_offset_min, only), "mobile"),
         (_nas_facts(daily_usage, optical_readings, only), "nas_id"),
         (newest_speed(only(speed_tests, "device_id")).withColumnsRenamed({"speed": "actual_speed_mbps"}), "device_id"),
     ):

@@ -258,3 +258,24 @@ def test_each_text_is_parsed_once(table):
     assert "get_json_object" not in text and "variant" in text.lower()
     inner = [line for line in text.splitlines() if "concat_ws" in line]
     assert len(inner) == 1
+
+
+def test_plan_rows_are_shuffled_once_by_mobile(spark, sources):
+    """Customers and their facts by mobile follow in place; rows without a mobile are reduced beforehand."""
+    lost = [plan(None, nas_id=n, device_id=f"D{n}", account_id=n, charges=5) for n in (3, 9, 4)] + [plan(None, partner=2)]
+    tables = sources(
+        plans=[plan("a", nas_id=1, charges=1), plan("a", partner=2), *lost],
+        bookings=[dict(mobile="a", name="Ann", is_deleted=False), dict(mobile=None, name="None", is_deleted=False)],
+        optical_readings=[dict(nas_id=9, avg_optical_dbm=-20.0, date_ist="2024-03-01")],
+        devices=[dict(partner_id=1, customer_id="9", device_id="D9")],
+    )
+    got = {(r["partner_id"], r["mobile"]): r.asDict() for r in view(tables).collect()}
+    assert len(got) == 4 and got[1, "a"]["name"] == got[2, "a"]["name"] == "Ann"
+    assert [got[1, None][n] for n in ("name", "avg_optical_dbm", "recharge_count", "plan_expiry", "status")] == [None, -20.0, 0, None, "No Plan"]
+    assert got[2, None]["avg_optical_dbm"] is None
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        steps = view(tables)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert steps.count("Exchange hashpartitioning(mobile#") == 2  # the plan rows and the facts by mobile
