@@ -136,3 +136,23 @@ def test_calibration_does_not_decrease():
     margin = chance.normal(size=500)
     at, rate = toxicity_trees.isotonic(margin, (chance.random(500) < 1 / (1 + np.exp(-margin))).astype(float))
     assert (np.diff(at) > 0).all() and (np.diff(rate) >= 0).all() and 0 < rate[0] and rate[-1] < 1
+
+
+def test_a_piece_takes_little_memory():
+    """Features of long rows of text are made of small pieces, with the same results as in one."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from fibrelens.llm.bytescan import pieces
+
+    texts = [prose(i, 400) for i in range(1200)]
+    lexicon = toxicity_trees.Lexicon({b"market": 1.5}, {})
+    whole = [toxicity_trees.features(data, offsets, lexicon) for _, _, data, offsets in pieces(pa.array(texts), 1 << 30)]
+    tracemalloc.start()
+    parts = [toxicity_trees.features(data, offsets, lexicon) for _, _, data, offsets in pieces(pa.array(texts))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, texts)) > 2 << 20 and len(parts) > 4
+    assert peak < 60 << 20
+    assert np.allclose(np.vstack(parts), np.vstack(whole), rtol=1e-12)
