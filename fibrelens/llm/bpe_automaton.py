@@ -23,7 +23,6 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable
-from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -51,7 +50,7 @@ HAS_UNASSIGNED = re.compile(f"[{_LATER}]").search
 #: The split for texts with such code points.
 PINNED_SPLIT = SPLIT.replace(r"[^\s\p{L}\p{N}]", rf"(?:[{_LATER}]|[^\s\p{{L}}\p{{N}}])").replace(r"\p{L}+", rf"(?:(?![{_LATER}])\p{{L}})+").replace(r"\p{N}+", rf"(?:(?![{_LATER}])\p{{N}})+")
 BEYOND_LATIN = re.compile(r"[^\0-\u024f]").search
-#: Words whose path a Python worker remembers in each of two generations, about 50 MB each.
+#: Words whose path a Python worker remembers in each of two generations, each path as one text of decimal ids.
 REMEMBERED = 200_000
 #: Arcs that a Python worker remembers.
 ARCS = 2_000_000
@@ -109,8 +108,8 @@ class TokenAutomaton:
             self._insert(word, i)
         self.longest = max(map(len, self.number), default=1)
         self.arcs: dict[int, bool] = {}
-        self.paths: dict[str, tuple[str, tuple[int, ...]]] = {}
-        self.older: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.paths: dict[str, str] = {}
+        self.older: dict[str, str] = {}
         cut = "|".join(regex.escape(w) for w in sorted(self.special, key=len, reverse=True))
         self.cut = regex.compile(f"({cut})") if cut else None
         self.split = regex.compile(SPLIT).findall
@@ -119,8 +118,8 @@ class TokenAutomaton:
 
     def _add(self, word: bytes, parts: tuple[bytes, bytes] | None, rank: int) -> None:
         end = [(word, self.never)]
-        self.right[word] = end + ([(p, min(r, rank)) for p, r in self.right[parts[1]]] if parts else [])
-        self.left[word] = end + ([(p, min(r, rank)) for p, r in self.left[parts[0]]] if parts else [])
+        self.right[word] = end + ([s if s[1] <= rank else (s[0], rank) for s in self.right[parts[1]]] if parts else [])
+        self.left[word] = end + ([s if s[1] <= rank else (s[0], rank) for s in self.left[parts[0]]] if parts else [])
 
     def _gadget(self, x: bytes, y: bytes, rank: int) -> None:
         """Add the arc xy, and let the pair x y take part in blocking arcs from here on."""
@@ -200,11 +199,10 @@ class TokenAutomaton:
                 at -= length[label]
             label = shorter
 
-    def _path(self, word: str) -> tuple[str, tuple[int, ...]]:
+    def _path(self, word: str) -> str:
         found = self.older.get(word)
         if found is None:
-            ids = tuple(self.walk(word.encode()))
-            found = (",".join(map(str, ids)), ids)
+            found = ",".join(map(str, self.walk(word.encode())))
         if len(word) <= REMEMBERED_LENGTH:
             if len(self.paths) >= REMEMBERED:
                 self.older, self.paths = self.paths, {}
@@ -217,22 +215,22 @@ class TokenAutomaton:
             return self.latin_split(text)
         return self.pinned_split(text) if HAS_UNASSIGNED(text) else self.split(text)
 
-    def _paths(self, text: str) -> Iterable[tuple[str, tuple[int, ...]]]:
+    def _paths(self, text: str) -> Iterable[str]:
         known, path = self.paths.get, self._path
         parts = self.cut.split(text) if self.cut and any(w in text for w in self.special) else [text]
         for i, part in enumerate(parts):
             if i % 2:
-                yield str(self.special[part]), (self.special[part],)
+                yield str(self.special[part])
             else:
                 yield from [known(w) or path(w) for w in self.words(part)]
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(ids for _, ids in self._paths(text)))
+        return self.encode_joined(text)[1]
 
     def encode_joined(self, text: str) -> tuple[str, list[int]]:
         """Decimal ids joined by commas, and the ids."""
-        paths = list(self._paths(text))
-        return ",".join([p[0] for p in paths]), list(chain.from_iterable([p[1] for p in paths]))
+        joined = ",".join(self._paths(text))
+        return joined, list(map(int, joined.split(","))) if joined else []
 
     def decode(self, ids: Iterable[int]) -> str:
         """Emit the arc labels; bytes that are no UTF-8 become U+FFFD."""

@@ -22,7 +22,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored, unused
+from .shared import kept_rows, stored
 
 #: Rows of keys (about 100 bytes each) that a bucket may hold before it splits.
 CAPACITY = 100_000
@@ -99,9 +99,5 @@ def find_duplicates(docs: DataFrame, capacity: int = CAPACITY, max_depth: int =
 
 def drop_duplicates(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
     """The rows of ``docs`` that stay, one per text, with all their columns."""
-    doc, key, own = (unused(name, docs) for name in ("_doc", "_key", "_own"))
-    kept = find_duplicates(docs, capacity, max_depth).filter("kept").select(F.col("doc_id").alias(doc), F.col("h").alias(key))
-    keyed = docs.withColumn(own, F.xxhash64(normalised(F.col("text"))))
-    rows = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(key)), "left_semi")
-    # Only rows that repeat both doc_id and text are left to drop; they are already side by side.
-    return rows.dropDuplicates(["doc_id", own]).select(*docs.columns)
+    kept = find_duplicates(docs, capacity, max_depth).filter("kept")
+    return kept_rows(docs, F.xxhash64(normalised(F.col("text"))), kept, "h")

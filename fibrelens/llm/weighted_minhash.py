@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytescan import ALNUM_WORDS, mix, pieces, words
-from .shared import ship, stored, unused
+from .shared import kept_rows, ship, stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -60,7 +60,7 @@ MISSED = 1e-6
 #: Share of a weight that follows the inverse document frequency.
 DAMPING = 0.2
 #: About so much weight and so many nodes are in a block of an open bucket, and shingles in a step of their product.
-BLOCK_WEIGHT, BLOCK_NODES, STEP = 1 << 17, 512, 4096
+BLOCK_WEIGHT, BLOCK_NODES, STEP = 1 << 17, 512, 1024
 
 _U = np.uint64
 _SHORT = _U(0xFFFFFFFF)
@@ -275,8 +275,8 @@ def _verify(weights, threshold: float):
             sides = [batch.column(name) for name in ("pivot_bag", "bag")]
             size = np.cumsum(sum(np.diff(side.offsets.to_numpy()) for side in sides))
             keep, low = [np.zeros(0, bool)], 0
-            while low < batch.num_rows:  # blocks of about a million shingles, one pair at least
-                high = int(np.searchsorted(size, size[low] + (1 << 20), "right"))
+            while low < batch.num_rows:  # blocks of about a quarter of a million shingles, one pair at least
+                high = int(np.searchsorted(size, size[low] + (1 << 18), "right"))
                 high = min(max(high, low + 1), low + (1 << 16))
                 bags_of = [_unpacked(side.slice(low, high - low)) for side in sides]
                 keep.append(weighted_jaccard(*bags_of, high - low, table) >= threshold)
@@ -469,8 +469,5 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that stay, one per class, with all their columns."""
-    doc, key, own = (unused(name, docs) for name in ("_doc", "_key", "_own"))
-    kept = near_duplicates(docs, threshold).filter("kept").select(F.col("doc_id").alias(doc), F.col("text_key").alias(key))
-    keyed = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(key)), "left_semi")
-    return rows.dropDuplicates(["doc_id", own]).select(*docs.columns)
+    kept = near_duplicates(docs, threshold).filter("kept")
+    return kept_rows(docs, F.xxhash64(F.coalesce("text", F.lit(""))), kept, "text_key")
