@@ -19,17 +19,17 @@ aggregation: other customers' rows go as they are read.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fibrelens.functions.joins import Ids, left_join_spread, of_ids, of_keys
+from fibrelens.functions.joins import SPREAD, Ids, left_join_spread, of_ids, of_keys
 from fibrelens.functions.picks import newest_per, packed, unpacked
 from fibrelens.functions.times import AsOf, add_seconds, date_lit, day_gap, shift_minutes, ts_lit
 from fibrelens.functions.values import DASH, blank_to_null, fixed, json_text, not_nan, or_dash, or_zero, percent
-from fibrelens.session import kept
+from fibrelens.session import kept, passing
 
 IST_MINUTES = 330
 
@@ -251,47 +251,72 @@ def order_customers(customers: DataFrame, as_of: AsOf) -> DataFrame:
 # --- whole view ------------------------------------------------------------------------
 
 
-def _plan_facts(plans: DataFrame, by_mobile: DataFrame | None = None) -> DataFrame:
+def _plan_facts(plans: DataFrame, devices: DataFrame | None = None, by_mobile: DataFrame | None = None) -> DataFrame:
     """Everything known from plan rows, one row per customer, joined with the facts ``by_mobile``.
 
-    Plan rows are shuffled once, by mobile: kinds, customers and the join with ``by_mobile`` all
-    follow in place. Raw rows are hashed, not sorted: columns of varying width (device, speed) are
-    grouping keys of the first step, with the price, of which a customer has few; the plan's start
-    and length are a packed pair. The second step picks among a customer's few reduced rows. Rows
-    without a mobile, which would meet in one task, are reduced by partner on their own.
+    Plan rows are shuffled once by mobile: kinds, customers and the join with ``by_mobile`` all follow
+    in place. Raw rows are hashed, not sorted: columns of varying width (device, speed) are grouping
+    keys of the first step, with the price, of which a customer has few; the plan's start and length
+    are a packed pair. The second step picks among a customer's few reduced rows. Rows without a
+    mobile are dealt by partner.
+
+    With ``devices``, each row first gets the device of its own account, and the customer that of the
+    largest account. As it is a left join of its own, Spark leaves it out where no device is asked for.
     """
-    rows = plan_rows(plans.filter(F.col("mobile").isNotNull())).repartition("mobile")
-    kinds = rows.groupBy(*PLAN_KIND).agg(*[getattr(F, how)(name).alias(name) for name, how in PLAN_FACTS.items()])
-    facts = facts_of_kinds(kinds, plans.schema["plan_start_time"].dataType)
+    rows = plan_rows(plans)
+    if devices is not None:
+        known = device_lookup(devices).withColumnRenamed("customer_id", "_account")
+        accounts = rows.withColumn("_account", F.col("account_id").cast("string"))
+        rows = left_join_spread(accounts, known, ["_account", "partner_id"], by=["mobile", "partner_id"])
+        rows = rows.withColumn("_lookup", F.struct("account_id", "lookup_device_id"))
+    rows = rows.withColumn("_deal", _mobile_deal("partner_id")).repartition("mobile", "_deal")
+    facts = PLAN_FACTS if devices is None else PLAN_FACTS | {"_lookup": "max"}
+    kinds = rows.groupBy(*PLAN_KIND, "_deal").agg(*[getattr(F, how)(name).alias(name) for name, how in facts.items()])
+    largest = IDS if devices is None else (*IDS, "_lookup")
+    found = facts_of_kinds(kinds, plans.schema["plan_start_time"].dataType, largest, ("_deal",))
+    if devices is not None:
+        found = found.withColumn("device_id", F.coalesce("device_id", "_lookup.lookup_device_id")).drop("_lookup")
     if by_mobile is not None:
-        facts = facts.join(by_mobile, "mobile", "left").select(*facts.columns, *[c for c in by_mobile.columns if c != "mobile"])
-    ids = _own(plans).filter(F.col("mobile").isNull()).groupBy("partner_id").agg(F.max("nas_id").alias("nas_id"))
-    given = {"partner_id": F.col("partner_id"), "nas_id": F.col("nas_id"), "recharge_count": F.lit(0)}
-    return facts.union(ids.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in facts.schema]))
+        found = found.join(by_mobile, ["mobile", "_deal"], "left")
+    return found.drop("_deal")
+
+
+def _mobile_deal(*by: str) -> Column:
+    """0 for rows with a mobile; the others are dealt by the columns ``by``.
+
+    The 0 is not a literal, which Spark would take out of the grouping keys, so that tables grouped by
+    mobile and this column could not be joined in place.
+    """
+    zero = F.length("mobile") * 0
+    return F.coalesce(zero, F.pmod(F.xxhash64(*by), F.lit(SPREAD)).cast("int") + 1) if by else zero
 
 
 #: Kinds of plan rows, and how the facts of several rows or parts of a kind become one.
 PLAN_KIND = ("mobile", "partner_id", "device_id", "charges", "speed_mbps")
 PLAN_FACTS = {"nas_id": "max", "account_id": "max", "_packed": "max", "_rows": "sum"}
+IDS = ("nas_id", "device_id", "account_id")
 
 
 def plan_rows(plans: DataFrame) -> DataFrame:
-    """Plan rows as PLAN_KIND and PLAN_FACTS."""
+    """Plan rows as PLAN_KIND and PLAN_FACTS. Of rows without a mobile only the NAS id counts; they are
+    one kind per partner."""
+    has_mobile = F.col("mobile").isNotNull()
+    rows = _own(plans).withColumns({c: F.when(has_mobile, F.col(c)) for c in ("device_id", "charges", "speed_mbps", "account_id")})
     pair = packed(F.col("plan_start_time"), F.col("time_plan"))
-    return _own(plans).select(*PLAN_KIND, "nas_id", "account_id", pair.alias("_packed"), F.lit(1).cast("bigint").alias("_rows"))
+    return rows.select(*PLAN_KIND, "nas_id", "account_id", pair.alias("_packed"), F.lit(1).cast("bigint").alias("_rows"))
 
 
-def facts_of_kinds(kinds: DataFrame, time_type: T.DataType) -> DataFrame:
-    """One row per customer out of one row per kind.
+def facts_of_kinds(
+    kinds: DataFrame, time_type: T.DataType, largest: Sequence[str] = IDS, also_by: Sequence[str] = ()
+) -> DataFrame:
+    """One row per customer out of one row per kind, with the maximum of the columns ``largest``.
 
     Rows without a mobile form a customer of their own that has ids but, as nothing can be
     matched to a missing mobile, no plan, recharges or device.
     """
     has_mobile = F.col("mobile").isNotNull()
-    picked = kinds.groupBy("mobile", "partner_id").agg(
-        F.max("nas_id").alias("nas_id"),
-        F.max("device_id").alias("device_id"),
-        F.max("account_id").alias("account_id"),
+    picked = kinds.groupBy("mobile", "partner_id", *also_by).agg(
+        *[F.max(c).alias(c) for c in largest],
         F.max(F.struct("_packed", "charges", "speed_mbps")).alias("_plan"),
         F.sum(F.when(F.col("charges") > 0, F.col("_rows"))).alias("_recharges"),
     )
@@ -300,8 +325,8 @@ def facts_of_kinds(kinds: DataFrame, time_type: T.DataType) -> DataFrame:
     return picked.select(
         "partner_id",
         "mobile",
-        "nas_id",
-        *[F.when(has_mobile, F.col(c)).alias(c) for c in ("device_id", "account_id")],
+        *also_by,
+        *[F.when(has_mobile, F.col(c)).alias(c) if c in ("device_id", "account_id") else c for c in largest],
         *[F.when(has_mobile, value).alias(name) for name, value in plan.items()],
         F.when(has_mobile, or_zero(F.col("_recharges"))).otherwise(0).alias("recharge_count"),
     )
@@ -327,7 +352,7 @@ def _mobile_facts(
     tz_offset_min: int,
     only: Callable[[DataFrame, str], DataFrame],
 ) -> DataFrame:
-    """Name, latest address and install day per mobile, in one shuffle.
+    """Name, latest address and install day per mobile, in one shuffle, dealt as ``_plan_facts``.
 
     ``only`` leaves the asked-for customers' rows. The address is taken apart after the
     aggregation, once per mobile.
@@ -342,11 +367,12 @@ def _mobile_facts(
         .unionByName(_tagged(updates, "mobile", facts, _update=F.col("_update")))
         .unionByName(_tagged(verifications(task_events), "mobile", facts, _verified=F.col("added_time")))
     )
-    picked = rows.groupBy("mobile").agg(
+    picked = rows.groupBy("mobile", _mobile_deal().alias("_deal")).agg(
         F.min("_name").alias("customer_name"), F.max("_update").alias("_update"), F.min("_verified").alias("_verified")
     )
     return picked.select(
         "mobile",
+        "_deal",
         "customer_name",
         address_text(F.col("_update.address_json")).alias("address"),
         install_day(F.col("_verified"), tz_offset_min).alias("install_date"),
@@ -392,23 +418,32 @@ def customer_360(
     as_of: AsOf,
     tz_offset_min: int = IST_MINUTES,
     partners: Ids | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """One row per customer: name, address, install day, last ping, plan, status and signal.
 
     Expiry is shifted by ``tz_offset_min`` and then compared with the unshifted ``as_of``.
 
+    With ``stored``, the joined rows of the whole view are computed first, step by step, into the shared
+    folder: for reports that read all its columns, or read it twice, and for disks that do not hold the
+    shuffle files of the whole view at once (``_joined_in_steps``).
+
     ``partners`` (a list of ids, or a table with them in its first column) restricts the view. Their
     customers are then computed first, into the shared folder, and of the side tables only these
     customers' rows are aggregated and shuffled.
     """
     by_mobile = (bookings, booking_events, task_events, tz_offset_min)
+    if stored and partners is None:
+        only = lambda rows, key: rows
+        signals = (_nas_facts(daily_usage, optical_readings, only), newest_speed(speed_tests))
+        return finish(_joined_in_steps(plans, devices, _mobile_facts(*by_mobile, only), *signals), as_of, tz_offset_min)
     if partners is None:
         only = lambda rows, key: rows
-        joined = with_device(_plan_facts(plans, _mobile_facts(*by_mobile, only)), devices)
+        joined = _plan_facts(plans, devices, _mobile_facts(*by_mobile, only))
     else:
         facts = known_customers(plans, devices, partners)
         only = lambda rows, key: of_keys(rows, facts, key)
-        joined = left_join_spread(facts, _mobile_facts(*by_mobile, only), ["mobile"], by=["mobile", "partner_id"])
+        joined = left_join_spread(facts, _mobile_facts(*by_mobile, only).drop("_deal"), ["mobile"], by=["mobile", "partner_id"])
     for other, key in (
         (_nas_facts(daily_usage, optical_readings, only), "nas_id"),
         (newest_speed(only(speed_tests, "device_id")).withColumnsRenamed({"speed": "actual_speed_mbps"}), "device_id"),
@@ -417,6 +452,74 @@ def customer_360(
     return finish(joined, as_of, tz_offset_min)
 
 
+#: What a customer has by its NAS id and by its device, in a column each.
+_SIGNALS = {
+    "_nas": ("last_ping", "avg_optical_dbm", "optical_health", "optical_date"),
+    "_speed": ("speed", "latency", "jitter", "tested_on"),
+}
+
+#: Stores a table under a name.
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+def found_signals(
+    ids: DataFrame, devices: DataFrame, by_nas: DataFrame, by_device: DataFrame, keep: Keep, keep_ids: Keep
+) -> DataFrame:
+    """The customers of ``ids`` that have a row in ``by_nas`` or ``by_device``, as columns of _SIGNALS; of
+    a customer with both there are two rows.
+
+    Customers without a device alone meet the device table, and only what is found goes on.
+    """
+    key = ("mobile", "partner_id")
+    ids = ids.withColumns({c: F.when(F.col("mobile").isNotNull(), F.col(c)) for c in ("device_id", "account_id")})
+    has_device = F.col("device_id").isNotNull()
+    lacking = ids.filter(~has_device & F.col("account_id").isNotNull())
+    looked_up = keep_ids(with_device(lacking, devices).filter(has_device).select(*key, "device_id"), "looked-up")
+    in_use = ids.filter(has_device).select(*key, "device_id").union(looked_up)
+    nas, speed = (F.struct(*names).alias(signal) for signal, names in _SIGNALS.items())
+    on_nas = keep(ids.select(*key, "nas_id").join(by_nas, "nas_id").select(*key, nas), "on-nas")
+    on_device = keep(in_use.join(by_device, "device_id").select(*key, speed), "on-device")
+    return on_nas.unionByName(on_device, allowMissingColumns=True)
+
+
+def _joined_in_steps(
+    plans: DataFrame, devices: DataFrame, by_mobile: DataFrame, by_nas: DataFrame, by_device: DataFrame
+) -> DataFrame:
+    """The joins of the whole view, stored, with no more on disk than a step needs.
+
+    In one plan, the rows of all customers are shuffled once per join with all their columns, and these
+    files lie on disk until the last join is done. Here the ids alone are joined first. What they find
+    meets the plan rows, this time without ids, in the shuffle by mobile; customers and the join with the
+    facts ``by_mobile`` follow in place. Each step is stored and its shuffle files go; tables that only
+    later steps read go after these.
+    """
+    spark = plans.sparkSession
+    with passing(spark) as keep:
+        with passing(spark) as keep_ids:
+            ids = keep_ids(partner_mobiles(plans.repartition("mobile", "partner_id")), "ids")
+            signals = found_signals(ids, devices, by_nas, by_device, keep, keep_ids)
+        by_mobile = keep(by_mobile, "by-mobile")
+        return kept(shown_signals(_plans_with_signals(plans, signals).join(by_mobile, ["mobile", "_deal"], "left")), "customers")
+
+
+def _plans_with_signals(plans: DataFrame, signals: DataFrame) -> DataFrame:
+    """``_plan_facts`` without ids, and the signals, dealt by mobile."""
+    has_mobile, n = F.col("mobile").isNotNull(), F.lit(1).cast("bigint")
+    rows = _own(plans).select("mobile", "partner_id", *[F.when(has_mobile, F.col(c)).alias(c) for c in _PLAN_FIELDS], n.alias("_rows"))
+    rows = rows.unionByName(signals, allowMissingColumns=True).withColumn("_deal", _mobile_deal("partner_id"))
+    # The packed pair is wider than its parts, so it is made after the shuffle.
+    dealt = rows.repartition("mobile", "_deal").withColumn("_packed", packed(F.col("plan_start_time"), F.col("time_plan")))
+    by = ("mobile", "partner_id", "_deal", "charges", "speed_mbps", *_SIGNALS)
+    kinds = dealt.groupBy(*by).agg(F.max("_packed").alias("_packed"), F.sum("_rows").alias("_rows"))
+    return facts_of_kinds(kinds, plans.schema["plan_start_time"].dataType, tuple(_SIGNALS), ("_deal",))
+
+
+def shown_signals(customers: DataFrame) -> DataFrame:
+    """The columns of _SIGNALS taken apart."""
+    parts = [F.col(f"{signal}.{name}") for signal, names in _SIGNALS.items() for name in names]
+    return customers.select("*", *parts).drop(*_SIGNALS, "_deal").withColumnRenamed("speed", "actual_speed_mbps")
+
+
 def finish(joined: DataFrame, as_of: AsOf, tz_offset_min: int = IST_MINUTES) -> DataFrame:
     """The columns of the view out of plan facts joined with all others."""
     shown = _plan_columns(F.col("plan_start_time"), F.col("time_plan"), tz_offset_min)

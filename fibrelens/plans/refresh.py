@@ -65,19 +65,12 @@ class Fact(NamedTuple):
     rows: Callable[[DataFrame], DataFrame]
 
 
-def _plan_rows(plans: DataFrame) -> DataFrame:
-    """Of rows without a mobile only the ids count; they are one kind per partner."""
-    has_mobile = F.col("mobile").isNotNull()
-    of_mobiles = ("device_id", "charges", "speed_mbps", "account_id")
-    return customers.plan_rows(plans).withColumns({c: F.when(has_mobile, F.col(c)) for c in of_mobiles})
-
-
 def _known(df: DataFrame, key: str) -> DataFrame:
     return df.filter(F.col(key).isNotNull())
 
 
 FACTS: dict[str, Fact] = {
-    "plan_kinds": Fact("plans", "mobile", customers.PLAN_KIND, customers.PLAN_FACTS, _plan_rows),
+    "plan_kinds": Fact("plans", "mobile", customers.PLAN_KIND, customers.PLAN_FACTS, customers.plan_rows),
     "names": Fact(
         "bookings", "mobile", ("mobile",), {"customer_name": "min"},
         lambda t: customers.names_of(t).select("mobile", F.col("name").alias("customer_name")),

@@ -192,7 +192,7 @@ _QUERIES: dict[str, Callable[[Testbed], DataFrame]] = {
     "latest_optical": lambda t: customers.latest_optical(t["optical_readings"], t["plans"]),
     "latest_speed": lambda t: customers.latest_speed(t["speed_tests"], t["plans"], t["devices"]),
     "plan_status": _status,
-    "customer_360": lambda t: customers_of(t, AS_OF),
+    "customer_360": lambda t: customers_of(t, AS_OF, stored=True),
     "customer_360_few": lambda t: customers_of(t, AS_OF, FEW),
     "customer_address_few": lambda t: customers.customer_address(t["booking_events"], _few_known(t)),
     "latest_optical_few": lambda t: customers.latest_optical(t["optical_readings"], _few_known(t)),

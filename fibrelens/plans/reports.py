@@ -25,8 +25,9 @@ def overview_page(tables: Tables, as_of: AsOf, zones: Sequence[str] = ZONES) ->
     return payouts.partner_overview(card, tables["disbursements"], counts, as_of)
 
 
-def customers_of(tables: Tables, as_of: AsOf, partners: Ids | None = None) -> DataFrame:
-    """The customer view over the logical tables, of all partners or the asked-for ones."""
+def customers_of(tables: Tables, as_of: AsOf, partners: Ids | None = None, stored: bool = False) -> DataFrame:
+    """The customer view over the logical tables, of all partners or the asked-for ones; ``stored`` for
+    reports with all its columns."""
     return customers.customer_360(
         tables["plans"],
         tables["devices"],
@@ -38,6 +39,7 @@ def customers_of(tables: Tables, as_of: AsOf, partners: Ids | None = None) -> Da
         tables["speed_tests"],
         as_of,
         partners=partners,
+        stored=stored,
     )
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -77,9 +79,49 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def with_conf(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """Settings that hold in here only; ``conf`` keys use ``__`` for dots."""
+    keys = {key.replace("__", "."): value for key, value in conf.items()}
+    before = {key: spark.conf.get(key, None) for key in keys}
+    for key, value in keys.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def shuffles_dropped(spark: SparkSession):
+    """Shuffle files of a job in here go when it ends, not when the driver happens to collect its garbage."""
+    return with_conf(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: unlike a checkpoint, the table has a
     known size, by which Spark decides on broadcasts, and filters reach its scan."""
-    path = new_table_path(df.sparkSession, name)
-    df.write.parquet(path)
+    return _keep(df, new_table_path(df.sparkSession, name))
+
+
+def _keep(df: DataFrame, path: str) -> DataFrame:
+    with shuffles_dropped(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """``kept`` for tables that are needed in here only: their files go at the end."""
+    paths = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        paths.append(new_table_path(spark, name))
+        return _keep(df, paths[-1])
+
+    try:
+        yield keep
+    finally:
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -279,3 +279,69 @@ def test_plan_rows_are_shuffled_once_by_mobile(spark, sources):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert steps.count("Exchange hashpartitioning(mobile#") == 2  # the plan rows and the facts by mobile
+
+
+def many(sources):
+    """Customers of several accounts, devices and partners, and rows without a mobile, device or account."""
+    n = range(60)
+    some = lambda i, k, value: None if i % k == 0 else value
+    return sources(
+        plans=[
+            plan(some(i, 7, f"m{i % 11}"), partner=i % 3 or None, nas_id=some(i, 5, i % 6), device_id=some(i, 2, f"D{i % 9}"), account_id=some(i, 4, i % 13), charges=i % 4, speed_mbps=some(i, 6, str(i % 3)), start=some(i, 10, f"2024-03-{1 + i % 5:02d} 00:00:00"), seconds=some(i, 9, i * DAY))
+            for i in n
+        ],
+        devices=[dict(partner_id=i % 3, customer_id=some(i, 8, str(i % 13)), device_id=f"D{i % 7}") for i in n],
+        bookings=[dict(mobile=some(i, 9, f"m{i % 5}"), name=f"N{i}", is_deleted=i % 2 == 0) for i in n],
+        booking_events=[dict(mobile=some(i, 9, f"m{i % 7}"), event_name="address_updated", data=address(home=f"H{i}"), added_time=f"2024-01-{1 + i % 9:02d} 00:00:00") for i in n],
+        daily_usage=[dict(nas_id=some(i, 9, i % 4), added_date=f"2024-02-{1 + i % 9:02d}") for i in n],
+        task_events=[dict(mobile=some(i, 9, f"m{i % 6}"), event_name="OTP_VERIFIED", added_time=f"2024-01-{1 + i % 9:02d} 00:00:00") for i in n],
+        optical_readings=[dict(nas_id=some(i, 9, 2 + i % 4), date_ist=f"2024-02-{1 + i % 9:02d}", avg_optical_dbm=-float(i)) for i in n],
+        speed_tests=[dict(device_id=some(i, 9, f"D{i % 8}"), tested_on=f"2024-02-{1 + i % 9:02d} 00:00:00", speed=float(i)) for i in n],
+    )
+
+
+def test_a_missing_device_is_that_of_the_largest_account(sources):
+    tables = sources(
+        plans=[plan("a", account_id=2), plan("a", account_id=10), plan("b", account_id=2), plan("b", account_id=2, device_id="E"), plan(None, account_id=2)],
+        devices=[dict(partner_id=1, customer_id="2", device_id="Z"), dict(partner_id=1, customer_id="10", device_id="C")],
+        speed_tests=[dict(device_id=d, tested_on="2024-03-01 00:00:00", speed=s) for d, s in (("Z", 1.0), ("C", 2.0), ("E", 3.0))],
+    )
+    for stored in (False, True):
+        got = by(c.customer_360(**tables, as_of=AS_OF, stored=stored), "mobile")
+        assert {m: r["actual_speed_mbps"] for m, r in got.items()} == {"a": 2.0, "b": 3.0, None: None}
+
+
+def test_the_stored_view_is_the_view(sources):
+    tables = many(sources)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    want = rows(view(tables))
+    stored = c.customer_360(**tables, as_of=AS_OF, stored=True)
+    assert len(want) > 20 and stored.schema.names == view(tables).schema.names and rows(stored) == want
+    # Joined out of the parts, none of which shares its joins with the view.
+    devices = {(r.partner_id, r.mobile): r.device_id for r in c.resolved_devices(tables["plans"], tables["devices"]).collect()}
+    speeds = by(c.latest_speed(tables["speed_tests"], tables["plans"], tables["devices"]), "device_id")
+    shown = by(stored, "partner_id", "mobile")
+    assert any(r["actual_speed_mbps"] for r in shown.values()) and any(r["mobile"] is None and r["avg_optical_dbm"] for r in shown.values())
+    for key, row in shown.items():
+        test = speeds.get(devices[key]) if key[1] is not None else None
+        assert row["actual_speed_mbps"] == (test and test["speed"])
+
+
+def test_steps_of_the_stored_view_leave_no_files(spark, sources, tmp_path, monkeypatch):
+    """Nothing is shuffled after the last step, and of the steps only its table and no shuffle file is left."""
+    monkeypatch.setattr("fibrelens.session.shared_folder", lambda spark: str(tmp_path))
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffle_files():
+        files = manager.getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    tables = many(sources)
+    before = shuffle_files()
+    stored = c.customer_360(**tables, as_of=AS_OF, stored=True)
+    assert not shuffle_files() - before
+    assert [path.name.split("-")[0] for path in tmp_path.iterdir()] == ["customers"]
+    assert "Exchange" not in stored._jdf.queryExecution().executedPlan().toString()
+    whole = view(tables)
+    whole.collect()
+    assert shuffle_files() - before  # as the view in one plan leaves them, at least until it is collected as garbage
