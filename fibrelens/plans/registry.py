@@ -212,7 +212,7 @@ _QUERIES: dict[str, Callable[[Testbed], DataFrame]] = {
     "signal_summary": _signal,
     "customer_status_counts": lambda t: customers.customer_status_counts(customers_of(t, AS_OF)),
     "customer_report": lambda t: customers.customer_report(
-        customers.order_customers(customers_of(t, AS_OF), AS_OF)
+        customers.order_customers(customers_of(t, AS_OF, stored=True), AS_OF)
     ),
     # monthly series
     "active_base_months": lambda t: base.active_base_months(t["growth_card"], AS_OF, t["roster"]),

@@ -221,3 +221,10 @@ def test_raw_plan_rows_are_hashed_not_sorted(saved, spark):
         scan = next(i for i, line in enumerate(lines) if "FileScan" in line and "/plans]" in line)
         above = [line for line in lines[:scan] if "Aggregate" in line]
         assert "HashAggregate" in above[-1] and "HashAggregate" in above[-2], lines
+
+
+def test_customer_report_only_sorts_the_stored_view(spark):
+    """While rows are sorted, no shuffle file of the view's joins lies on disk."""
+    plan = plan_of(all_queries()["customer_report"](spark, SMALL), broadcast=False)
+    assert plan.count("Exchange") == plan.count("Exchange rangepartitioning(partner_id#") == 1
+    assert plan.count("FileScan") == plan.count("/customers-") == 1
