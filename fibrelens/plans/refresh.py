@@ -9,6 +9,7 @@ stand in one table per source, partitioned by load and bucketed by the key they
 - a report merges all partials bucket by bucket, without a shuffle, and the facts of a customer
   (plan, name, address, install day; all bucketed by mobile) are joined in place,
 - one hot mobile or partner is a few rows of partials, never its raw rows,
+- while a load is written, a table's rows are shuffled once at a time, and the files go with each job,
 - a bucket is what a task holds, so the number of buckets follows the number of plan kinds: it is set
   by the first load and by each compaction, and stands in the mark.
 
@@ -28,14 +29,16 @@ from datetime import date
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.util import inheritable_thread_target
 
 from fibrelens.functions.joins import left_join_spread
 from fibrelens.functions.picks import salted_top_n
 from fibrelens.functions.times import AsOf, month_of
 from fibrelens.operators import city, customers, payouts, wallet
+from fibrelens.session import kept, passing, remove, shuffles_dropped, with_conf
 from fibrelens.sources.tables import table_schema
 
 LOAD = "load_day"
@@ -43,6 +46,7 @@ LOAD = "load_day"
 BUCKETS, BUCKET_ROWS = 64, 1 << 19
 #: Tables of a load that are written side by side, so that one's last tasks leave no core idle.
 WRITERS = 3
+COMPRESSION = "zstd"
 MARK = "load_day date, generation int, buckets int"
 
 
@@ -166,41 +170,50 @@ class CustomerState:
     def _put(self, part: str, bucket: str, rows: DataFrame, mark: Mark) -> None:
         """Write one load's partition, that of the coming ``mark``, in place of an earlier attempt's."""
         table, path, buckets = self._place(part, mark)
-        dealt = rows.repartition(buckets, bucket)  # a task writes one file, that of its bucket
         if self._open(part, mark):
-            insert = f"INSERT OVERWRITE TABLE {table} PARTITION ({LOAD} = DATE'{mark.load_day}') SELECT * FROM {{rows}}"
-            self.spark.sql(insert, rows=dealt)
+            self.spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({LOAD} = DATE'{mark.load_day}')")
+            remove(self.spark, f"{path}/{LOAD}={mark.load_day}")
         else:
-            writer = dealt.withColumn(LOAD, F.lit(mark.load_day)).write.partitionBy(LOAD).bucketBy(buckets, bucket)
-            # A folder without rows may be left of an earlier session's load without rows.
-            writer.sortBy(bucket).option("path", path).mode("overwrite").saveAsTable(table)
+            remove(self.spark, path)  # a folder without rows may be left of an earlier session's load without rows
+            self._create(part, rows.withColumn(LOAD, F.lit(mark.load_day)).schema, mark)
+        with passing(self.spark) as keep:
+            if part in FACTS and len(FACTS[part].keys) > 1:  # nearly as many rows as are merged
+                rows = keep(rows, part)
+            dealt = rows.repartition(buckets, bucket)  # a task writes one file, that of its bucket
+            # Of the ways to write a table, only this one lets the shuffle files go when it ends.
+            dealt.withColumn(LOAD, F.lit(mark.load_day)).write.insertInto(table)
 
     def _put_all(self, facts: Callable[[str], DataFrame], ledgers: Callable[[str], DataFrame], mark: Mark) -> None:
         """Write the partitions of all tables, some tables at a time, and then the mark."""
         writes = [(part, fact.bucket, facts(part)) for part, fact in FACTS.items()]
         writes += [(ledger, "partner_id", ledgers(ledger)) for ledger in LEDGERS]
         put = inheritable_thread_target(self.spark)(lambda write: self._put(*write, mark))
-        with ThreadPoolExecutor(WRITERS) as pool:
-            for done in [pool.submit(put, write) for write in writes]:
+        with shuffles_dropped(self.spark), ThreadPoolExecutor(WRITERS) as pool:
+            put(writes[0])  # the plan kinds, whose shuffle files are the largest, by themselves
+            for done in [pool.submit(put, write) for write in writes[1:]]:
                 done.result()
         self._commit(mark)
 
     def _open(self, part: str, mark: Mark) -> bool:
         """Whether the table is in the catalog; files of an earlier session are made known to it."""
-        table, path, buckets = self._place(part, mark)
+        table, path, _ = self._place(part, mark)
         if self.spark.catalog.tableExists(table):
             return True
         files = self._found(path)
         if files is None:
             return False
+        self._create(part, files.schema, mark)
+        self.spark.sql(f"MSCK REPAIR TABLE {table}")
+        return True
+
+    def _create(self, part: str, schema: T.StructType, mark: Mark) -> None:
+        table, path, buckets = self._place(part, mark)
         bucket = FACTS[part].bucket if part in FACTS else "partner_id"
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
         self.spark.sql(
-            f"CREATE TABLE {table} ({columns}) USING parquet PARTITIONED BY ({LOAD}) "
+            f"CREATE TABLE {table} ({columns}) USING parquet OPTIONS (compression '{COMPRESSION}') PARTITIONED BY ({LOAD}) "
             f"CLUSTERED BY ({bucket}) SORTED BY ({bucket}) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
-        self.spark.sql(f"MSCK REPAIR TABLE {table}")
-        return True
 
     def advance(self, landing: Mapping[str, DataFrame], load_day: date) -> bool:
         """Take all rows of ``landing`` with mark < load_day <= ``load_day``; False if there is nothing to do.
@@ -246,8 +259,17 @@ class CustomerState:
         """The merged facts of one source."""
         return _merged(self._partials(part), FACTS[part])
 
-    def customer_360(self, as_of: AsOf, tz_offset_min: int = customers.IST_MINUTES) -> DataFrame:
-        """``customers.customer_360`` out of the state. Up to the joins by mobile nothing is shuffled."""
+    def customer_360(self, as_of: AsOf, tz_offset_min: int = customers.IST_MINUTES, stored: bool = False) -> DataFrame:
+        """``customers.customer_360`` out of the state. Up to the joins by mobile nothing is shuffled.
+
+        With ``stored``, the joined rows are computed first, step by step, into the shared folder.
+        """
+        by_mobile = {
+            "address": customers.address_text(F.col("update.address_json")),
+            "install_date": customers.install_day(F.col("verified"), tz_offset_min),
+        }
+        if stored:
+            return customers.finish(self._joined_in_steps(by_mobile), as_of, tz_offset_min)
         time_type = table_schema("plans")["plan_start_time"].dataType
         joined = customers.facts_of_kinds(self.facts("plan_kinds"), time_type)
         for part in ("names", "addresses", "verified"):
@@ -256,8 +278,6 @@ class CustomerState:
         for part, key in (("usage", "nas_id"), ("optical", "nas_id"), ("speeds", "device_id")):
             joined = left_join_spread(joined, self.facts(part), [key], by=["mobile", "partner_id"])
         shown = {
-            "address": customers.address_text(F.col("update.address_json")),
-            "install_date": customers.install_day(F.col("verified"), tz_offset_min),
             "avg_optical_dbm": F.col("reading.avg_optical_dbm"),
             "optical_health": F.col("reading.optical_health"),
             "optical_date": F.col("reading.date_ist"),
@@ -266,7 +286,37 @@ class CustomerState:
             "jitter": F.col("test.jitter"),
             "tested_on": F.col("test.tested_on"),
         }
-        return customers.finish(joined.withColumns(shown), as_of, tz_offset_min)
+        return customers.finish(joined.withColumns(by_mobile | shown), as_of, tz_offset_min)
+
+    def _joined_in_steps(self, by_mobile: Mapping[str, Column]) -> DataFrame:
+        """The joins of the view, stored: ids meet the signals first, and customers never leave their bucket.
+
+        What was found is dealt to the buckets. Rows without a mobile, one per partner, are joined apart.
+        """
+        key = ("mobile", "partner_id")
+        plans, time_type = self._partials("plan_kinds"), table_schema("plans")["plan_start_time"].dataType
+        by_nas = self.facts("usage").join(self.facts("optical"), "nas_id", "full").select(
+            "nas_id", "last_ping", "reading.avg_optical_dbm", "reading.optical_health", F.col("reading.date_ist").alias("optical_date")
+        )
+        by_device = self.facts("speeds").select("device_id", "test.speed", "test.latency", "test.jitter", "test.tested_on")
+        with passing(self.spark) as keep:
+            with passing(self.spark) as keep_ids:
+                ids = keep_ids(plans.groupBy(*key).agg(*[F.max(c).alias(c) for c in customers.IDS]), "ids")
+                found = customers.found_signals(ids, self.facts("known_devices"), by_nas, by_device, keep, keep_ids)
+            signals = [F.max(c).alias(c) for c in found.columns if c not in key]
+            kinds = plans.groupBy(*key, "charges", "speed_mbps").agg(F.max("_packed").alias("_packed"), F.sum("_rows").alias("_rows"))
+            facts = customers.facts_of_kinds(kinds, time_type, ())
+            has_mobile = F.col("mobile").isNotNull()
+            dealt = found.filter(has_mobile).repartition(self._committed().buckets or self.buckets, "mobile")
+            joined = facts.filter(has_mobile).join(dealt.groupBy(*key).agg(*signals), [*key], "left")
+            for part in ("names", "addresses", "verified"):
+                joined = joined.join(self.facts(part), "mobile", "left")
+            of_partners = found.filter(~has_mobile).groupBy("partner_id").agg(*signals)
+            others = facts.filter(~has_mobile).join(of_partners, "partner_id", "left")
+            whole = joined.withColumns(dict(by_mobile)).drop("update", "verified").unionByName(others, allowMissingColumns=True)
+            # Rows of a customer are in the bucket of its mobile, so they need not be dealt by both keys.
+            with with_conf(self.spark, spark__sql__requireAllClusterKeysForCoPartition="false"):
+                return kept(customers.shown_signals(whole), "customers")
 
     def last_ping(self) -> DataFrame:
         """``customers.last_ping`` out of the state."""

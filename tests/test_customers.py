@@ -4,7 +4,7 @@ from datetime import date, datetime
 import pytest
 
 from fibrelens.operators import customers as c
-from tests.helpers import AS_OF, by
+from tests.helpers import AS_OF, by, new_shuffle_files, shuffle_files
 
 DAY = 86400
 
@@ -330,18 +330,12 @@ def test_the_stored_view_is_the_view(sources):
 def test_steps_of_the_stored_view_leave_no_files(spark, sources, tmp_path, monkeypatch):
     """Nothing is shuffled after the last step, and of the steps only its table and no shuffle file is left."""
     monkeypatch.setattr("fibrelens.session.shared_folder", lambda spark: str(tmp_path))
-    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
-
-    def shuffle_files():
-        files = manager.getAllFiles()
-        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
-
     tables = many(sources)
-    before = shuffle_files()
+    before = shuffle_files(spark)
     stored = c.customer_360(**tables, as_of=AS_OF, stored=True)
-    assert not shuffle_files() - before
+    assert not new_shuffle_files(spark, before)
     assert [path.name.split("-")[0] for path in tmp_path.iterdir()] == ["customers"]
     assert "Exchange" not in stored._jdf.queryExecution().executedPlan().toString()
     whole = view(tables)
     whole.collect()
-    assert shuffle_files() - before  # as the view in one plan leaves them, at least until it is collected as garbage
+    assert new_shuffle_files(spark, before)  # as the view in one plan leaves them, at least until it is collected as garbage

@@ -12,6 +12,7 @@ from fibrelens.plans.refresh import FACTS, CustomerState
 from fibrelens.plans.reports import customers_of
 from fibrelens.plans.testbed import AS_OF, LOADS, Testbed
 from fibrelens.session import new_table_path
+from tests.helpers import new_shuffle_files, shuffle_files
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -157,3 +158,64 @@ def test_customer_facts_are_joined_without_a_shuffle(spark, landing):
         assert "Bucketed: true" in lines[at]
         path = above(at)
         assert "SortMergeJoin" in path[-1] and not any("Exchange" in line for line in path), plan
+
+
+@pytest.fixture
+def odd_landing(table):
+    """Loads with rows that lack a mobile, NAS id, device or account."""
+    some = lambda i, k, value: None if i % k == 0 else value
+    days = [f"2001-06-{1 + i % 9:02d}" for i in range(60)]
+    given = {
+        "plans": lambda i: dict(
+            partner_id=i % 3 or None, mobile=some(i, 7, f"m{i % 11}"), nas_id=some(i, 5, i % 6), device_id=some(i, 2, f"D{i % 9}"), account_id=some(i, 4, i % 13),
+            plan_start_time=some(i, 10, f"{days[i]} 00:00:00"), time_plan=some(i, 9, i * 86400), charges=i % 4, speed_mbps=some(i, 6, str(i % 3)),
+        ),
+        "devices": lambda i: dict(partner_id=i % 3, customer_id=some(i, 8, str(i % 13)), device_id=f"D{i % 7}"),
+        "bookings": lambda i: dict(mobile=some(i, 9, f"m{i % 5}"), name=f"N{i}", is_deleted=i % 2 == 0),
+        "booking_events": lambda i: dict(mobile=some(i, 9, f"m{i % 7}"), event_name="address_updated", data='{"address": "{\\"home\\": \\"H%d\\"}"}' % i, added_time=f"{days[i]} 00:00:00"),
+        "task_events": lambda i: dict(mobile=some(i, 9, f"m{i % 6}"), event_name="OTP_VERIFIED", added_time=f"{days[i]} 00:00:00"),
+        "daily_usage": lambda i: dict(nas_id=some(i, 9, i % 4), added_date=days[i]),
+        "optical_readings": lambda i: dict(nas_id=some(i, 9, 2 + i % 4), date_ist=days[i], avg_optical_dbm=-float(i)),
+        "speed_tests": lambda i: dict(device_id=some(i, 9, f"D{i % 8}"), tested_on=f"{days[i]} 00:00:00", speed=float(i)),
+    }
+    row = {name: given.get(name, lambda i: {}) for name in [*{fact.source for fact in FACTS.values()}, "ledger_old", "ledger_new"]}
+    tables = {name: table(name, [build(i) for i in range(60)]) for name, build in row.items()}
+    day = F.lit(LOADS[0]) + F.pmod(F.monotonically_increasing_id(), F.lit(3)).cast("int")
+    return {name: df.withColumn("load_day", day) for name, df in tables.items()}
+
+
+def test_the_stored_view_out_of_the_state_is_the_view(spark, odd_landing):
+    state = fresh(spark)
+    for day in LOADS:
+        state.advance(odd_landing, day)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored = state.customer_360(AS_OF, stored=True)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    whole = customers_of({name: df.drop("load_day") for name, df in odd_landing.items()}, AS_OF)
+    assert rows(stored) == rows(state.customer_360(AS_OF)) == rows(whole)
+    found = stored.agg(*[F.count_if(F.col(c).isNotNull()).alias(c) for c in ("last_ping", "actual_speed_mbps", "address")]).first()
+    assert all(found) and stored.filter("mobile is null and avg_optical_dbm is not null").count() > 0
+    assert "Exchange" not in stored._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shuffle_files_go_with_each_table_of_a_load(spark, landing, tmp_path, monkeypatch):
+    monkeypatch.setattr("fibrelens.session.shared_folder", lambda spark: str(tmp_path / "steps"))
+    state, put, seen = fresh(spark, f"{tmp_path}/state"), CustomerState._put, {}
+
+    def watched(self, part, *given):
+        before = shuffle_files(spark)
+        put(self, part, *given)
+        seen[part] = new_shuffle_files(spark, before)
+
+    monkeypatch.setattr("fibrelens.plans.refresh.WRITERS", 1)
+    monkeypatch.setattr(CustomerState, "_put", watched)
+    for day in LOADS[:2]:
+        state.advance(landing, day)
+        assert seen.keys() >= FACTS.keys() and not any(seen.values()), seen
+    before = shuffle_files(spark)
+    stored = state.customer_360(AS_OF, stored=True)
+    assert not new_shuffle_files(spark, before)
+    assert [path.name.split("-")[0] for path in (tmp_path / "steps").iterdir()] == ["customers"]
+    assert stored.count() == state.customer_360(AS_OF).count()
