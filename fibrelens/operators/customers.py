@@ -266,10 +266,13 @@ def _plan_facts(plans: DataFrame, devices: DataFrame | None = None, by_mobile: D
     rows = plan_rows(plans)
     if devices is not None:
         known = device_lookup(devices).withColumnRenamed("customer_id", "_account")
-        accounts = rows.withColumn("_account", F.col("account_id").cast("string"))
-        rows = left_join_spread(accounts, known, ["_account", "partner_id"], by=["mobile", "partner_id"])
-        rows = rows.withColumn("_lookup", F.struct("account_id", "lookup_device_id"))
+        # The account goes through the join once, as the text that is its key there.
+        account_type, accounts = rows.schema["account_id"].dataType, rows.withColumn("_account", F.col("account_id").cast("string"))
+        rows = left_join_spread(accounts.drop("account_id"), known, ["_account", "partner_id"], by=["mobile", "partner_id"])
+        rows = rows.withColumn("account_id", F.col("_account").cast(account_type)).drop("_account")
     rows = rows.withColumn("_deal", _mobile_deal("partner_id")).repartition("mobile", "_deal")
+    if devices is not None:
+        rows = rows.withColumn("_lookup", F.struct("account_id", "lookup_device_id"))
     facts = PLAN_FACTS if devices is None else PLAN_FACTS | {"_lookup": "max"}
     kinds = rows.groupBy(*PLAN_KIND, "_deal").agg(*[getattr(F, how)(name).alias(name) for name, how in facts.items()])
     largest = IDS if devices is None else (*IDS, "_lookup")
